@@ -11,6 +11,7 @@ Conventions that hold for every operator in this package
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -40,10 +41,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut at a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """The same rows read back from a table in the shared folder: lineage ends there, and its size is known to the planner.
+
+    ``instead_of`` is a table cut before that is not needed any more.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if instead_of is not None and hasattr(instead_of, "cut_path"):
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(instead_of.cut_path)
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
 
 
 def small_batches(spark: SparkSession) -> None:

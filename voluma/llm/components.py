@@ -1,7 +1,7 @@
 """Connected components of a link table that is larger than any one machine.
 
 Alternating large-star and small-star rounds (each a pre-aggregated minimum and a join that AQE can
-split) contract every component to a star around its smallest node. Each round ends in a checkpoint, so
+split) contract every component to a star around its smallest node. Each round ends in a table in the shared folder, so
 lineage stays short and a lost executor costs one round.
 """
 
@@ -37,7 +37,7 @@ def stars(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not before[0]:
             return edges
-        edges = cut(_small_star(_large_star(edges).distinct()).distinct())
+        edges = cut(_small_star(_large_star(edges).distinct()).distinct(), instead_of=edges)
         now = _state(edges)
         if now == before:
             return edges
