@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from voluma.llm.lines import op10_line_dedup
+from voluma.llm.mixing import op9_mixing
+from voluma.llm.packing import op1_packing
+from voluma.llm.quality import op6_quality
 from voluma.llm.simhash import op4_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op4_simhash": op4_simhash,
+    "op6_quality": op6_quality,
+    "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
 }
 
