@@ -6,18 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from voluma.llm.licenses import op8_licenses
 from voluma.llm.lines import op10_line_dedup
 from voluma.llm.mixing import op9_mixing
+from voluma.llm.neighbours import op3_neighbours
 from voluma.llm.packing import op1_packing
 from voluma.llm.quality import op6_quality
 from voluma.llm.simhash import op4_simhash
+from voluma.llm.substrings import op5_substrings
+from voluma.llm.syncmers import op2_syncmers
+from voluma.llm.warc import op7_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_packing": op1_packing,
-    "op4_simhash": op4_simhash,
-    "op6_quality": op6_quality,
-    "op9_mixing": op9_mixing,
-    "op10_line_dedup": op10_line_dedup,
+    f.__name__: f for f in (op1_packing, op2_syncmers, op3_neighbours, op4_simhash, op5_substrings, op6_quality, op7_warc, op8_licenses, op9_mixing, op10_line_dedup)
 }
 
 ORACLES: dict[str, str] = {
@@ -35,4 +36,12 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id
     """,
+    "op7_warc": """
+        WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        sized AS (SELECT page_id, strlen(payload) AS n, sha256(payload) AS digest, min(page_id) OVER (PARTITION BY payload) AS first FROM payloads)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+               CASE WHEN n >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND first < page_id THEN first END AS refers_to
+        FROM sized
+    """,
 }
