@@ -1,0 +1 @@
+"""Where 3D values come from: WKB columns, CityJSON files, and built fixtures."""
