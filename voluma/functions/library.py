@@ -490,9 +490,9 @@ def st_3dsetcrs(g: Column, name: Column) -> Column:
 def st_3dtranslate(g: Column, x: Column, y: Column, z: Column) -> Column:
     """The value moved, natively; a solid's validation stays."""
     out = g
+    shifted = lambda values, by: F.transform(values, lambda c: c + by)
     for letter, by in zip("xyz", (x, y, z), strict=True):
-        by = by.cast("double")
-        out = out.withField(f"{letter}s", F.transform(g[f"{letter}s"], lambda c, by=by: c + by))
+        out = out.withField(f"{letter}s", shifted(g[f"{letter}s"], by.cast("double")))
     names = ("min_x", "min_y", "min_z", "max_x", "max_y", "max_z")
     by = {"x": x, "y": y, "z": z}
     box = F.when(g["bbox"].isNotNull(), F.struct(*[(g["bbox"][n] + by[n[-1]].cast("double")).alias(n) for n in names]))

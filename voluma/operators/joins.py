@@ -26,7 +26,7 @@ def cell_size(df: DataFrame, value: str, reach: float) -> float:
     return max((extent or 0.0) + reach, 1e-9, reach)
 
 
-def _cells(df: DataFrame, prefix: str, reach: float, cell: float, levels: int) -> DataFrame:
+def _cells(df: DataFrame, prefix: str, reach: float, cell: float) -> DataFrame:
     """A row for each cell that a box touches, at the level whose cells are at least its size."""
     low = {a: F.floor((F.col(f"{prefix}_box")[f"min_{a}"] - reach) / F.col("size")) for a in "xy"}
     high = {a: F.floor((F.col(f"{prefix}_box")[f"max_{a}"] + reach) / F.col("size")) for a in "xy"}
@@ -48,10 +48,9 @@ def box_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, le
         return F.greatest(F.lit(0), F.ceil(F.log(extent / F.lit(cell * (step - 1))) / math.log(step))).cast("int")
 
     a, b = a.withColumn("own", level("l")), b.withColumn("own", level("r"))
-    used = sorted({r[0] for x in (a, b) for r in x.select("own").distinct().collect()}) or [0]  # a level for each power of the step, a handful
-    at = F.explode(F.array(*[F.lit(k) for k in used]))
-    a = _cells(a.withColumn("level", at).where("level >= own"), "l", reach, cell, len(used))
-    b = _cells(b.withColumn("level", at).where("level >= own"), "r", 0.0, cell, len(used))
+    highest = a.select("own").union(b.select("own")).agg(F.max("own")).first()[0] or 0  # a level for each power of the step, a handful
+    a = _cells(a.withColumn("level", F.explode(F.sequence(F.col("own"), F.lit(highest)))), "l", reach, cell)
+    b = _cells(b.withColumn("level", F.explode(F.sequence(F.col("own"), F.lit(highest)))), "r", 0.0, cell)
     met = a.withColumnRenamed("own", "l_own").join(b.drop("size").withColumnRenamed("own", "r_own"), ["level", "cx", "cy"])
     first = F.lit(True)
     for axis in "xy":
