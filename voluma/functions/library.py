@@ -53,7 +53,7 @@ def heavy(name: str, arguments: str, returns: str, optional: tuple[int, ...] = (
 
 
 def _run(function: Heavy, strict: bool, columns: tuple[pa.Array, ...]) -> pa.Array:
-    if function.whole is not None:
+    if function.whole is not None and codec.is_value(columns[0]):
         return function.whole(columns[0], strict)
     values = [codec.decode(c) if codec.is_value(c) else c.to_pylist() for c in columns]
     out = []
