@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voluma.llm.common import fresh, id_or_least, map_rows, read, text_or_empty
+from voluma.llm.common import NULL_ID, fresh, id_or_least, map_rows, read, text_or_empty
 
 _EDGES = b" \t\n\x0b\x0c\r"
 
@@ -77,17 +77,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
-def brute(rows: list[tuple[int, str | None]], min_chars: int = 20, min_docs: int = 3) -> list[tuple[int, int, int, str]]:
+def brute(rows: list[tuple[int | None, str | None]], min_chars: int = 20, min_docs: int = 3) -> list[tuple]:
     """The same by the definition, on one machine, for tests."""
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-    split = {i: (t or "").split("\n") for i, t in rows}
-    keyed = {i: [x.strip(" \t\n\x0b\x0c\r").translate(lower) for x in lines] for i, lines in split.items()}
-    holders: dict[str, set[int]] = {}
-    for i, keys in keyed.items():
-        for k in keys:
-            holders.setdefault(k, set()).add(i)
+    split = [(NULL_ID if i is None else i, (t or "").split("\n")) for i, t in rows]
+    keyed = [[x.strip(" \t\n\x0b\x0c\r").translate(lower) for x in held] for _, held in split]
+    holders: dict[str, list[int]] = {}
+    for (i, _), keys in zip(split, keyed, strict=True):
+        for k in set(keys):
+            holders.setdefault(k, []).append(i)
     out = []
-    for i, lines in split.items():
-        stay = [x for x, k in zip(lines, keyed[i], strict=True) if len(k) < min_chars or len(holders[k]) < min_docs or max(holders[k]) == i]
-        out.append((i, len(lines), len(lines) - len(stay), hashlib.sha256("\n".join(stay).encode()).hexdigest()))
+    for (given, _), (i, held), keys in zip(rows, split, keyed, strict=True):
+        stay = [x for x, k in zip(held, keys, strict=True) if len(k) < min_chars or len(holders[k]) < min_docs or max(holders[k]) == i]
+        out.append((given, len(held), len(held) - len(stay), hashlib.sha256("\n".join(stay).encode()).hexdigest()))
     return out

@@ -158,7 +158,7 @@ def plan_records(pages: DataFrame) -> DataFrame:
     return joined.withColumn("refers_to", F.when(F.col("first") < F.col("page"), F.col("first"))).drop("first")
 
 
-def write_archives(pages: DataFrame, folder: str) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """(path, records): the archives of the pages, written under ``folder`` (a URI all executors reach)."""
 
     def run(rows: Iterable[dict]) -> Iterator[tuple]:
@@ -169,7 +169,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                 archive = Archive(_open(path, "w"))
             r["payload"] = r["payload"].encode()
             archive.add(record(r))
-            if archive.written >= ARCHIVE_BYTES:
+            if archive.written >= archive_bytes:
                 archive.close()
                 yield path, archive.count
                 archive = None
