@@ -7,7 +7,7 @@ import numpy as np
 from voluma.kernel import predicates as exact
 from voluma.kernel import shape as s
 from voluma.kernel.shape import Shape, with_faces
-from voluma.kernel.triangulate import triangulate
+from voluma.kernel.triangulate import cross, triangulate
 
 
 def flat_hull(points: list[tuple[float, float]]) -> list[int]:
@@ -108,7 +108,7 @@ def convex_hull(shape: Shape) -> Shape:
 
 def _rotated(ring: np.ndarray, axis: int) -> np.ndarray:
     """The ring from its least point, turning left seen from above where it has an upper side."""
-    turn = np.cross(ring[1] - ring[0], ring[2] - ring[0])
+    turn = cross(ring[1] - ring[0], ring[2] - ring[0])
     if turn[2] < 0 or (turn[2] == 0 and turn[axis] < 0):
         ring = ring[::-1]
     return np.roll(ring, -int(np.lexsort(ring.T[::-1])[0]), axis=0)

@@ -6,7 +6,7 @@ import numpy as np
 
 from voluma.kernel import shape as s
 from voluma.kernel.shape import GeometryError, Shape
-from voluma.kernel.triangulate import newell
+from voluma.kernel.triangulate import cross, newell
 
 
 def _corners(shape: Shape, triangles: np.ndarray, origin: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -24,7 +24,7 @@ def shell_volume(shape: Shape, shell: int) -> float:
     if not len(t):
         return 0.0
     a, b, c = _corners(shape, t, shape.v[t[0, 0]])
-    return float(np.einsum("ij,ij->i", a, np.cross(b, c)).sum() / 6)
+    return float(np.einsum("ij,ij->i", a, cross(b, c)).sum() / 6)
 
 
 def require_volume(shape: Shape, name: str) -> None:
@@ -49,7 +49,7 @@ def volume(shape: Shape) -> float:
 def triangle_areas(shape: Shape) -> np.ndarray:
     t = shape.triangles()
     a, b, c = (shape.v[t[:, k]] for k in range(3))
-    return np.linalg.norm(np.cross(b - a, c - a), axis=1) / 2
+    return np.linalg.norm(cross(b - a, c - a), axis=1) / 2
 
 
 def area(shape: Shape) -> float:
@@ -112,7 +112,7 @@ def centroid(shape: Shape) -> np.ndarray | None:
                 t = _shell_triangles(shape, sh)
                 base = shape.v[t[0, 0]]
                 a, b, c = _corners(shape, t, base)
-                w = np.einsum("ij,ij->i", a, np.cross(b, c)) / 6
+                w = np.einsum("ij,ij->i", a, cross(b, c)) / 6
                 parts.append((w.sum(), ((a + b + c) / 4 * w[:, None]).sum(axis=0) + w.sum() * (base - origin)))
             turn = np.sign(sum(p[0] for p in parts))
             total += turn * sum(p[0] for p in parts)
@@ -141,7 +141,7 @@ def centroid(shape: Shape) -> np.ndarray | None:
         if not size:
             continue
         p = ring - ring[0]
-        w = np.cross(p[1:-1], p[2:]) @ (n / size) / 2
+        w = cross(p[1:-1], p[2:]) @ (n / size) / 2
         total += w.sum()
         moment += (((p[1:-1] + p[2:]) / 3 + ring[0]) * w[:, None]).sum(axis=0)
     return origin + moment / total if total > 0 else shape.v.mean(axis=0)
