@@ -8,6 +8,7 @@ raising function has a ``try_`` twin that gives null for a bad row instead.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import lru_cache
@@ -146,6 +147,35 @@ def _rebuild(value: Shape) -> Shape:
     return build.rebuild(value)
 
 
+_PAYLOAD = b"VOLUMA01"
+
+
+@heavy("g3d_to_payload", "value", "binary")
+def _to_payload(value: Shape) -> bytes:
+    """The value as one self-contained binary: a header of its shells and reference system, and its WKB."""
+    shells = [[len(value.shell_faces(sh)) for sh in value.shells_of(k)] for k in range(value.n_solids)]
+    head = json.dumps({"solid": value.kind == s.SOLID, "shells": shells, "crs": value.crs}).encode()
+    return _PAYLOAD + len(head).to_bytes(4, "little") + head + wkb.write(value)
+
+
+@heavy("g3d_from_payload", "payload", G3D)
+def _from_payload(payload: bytes) -> Shape:
+    """The value of such a binary; bounds, triangles and validation are made anew, so it need not be trusted."""
+    data = bytes(payload)
+    if not data.startswith(_PAYLOAD):
+        raise GeometryError("BLOB is not a payload of this library; build one from WKB with ST_3DFromWKB or ST_Geom3DFromWKB")
+    at = len(_PAYLOAD) + 4
+    size = int.from_bytes(data[at - 4 : at], "little")
+    try:
+        head = json.loads(data[at : at + size])
+    except ValueError:
+        raise GeometryError("Cannot cast BLOB: damaged header") from None
+    body = data[at + size :]
+    out = build.solid_from_wkb(body, head["shells"]) if head["solid"] else build.geometry_from_wkb(body)
+    out.crs = head["crs"]
+    return out
+
+
 # --- export ------------------------------------------------------------------------------------------
 
 
@@ -532,4 +562,4 @@ def bbox_gap2(a: Column, b: Column) -> Column:
 
 
 #: Every public function of the library.
-PUBLIC = sorted({*HEAVY, *_BUILDERS, "st_3dextent", "st_3dsetcrs", "st_3dtranslate", "st_3dfaceslopes", "st_3dfaceazimuths", "st_3dtryfromwkb"} - {"g3d_rebuild"})
+PUBLIC = sorted({*HEAVY, *_BUILDERS, "st_3dextent", "st_3dsetcrs", "st_3dtranslate", "st_3dfaceslopes", "st_3dfaceazimuths", "st_3dtryfromwkb"} - {"g3d_rebuild", "g3d_to_payload", "g3d_from_payload"})
