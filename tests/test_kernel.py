@@ -245,3 +245,44 @@ def test_warped_neighbours_are_not_crossing():
     turned = build.rotate(build.rotate(S(fx.two_cubes(0.5)), 0, 0.3), 2, 1.1)
     again = S(wkb.write(turned))
     assert again.validation["self_intersections"] > 0
+
+
+def test_bulk_import_gives_the_same_values():
+    import dataclasses
+    import random
+
+    from voluma.kernel import bulk
+
+    rng = random.Random(1)
+
+    def odd():
+        f, k = fx.box_faces((0, 0, 0), (2, 3, 4)), rng.random()
+        if k < 0.2:
+            f[rng.randrange(6)].reverse()
+        elif k < 0.3:
+            f.pop(rng.randrange(6))
+        elif k < 0.5:
+            corner = rng.choice(f[0])
+            other = tuple(x + rng.uniform(-1.5, 1.5) for x in corner)
+            f = [[other if q == corner else q for q in face] for face in f]
+        elif k < 0.6:
+            f = [[(x, y, 0.0) for x, y, _ in face] for face in f]
+        elif k < 0.7:
+            f += fx.box_faces((1, 1, 1), (5, 5, 5))
+        elif k < 0.8:
+            f = [[(x * 1e-9, y * 1e-9, z * 1e-9) for x, y, z in face] for face in f]
+        elif k < 0.9:
+            f = fx.box_faces((0, 0, 0), (2, 3, 4), inward=True)
+        return fx.surface_wkb(f)
+
+    data = [fx.tetra(), fx.open_tetra(), fx.hollow_cube(), fx.multi_cube(), fx.two_cubes(0.5), fx.two_cubes(2), fx.two_cubes(5), fx.point_z(1, 2, 3)]
+    data += [fx.surface_wkb(fx.box_faces((i, 0, 0), (i + 2, 1 + i % 5, 3))) for i in range(30)] + [odd() for _ in range(200)]
+    rng.shuffle(data)
+    found = bulk.sound_solids([bulk.plain_rings(d) for d in data])
+    assert sum(x is not None for x in found) > 50
+    for d, fast in zip(data, found, strict=True):
+        if fast is not None:
+            slow = S(d)
+            for field in dataclasses.fields(fast):
+                a, b = getattr(fast, field.name), getattr(slow, field.name)
+                assert np.array_equal(a, b) if isinstance(a, np.ndarray) else a == b, field.name

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from voluma.functions import batch, codec
 from voluma.functions.schema import BBOX, FACE, G3D
-from voluma.kernel import build, crs, distance, hull, measure, text, wkb
+from voluma.kernel import build, bulk, crs, distance, hull, measure, text, wkb
 from voluma.kernel import shape as s
 from voluma.kernel.shape import GeometryError, Shape
 from voluma.kernel.triangulate import triangulate
@@ -40,14 +40,15 @@ class Heavy:
     optional: frozenset[int] = frozenset()  # arguments that may be null
     whole: Callable | None = None
     doc: str = ""
+    many: Callable | None = None  # results of the rows that a batch function can settle, None for the rest
 
 
 HEAVY: dict[str, Heavy] = {}
 
 
-def heavy(name: str, arguments: str, returns: str, optional: tuple[int, ...] = (), whole: Callable | None = None):
+def heavy(name: str, arguments: str, returns: str, optional: tuple[int, ...] = (), whole: Callable | None = None, many: Callable | None = None):
     def add(row: Callable) -> Callable:
-        HEAVY[name] = Heavy(name, tuple(arguments.split()), returns, row, frozenset(optional), whole, (row.__doc__ or "").strip())
+        HEAVY[name] = Heavy(name, tuple(arguments.split()), returns, row, frozenset(optional), whole, (row.__doc__ or "").strip(), many)
         return row
 
     return add
@@ -57,8 +58,12 @@ def _run(function: Heavy, strict: bool, columns: tuple[pa.Array, ...]) -> pa.Arr
     if function.whole is not None and codec.is_value(columns[0]):
         return function.whole(columns[0], strict)
     values = [codec.decode(c) if codec.is_value(c) else c.to_pylist() for c in columns]
+    settled = function.many(*values) if function.many is not None else None
     out = []
-    for row in zip(*values, strict=True):
+    for i, row in enumerate(zip(*values, strict=True)):
+        if settled is not None and settled[i] is not None:
+            out.append(settled[i])
+            continue
         if any(x is None for k, x in enumerate(row) if k not in function.optional):
             out.append(None)
             continue
@@ -111,7 +116,20 @@ def call(name: str, *columns, strict: bool = True) -> Column:
 # --- import and construction -------------------------------------------------------------------------
 
 
-@heavy("st_3dfromwkb", "wkb properties", G3D, optional=(1,))
+def _plain_solids(data: list, properties: list) -> list[Shape | None]:
+    return bulk.sound_solids([bulk.plain_rings(d) if d is not None and p is None else None for d, p in zip(data, properties, strict=True)])
+
+
+def _plain_prisms(polygons: list, heights: list) -> list[Shape | None]:
+    ready = [p is not None and h is not None and p.kind == s.POLYGON and p.n_faces == 1 and h > 0 and 3 <= len(p.face(0)[0]) <= 4 for p, h in zip(polygons, heights, strict=True)]
+    out = bulk.sound_solids([[r.ravel() for r in build.prism_rings(p.v[p.face(0)[0]], h)] if ok else None for p, h, ok in zip(polygons, heights, ready, strict=True)])
+    for solid, p in zip(out, polygons, strict=True):
+        if solid is not None:
+            solid.crs = p.crs
+    return out
+
+
+@heavy("st_3dfromwkb", "wkb properties", G3D, optional=(1,), many=_plain_solids)
 def _from_wkb(data: bytes, properties) -> Shape:
     """A solid from WKB of a PolyhedralSurface Z or a collection of them, with an optional shell sidecar."""
     return build.solid_with_sidecar(bytes(data), properties)
@@ -129,7 +147,7 @@ def _geom_from_text(words: str) -> Shape:
     return build.geometry_from_text(words)
 
 
-@heavy("st_3dextrude", "polygon height", G3D)
+@heavy("st_3dextrude", "polygon height", G3D, many=_plain_prisms)
 def _extrude(polygon: Shape, height: float) -> Shape:
     """The closed prism over a polygon's exterior ring."""
     return build.extrude(polygon, height)
