@@ -44,4 +44,17 @@ ORACLES: dict[str, str] = {
                CASE WHEN n >= 100 AND first < page_id THEN first END AS refers_to
         FROM sized
     """,
+    "op5_substrings": r"""
+        WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        windows AS (
+            SELECT doc_id, p, md5(array_to_string(words[p : p + 49], ' ')) AS h
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS p FROM split WHERE len(words) >= 50)
+        ),
+        firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+        covered AS (SELECT DISTINCT doc_id, q FROM (SELECT doc_id, unnest(range(p, p + 50)) AS q FROM windows JOIN firsts USING (h) WHERE first < doc_id)),
+        placed AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS q FROM split),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY q) AS words FROM placed ANTI JOIN covered USING (doc_id, q) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(split.words) AS BIGINT) AS n_words, CAST(len(split.words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.words, '')) AS kept_sha256
+        FROM split LEFT JOIN kept USING (doc_id)
+    """,
 }
