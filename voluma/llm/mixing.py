@@ -45,7 +45,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], most_sweeps: int = 25,
         before, gap = cells, None
         for name in targets:
             now = cells.groupBy(name).agg(F.sum("w").alias("now"))
-            factor = now.join(targets[name], name, "left").select(name, (F.coalesce("share", F.lit(0.0)) * F.lit(float(total)) / F.col("now")).alias("factor"))
+            factor = now.join(targets[name], name, "left").select(name, F.when(F.col("now") > 0, F.coalesce("share", F.lit(0.0)) * F.lit(float(total)) / F.col("now")).otherwise(0.0).alias("factor"))
             cells = cells.join(factor, name).withColumn("w", F.coalesce(F.col("w") * F.col("factor"), F.lit(0.0)))
             if gap is None:  # how far the first marginal has moved since it was last met
                 gap = F.abs(F.col("factor") - 1)
@@ -65,7 +65,7 @@ def tempered(cells: DataFrame, name: str, temper: float) -> DataFrame:
 
 
 def scale_for(cells: DataFrame, share: float) -> float:
-    """The scale at which sum(min(tokens, scale * w)) is ``share`` of all tokens, by two passes over a grid."""
+    """The scale at which sum(min(tokens, scale * w)) is ``share`` of all tokens, by passes over ever finer grids."""
     low, high = 0.0, 1.0
     total, fitted = cells.agg(F.sum("tokens"), F.sum("w")).first()
     if not total or not fitted:
@@ -73,9 +73,11 @@ def scale_for(cells: DataFrame, share: float) -> float:
     goal = share * min(total, cells.where("w > 0").agg(F.sum("tokens")).first()[0])
     grid = [2.0 ** (i / 2 - 8) for i in range(80)]
     for _ in range(3):
-        sums = cells.agg(*[F.sum(F.least(F.col("tokens").cast("double"), F.col("w") * F.lit(g))) for g in grid]).first()
-        low = max((g for g, s in zip(grid, sums, strict=True) if s <= goal), default=0.0)
-        high = min((g for g, s in zip(grid, sums, strict=True) if s > goal), default=grid[-1])
+        tried = cells.select("tokens", "w", F.explode(F.lit(grid)).alias("scale"))
+        taken = tried.groupBy("scale").agg(F.sum(F.least(F.col("tokens").cast("double"), F.col("w") * F.col("scale"))).alias("taken"))
+        sums = {r["scale"]: r["taken"] for r in taken.collect()}  # one row for each value of the grid
+        low = max((g for g, s in sums.items() if s <= goal), default=0.0)
+        high = min((g for g, s in sums.items() if s > goal), default=grid[-1])
         grid = [low + (high - low) * i / 63 for i in range(64)]
     return (low + high) / 2
 
