@@ -42,7 +42,8 @@ def shared_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
 
     held = map_rows(docs.select(id_or_least().alias("id"), text_or_empty().alias("text")), "id long, line binary", keys)
     hot = held.groupBy("line").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
-    lost = held.join(cut(hot.select("line", "keeper")), "line")  # a table of its own, so that AQE can split the join's hot lines.where(F.col("id") != F.col("keeper"))
+    hot = cut(hot.select("line", "keeper"))  # a table of its own, so that AQE can split the join's hot lines
+    lost = held.join(hot, "line").where(F.col("id") != F.col("keeper"))
     return lost.groupBy("id").agg(F.collect_set("line").alias("drop"))
 
 
