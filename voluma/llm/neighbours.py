@@ -125,7 +125,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, visit: float = 0
     blocks = max(1, -(-4 * asked_total // PART))
     asked = asked.withColumn("block", F.expr(f"pmod(xxhash64(id), {blocks})").cast("int"))
     part_of = F.get(F.lit(parts), F.col("c1"))
-    spread = index.withColumn("part", F.expr("pmod(xxhash64(id, v), 1000000)") % part_of).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    part = (F.expr("pmod(xxhash64(id, v), 1000000)") % part_of).cast("int")  # keys of one type on both sides: equal numbers of other types hash apart
+    spread = index.withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
