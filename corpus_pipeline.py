@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from voluma.llm.common import read, shared_dir
 from voluma.llm.lines import dedup_lines
 from voluma.llm.mixing import mix
+from voluma.llm.nearcopies import drop_near_copies
 from voluma.llm.packing import pack_documents
 from voluma.llm.quality import keep_good
-from voluma.llm.simhash import drop_near_copies
 
 #: Some stages draw on hashes and trained scores that SQL cannot express; tests hold run() against the stages' brute-force versions.
 ORACLE_SQL = None
@@ -37,7 +37,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies."""
+    """The document of the smallest id of each group of near copies, five-word Jaccard 0.8 or more."""
     return drop_near_copies(docs)
 
 
