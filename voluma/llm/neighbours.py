@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
-Each half of the vectors is quantised by its own centroids, fitted on a bounded sample (``SAMPLE`` vectors by
-hash of their id, a parameter); every vector is indexed under its pair of centroids. A query walks the
+Each half of the vectors gets one more coordinate that brings it to the largest norm of the halves, zero for
+queries, so that the nearest by distance has the largest inner product whatever the norms. It is quantised by its own
+centroids, fitted on a bounded sample (``SAMPLE`` vectors by hash of their id, a parameter); every vector is indexed under its pair of centroids. A query walks the
 pairs by rising summed distance with a heap until the cells it has opened hold the asked share of the index, then the
 vectors of those cells are ranked by the exact inner product in double precision.
 
@@ -59,6 +60,11 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.argmin((c**2).sum(axis=1) - 2 * x @ c.T, axis=1)
 
 
+def completed(x: np.ndarray, top: float) -> np.ndarray:
+    """``x`` with a last coordinate that makes every row's squared norm ``top``."""
+    return np.column_stack([x, np.sqrt(np.maximum(0.0, top - (x**2).sum(axis=1)))])
+
+
 def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, goal: float) -> Iterator[tuple[int, int]]:
     """Pairs of centroids by rising summed distance until the cells hold ``goal`` vectors; counts: by pair."""
     a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
@@ -90,14 +96,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, visit: float = 0
     total = lengths["count"]
     chosen = np.array([r["v"] for r in vectors.orderBy(F.xxhash64("id"), "id").limit(sample).collect()])
     half, pairs = max(1, width // 2), int(min(256, max(4, 2 ** round(np.log2(max(1, total) / 12) / 2))))
-    books = [centroids(chosen[:, :half], pairs), centroids(chosen[:, half:] if width > 1 else np.zeros((len(chosen), 1)), pairs)]
-    sizes = [len(b) for b in books]
     halves = lambda x: (x[:, :half], x[:, half:] if width > 1 else np.zeros((len(x), 1)))
+    square = lambda start, n: F.max(F.aggregate(F.slice("v", start, n), F.lit(0.0), lambda s, x: s + x * x))
+    tops = list(vectors.agg(square(1, half).alias("one"), square(half + 1, width - half).alias("two")).first())
+    books = [centroids(completed(y, top), pairs) for y, top in zip(halves(chosen), tops, strict=True)]
+    sizes = [len(b) for b in books]
 
     def quantise(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             x = np.stack(frame["v"].to_list()) if len(frame) else np.zeros((0, width))
-            one, two = halves(x)
+            one, two = (completed(y, top) for y, top in zip(halves(x), tops, strict=True))
             yield pd.DataFrame({"id": frame["id"], "v": frame["v"], "c1": nearest(one, books[0]).astype(np.int32), "c2": nearest(two, books[1]).astype(np.int32)})
 
     index = cut(vectors.mapInPandas(quantise, "id long, v array<double>, c1 int, c2 int"))
@@ -112,7 +120,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, visit: float = 0
         for r in rows:
             x = np.array([r["v"]])
             one, two = halves(x)
-            d1, d2 = ((b**2).sum(axis=1) - 2 * y[0] @ b.T for b, y in zip(books, (one, two), strict=True))
+            d1, d2 = ((b**2).sum(axis=1) - 2 * y[0] @ b[:, :-1].T for b, y in zip(books, (one, two), strict=True))
             opened: dict[int, list[int]] = {}
             for a, b in walk(d1, d2, table, goal):
                 opened.setdefault(a, []).append(b)
