@@ -3,8 +3,10 @@
 The contingency table of tokens by source, language and topic is an aggregate with map-side combine. Each
 sweep rakes it to the three target marginals in turn by an aggregate and a join that stay small or are
 split by AQE; a table in the shared folder ends every sweep. A document's probability is its cell's factor times a common
-scale, at most 1, with the scale solved so that the expected sample holds the asked share of all tokens. A
-document is in the sample if a hash of its id lies below its probability, so a retry draws the same sample.
+scale, with the scale solved so that the expected sample holds the asked share of all tokens. Where that passes 1,
+the cells are raked again with the bound inside, so that the expected sample meets the marginals; ``weight``
+stays the factor without the bound. A category with fewer tokens than its target is taken whole, and
+the others share the rest in proportion to their targets. A document is in the sample if a hash of its id lies below its probability, so a retry draws the same sample.
 DataFrame functions only.
 
 Targets: by default a category's share of the tokens to the power ``temper``, normalised, which lifts small
@@ -38,26 +40,58 @@ def _cell_columns(docs: DataFrame, topics: int, topic: str | None) -> dict[str,
     }
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], most_sweeps: int = 25, close: float = 1e-4) -> DataFrame:
-    """``cells`` (dimensions, tokens, w) with ``w`` fitted to the targets (category, share); w starts as tokens."""
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
+def rake(cells: DataFrame, targets: dict[str, DataFrame], most_sweeps: int = 25, close: float = 1e-4, bounded: float | None = None) -> DataFrame:
+    """``cells`` (dimensions, tokens, w) with ``w`` fitted to the targets (category, share); w starts as tokens.
+
+    ``bounded``: the shares are of so many tokens, and min(tokens, w) is what is fitted. A factor is then a Newton step
+    for the cells below their bound, so each sweep refits what the clipped ones leave.
+    """
+    total = float((cells.agg(F.sum("tokens")).first()[0] or 0) if bounded is None else bounded)
+    free = F.lit(True) if bounded is None else F.col("w") < F.col("tokens")
     for _ in range(most_sweeps):
         before, gap = cells, None
         for name in targets:
-            now = cells.groupBy(name).agg(F.sum("w").alias("now"))
-            factor = now.join(targets[name], name, "left").select(name, F.when(F.col("now") > 0, F.coalesce("share", F.lit(0.0)) * F.lit(float(total)) / F.col("now")).otherwise(0.0).alias("factor"))
+            now = cells.groupBy(name).agg(F.sum(F.when(free, F.col("w")).otherwise(0.0)).alias("free"), F.sum(F.when(free, 0.0).otherwise(F.col("tokens"))).alias("full"))
+            goal, reached = F.coalesce("share", F.lit(0.0)) * F.lit(total), F.col("free") + F.col("full")
+            if bounded is None:
+                step = F.when(F.col("free") > 0, goal / F.col("free")).otherwise(0.0)
+            else:
+                step = F.when(goal <= 0, 0.0).when(reached >= goal, goal / reached).when(F.col("free") > 0, (goal - F.col("full")) / F.col("free")).otherwise(1.0)
+            factor = now.join(targets[name], name, "left").select(name, step.alias("factor"))
             cells = cells.join(factor, name).withColumn("w", F.coalesce(F.col("w") * F.col("factor"), F.lit(0.0)))
+            if bounded is not None:
+                cells = cells.withColumn("w", F.least("w", F.col("tokens") * 1e9))
             if gap is None:  # how far the first marginal has moved since it was last met
                 gap = F.abs(F.col("factor") - 1)
                 cells = cells.withColumn("gap", gap)
+            elif bounded is not None:  # a step does not meet its marginal at once
+                cells = cells.withColumn("gap", F.greatest("gap", F.abs(F.col("factor") - 1)))
             cells = cells.drop("factor")
-        cells = cut(cells, instead_of=before)
+            if bounded is not None:  # its sums are longer: short plans spare the driver
+                cells, before = (kept := cut(cells, instead_of=before)), kept
+        if bounded is None:
+            cells = cut(cells, instead_of=before)
         worst = cells.agg(F.max("gap")).first()[0]
         if worst is None or worst < close:
             break
     return cells
 
 
+def reachable(cells: DataFrame, name: str, target: DataFrame, whole: float) -> DataFrame:
+    """``target`` with no category over the tokens it has; what it cannot take goes to the others in proportion."""
+    there = cells.where("w > 0").groupBy(name).agg(F.sum("tokens").cast("double").alias("there"))
+    asked = cut(there.join(target, name).select(name, "there", (F.col("share") * F.lit(whole)).alias("asked")))
+    lift = 1.0
+    for _ in range(60):
+        full = F.col("asked") * F.lit(lift) >= F.col("there")
+        taken, left = asked.agg(F.sum(F.when(full, F.col("there")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("asked")))).first()
+        now = (whole - taken) / left if left else lift
+        if now <= lift * (1 + 1e-12):
+            break
+        lift = now
+    return cut(asked.select(name, (F.least(F.col("there"), F.col("asked") * F.lit(lift)) / F.lit(whole)).alias("share")), instead_of=asked)
+
+
 def tempered(cells: DataFrame, name: str, temper: float) -> DataFrame:
     raised = cells.groupBy(name).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("raised"))
     whole = raised.agg(F.sum("raised")).first()[0] or 1.0
@@ -82,6 +116,17 @@ def scale_for(cells: DataFrame, share: float) -> float:
     return (low + high) / 2
 
 
+def bounded_fit(fitted: DataFrame, goals: dict[str, DataFrame], share: float) -> DataFrame:
+    """``fitted`` with ``w`` scaled to the share; where that passes a cell's tokens, raked again under that bound."""
+    scaled = fitted.withColumn("w", F.col("w") * F.lit(scale_for(fitted, share)))
+    whole, over = scaled.agg(F.sum(F.least(F.col("tokens").cast("double"), F.col("w"))), F.sum(F.greatest(F.col("w") - F.col("tokens"), F.lit(0.0)))).first()
+    if not whole or over <= 1e-9 * whole:
+        return scaled
+    near = {d: reachable(scaled, d, goals[d], whole) for d in goals}
+    again = rake(cut(scaled), near, close=1e-3, bounded=whole)
+    return again.withColumn("w", F.col("w") * F.lit(scale_for(again, share)))
+
+
 def mixture(docs: DataFrame, share: float = 0.6, temper: float = 0.7, topics: int = 8, topic: str | None = None, targets: dict[str, DataFrame] | None = None, seed: int = 9) -> DataFrame:
     """``docs`` and a struct column of its cell, tokens, weight, probability and draw; the column is the last one."""
     (out, key) = fresh(docs, "mixture", "mixture_cell")
@@ -91,11 +136,11 @@ def mixture(docs: DataFrame, share: float = 0.6, temper: float = 0.7, topics: in
     cells = cut(cells.withColumn("w", F.col("tokens").cast("double")))
     goals = {d: cut(tempered(cells, d, temper)) if d not in (targets or {}) else targets[d] for d in DIMENSIONS}
     fitted = rake(cells, goals)
-    scale = scale_for(fitted, share)
-    weights = fitted.select(F.struct(*DIMENSIONS).alias(key), (F.col("w") / F.col("tokens")).alias("weight"))
-    joined = tagged.withColumn(key, F.struct(*[F.col(out)[d].alias(d) for d in DIMENSIONS])).join(weights.withColumnRenamed("weight", f"{key}_weight"), key, "left")
+    drawn = bounded_fit(fitted.withColumn("fitted", F.col("w")), goals, share)
+    weights = drawn.select(F.struct(*DIMENSIONS).alias(key), (F.col("fitted") / F.col("tokens")).alias(f"{key}_weight"), (F.col("w") / F.col("tokens")).alias(f"{key}_odds"))
+    joined = tagged.withColumn(key, F.struct(*[F.col(out)[d].alias(d) for d in DIMENSIONS])).join(weights, key, "left")
     weight = F.coalesce(F.col(f"{key}_weight"), F.lit(0.0))
-    probability = F.least(F.lit(1.0), weight * F.lit(scale))
+    probability = F.least(F.lit(1.0), F.coalesce(F.col(f"{key}_odds"), F.lit(0.0)))
     draw = F.xxhash64(F.lit(seed), id_or_least()).bitwiseAND((1 << 53) - 1) / F.lit(float(1 << 53))
     struct = F.struct(F.col(f"{out}.*"), weight.alias("weight"), probability.alias("probability"), (draw < probability).alias("sampled"))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], struct.alias(out))
