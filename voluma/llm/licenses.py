@@ -19,6 +19,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,7 +118,7 @@ class Scanner:
                 at.setdefault(k, []).append(i)
         for name, k, template, key in self.templates:
             hits = at.get(k, [])
-            need = max(1, int(self.least * len(set(template))))
+            need = max(1, len(set(template)) - (len(template) - ceil(self.least * len(template))))  # each word left out takes one distinct word at most
             if len(hits) < need:
                 continue
             span, n, done = len(template) * 3 // 2 + 4, 0, -1
