@@ -119,18 +119,18 @@ def test_payload_casts(spark):
         df.select(lib.call("g3d_from_payload", "w")).collect()
 
 
-def test_cityjson(spark, tmp_path):
+def test_city_models(spark, tmp_path):
     import json
 
-    from voluma.sources import cityjson
+    from voluma.sources import city_models
 
     cube = [[[0, 3, 2, 1]], [[4, 5, 6, 7]], [[0, 1, 5, 4]], [[1, 2, 6, 5]], [[2, 3, 7, 6]], [[3, 0, 4, 7]]]
     corners = [[0, 0, 0], [1000, 0, 0], [1000, 1000, 0], [0, 1000, 0], [0, 0, 1000], [1000, 0, 1000], [1000, 1000, 1000], [0, 1000, 1000]]
-    head = {"type": "CityJSON", "version": "2.0", "transform": {"scale": [0.001] * 3, "translate": [10, 0, 0]}, "metadata": {"referenceSystem": "https://www.opengis.net/def/crs/EPSG/0/7415"}}
+    head = {"type": "Model", "version": "2.0", "transform": {"scale": [0.001] * 3, "translate": [10, 0, 0]}, "metadata": {"referenceSystem": "https://www.opengis.net/def/crs/EPSG/0/7415"}}
     body = {"CityObjects": {"a": {"type": "Building", "geometry": [{"type": "Solid", "lod": "2.2", "boundaries": [cube]}]}}, "vertices": corners}
     (tmp_path / "one.city.json").write_text(json.dumps(head | body, indent=1))
-    (tmp_path / "two.city.jsonl").write_text(json.dumps(head | {"CityObjects": {}, "vertices": []}) + "\n" + json.dumps({"type": "CityJSONFeature", "id": "a"} | body) + "\n")
-    for df in (cityjson.read_cityjson(spark, f"{tmp_path}/one.city.json"), cityjson.read_cityjsonseq(spark, f"{tmp_path}/two.city.jsonl")):
+    (tmp_path / "two.city.jsonl").write_text(json.dumps(head | {"CityObjects": {}, "vertices": []}) + "\n" + json.dumps({"type": "Feature", "id": "a"} | body) + "\n")
+    for df in (city_models.read_model_files(spark, f"{tmp_path}/one.city.json"), city_models.read_feature_files(spark, f"{tmp_path}/two.city.jsonl")):
         g = df.withColumn("g", lib.st_3dsetcrs(lib.udf_of("st_3dfromwkb")("wkb", "properties"), F.col("crs")))
         row = g.select("id", "lod", "g.crs", F.col("g")["bbox"]["min_x"], lib.call("st_3dvolume", "g")).first()
         assert tuple(row)[:4] == ("a", "2.2", "EPSG:7415", 10.0) and row[4] == pytest.approx(1)

@@ -1 +1 @@
-"""Where 3D values come from: WKB columns, CityJSON files, and built fixtures."""
+"""Where 3D values come from: WKB columns, city models in JSON, and built fixtures."""

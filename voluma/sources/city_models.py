@@ -1,7 +1,7 @@
-"""CityJSON and CityJSONSeq files as rows of solids: one row a city object and geometry.
+"""City models in JSON as rows of solids: one row a city object and geometry.
 
-A whole CityJSON file is one text value; a CityJSONSeq file is one feature a line, whose first line carries
-the transform. Solids, MultiSolids and CompositeSolids come out as WKB with their shell sidecar, ready for
+A whole-model file is one text value; a file of features has one feature a line, after a header line that
+carries the transform and has no ``id``. Solids, MultiSolids and CompositeSolids come out as WKB with their shell sidecar, ready for
 ``st_3dfromwkb``; MultiSurfaces and CompositeSurfaces as WKB for ``st_geom3dfromwkb``.
 """
 
@@ -28,7 +28,7 @@ def _crs(meta: dict) -> str | None:
 
 
 def objects(document: dict, transform: dict | None, crs: str | None) -> Iterator[tuple]:
-    """Rows of ROW for every geometry of a CityJSON document or feature."""
+    """Rows of ROW for every geometry of a city model or feature."""
     t = document.get("transform") or transform or {"scale": [1, 1, 1], "translate": [0, 0, 0]}
     v = np.array(document.get("vertices") or np.zeros((0, 3)), dtype=np.float64) * t["scale"] + t["translate"]
     crs = _crs(document) or crs
@@ -61,14 +61,14 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
-def read_cityjson(spark: SparkSession, path: str) -> DataFrame:
-    """The geometries of CityJSON files."""
+def read_model_files(spark: SparkSession, path: str) -> DataFrame:
+    """The geometries of files that hold a whole model each."""
     return spark.read.text(path, wholetext=True).select("value", F.lit(None).cast("string").alias("head")).mapInArrow(_parse, ROW)
 
 
-def read_cityjsonseq(spark: SparkSession, path: str) -> DataFrame:
-    """The geometries of CityJSONSeq files; each file's header line goes to its features by a join on the file name."""
+def read_feature_files(spark: SparkSession, path: str) -> DataFrame:
+    """The geometries of files of one feature a line; each file's header line goes to its features by a join on the file name."""
     lines = spark.read.text(path).select("value", F.input_file_name().alias("file")).where(F.trim("value") != "")
-    is_head = F.get_json_object("value", "$.type") == "CityJSON"
+    is_head = F.get_json_object("value", "$.id").isNull() & F.get_json_object("value", "$.transform").isNotNull()
     heads = lines.where(is_head).groupBy("file").agg(F.first("value").alias("head"))
     return lines.where(~is_head).join(heads, "file", "left").select("value", "head").mapInArrow(_parse, ROW)
