@@ -1,42 +1,46 @@
 """Substring dedup: word windows that start in an earlier document are removed, by a count-min prefilter.
 
 Every window of 50 words has a minimiser, the least hash among its 26-word grams; equal windows have equal
-minimisers, and neighbouring windows mostly share theirs. Pass 1 counts, for each partition, the documents of
-each minimiser in sparse count-min counters that saturate at two; the partition sketches are merged block by
-block. A minimiser's estimate is never below the count of any window it stands for, so windows estimated once
-are single. Pass 2 emits only windows estimated repeated, as 96-bit hashes, and groups them exactly: the
-smallest document of each window is an aggregate with map-side combine, joined back (AQE splits hot windows).
-Covered positions are gathered by document, where the words are dropped. Nothing is lost to the sketch.
-
-Scale: the sketch's width follows the input up to ``WIDEST`` cells, 64 MB in all, which bounds what the driver
-merges and broadcasts; past that width estimates only grow looser and pass 2 emits more windows. Texts move
-once, to meet their covered positions.
+minimisers, and neighbouring windows mostly share theirs. Of equal texts only the first takes part: the later ones
+are covered whole, and their windows start nowhere earlier than the first's do. Pass 1 counts, for each partition,
+the texts of each minimiser in sparse count-min counters that saturate at two; the partition sketches are merged
+block by block. A minimiser's estimate is never below the count of any window it stands for, so windows estimated
+once are single. The cells estimated repeated are a table, which each text's minimisers meet by semi-joins. Pass 2
+emits only windows whose minimiser is estimated repeated, as 96-bit hashes, and groups them exactly: the smallest
+document of each window is an aggregate with map-side combine, joined back on a key of its own so that AQE splits
+hot windows. Covered positions are gathered by row, where the words are dropped. Nothing is lost to the sketch.
+
+Scale: the sketch's width is four times the minimisers, whatever their number; it lies in blocks that are merged in
+a task each, and nothing of it goes to the driver or is broadcast. What moves is the text once (both joins on a row
+use one exchange), a number for each minimiser (about one in 13 words) and the windows estimated repeated.
 
 Defined cases: null or empty text has no words and keeps the empty text; texts under 50 words have no
-windows; of rows that share a ``doc_id`` none is earlier than another; a null id is the earliest; a window
-repeated inside one document alone stays.
+windows; very long texts are held one at a time; of rows that share a ``doc_id`` none is earlier than another, and
+each loses its own covered words; a null id is the earliest; a window repeated inside one document alone stays; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voluma.llm.common import NULL_ID, fresh, id_or_least, read, small_batches, text_or_empty
+from voluma.llm.common import NULL_ID, cut, fresh, id_or_least, read, small_batches, text_or_empty
 
-WIDEST = 1 << 28
 ROWS = 2
-_BLOCK_BITS = 20
+#: A block of the sketch has 2 ** 20 cells, or more where there would be over 2 ** 12 blocks.
+_BLOCK_BITS, _MOST_BLOCK_BITS = 20, 26
 _HELD = 1 << 20
 #: Odd multipliers of the rolling hashes, any will do.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Odd multipliers that spread minimisers over the cells of each row.
+_MIXERS = (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)
 
 
 class Rolling:
@@ -91,19 +95,41 @@ class Windows:
 
 
 def _cell(minimisers: np.ndarray, row: int, width: int) -> np.ndarray:
-    """Cells of a row; rows take different bits, mixed anew for the second."""
-    x = minimisers if row == 0 else (minimisers ^ (minimisers >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
-    return (x >> np.uint64(20)) & np.uint64(width - 1)
+    """Cells of a row, mixed anew for each: minimisers are small numbers, whose upper bits are no fair draw."""
+    x = (minimisers ^ (minimisers >> np.uint64(32))) * np.uint64(_MIXERS[row])
+    return (x ^ (x >> np.uint64(32))) & np.uint64(width - 1)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str]]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
-            part = batch.slice(start, 256)
-            yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+            yield from batch.slice(start, 256).to_pylist()
+
+
+def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Each batch with its flattened minimisers and how many each row has."""
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index("least"))
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        yield batch, flat, np.diff(column.offsets.to_numpy(zero_copy_only=False))
 
 
-def _sketches(window: int, width: int):
+def _signed(window: int):
+    """(id, t1, t2, least): the distinct minimisers of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Windows(window)
+        for batch in batches:
+            least = []
+            for text in batch.column(3).to_pylist():
+                words = of.words(text)
+                least.append([] if words is None else np.unique(of.minimisers(words).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(least, pa.list_(pa.int64()))], names=["id", "t1", "t2", "least"])
+
+    return run
+
+
+def _sketches(width: int, block_bits: int):
     """(block, cells, twice): sparse counters of the partition's minimisers; twice marks counts of two or more."""
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -111,21 +137,20 @@ def _sketches(window: int, width: int):
         rows = []
         for row in range(ROWS):
             cells, counts = np.unique(_cell(keys, row, width), return_counts=True)
-            block = (cells >> np.uint64(_BLOCK_BITS)).astype(np.int64)
+            block = (cells >> np.uint64(block_bits)).astype(np.int64)
             edges = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
             for a, b in zip(edges, np.append(edges[1:], len(cells)), strict=True):
-                inside = (cells[a:b] & np.uint64((1 << _BLOCK_BITS) - 1)).astype("<u4")
+                inside = (cells[a:b] & np.uint64((1 << block_bits) - 1)).astype("<u4")
                 rows.append((int(block[a]) * ROWS + row, inside.tobytes(), np.packbits(counts[a:b] > 1).tobytes()))
         blocks, cells, twice = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(cells, pa.binary()), pa.array(twice, pa.binary())], names=["block", "cells", "twice"])
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(cells, pa.binary()), pa.array(twice, pa.binary())], names=["block", "cells", "twice"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, held, n = Windows(window), [], 0
-        for _, text in _texts(batches):
-            if (words := of.words(text)) is None:
-                continue
-            held.append(np.unique(of.minimisers(words)))
-            n += len(held[-1])
+        held, n = [], 0
+        for _, flat, _ in _numbers(batches):
+            if len(flat):
+                held.append(flat)
+                n += len(flat)
             if n >= _HELD:
                 yield flush(held)
                 held, n = [], 0
@@ -135,74 +160,110 @@ def _sketches(window: int, width: int):
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, repeated): for the rows of a partition sorted by block, the bits of the cells counted twice or more."""
-    counts, block = np.zeros(1 << _BLOCK_BITS, dtype=np.uint8), None
-    out = lambda: pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(counts > 1).tobytes()], pa.binary())], names=["block", "repeated"])
-    for batch in batches:
-        for b, cells, twice in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if b != block:
-                if block is not None:
-                    yield out()
-                block = b
-                counts[:] = 0
-            at = np.frombuffer(cells, dtype="<u4")
-            more = 1 + np.unpackbits(np.frombuffer(twice, dtype=np.uint8))[: len(at)]
-            counts[at] = np.minimum(counts[at] + more, 2)
-    if block is not None:
-        yield out()
-
-
-def _candidates(window: int, width: int, sketch):
-    """(h1, h2, id, pos) of the windows estimated repeated."""
+def _merge(block_bits: int):
+    """(row, cell): for the rows of a partition sorted by block, the cells counted twice or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, block = np.zeros(1 << block_bits, dtype=np.uint8), None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            cells = np.flatnonzero(counts > 1) + (block // ROWS << block_bits)
+            for start in range(0, len(cells), 1 << 15):
+                part = cells[start : start + (1 << 15)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block % ROWS, dtype=np.int32)), pa.array(part)], names=["row", "cell"])
+
+        for batch in batches:
+            for b, cells, twice in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if b != block:
+                    if block is not None:
+                        yield from out()
+                    block = b
+                    counts[:] = 0
+                at = np.frombuffer(cells, dtype="<u4")
+                more = 1 + np.unpackbits(np.frombuffer(twice, dtype=np.uint8))[: len(at)]
+                counts[at] = np.minimum(counts[at] + more, 2)
+        if block is not None:
+            yield from out()
+
+    return run
+
+
+def _placed(width: int):
+    """(id, t1, least, cell0, cell1) for each minimiser of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, flat, sizes in _numbers(batches):
+            own = [np.repeat(batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64), sizes) for k in range(2)]
+            cells = [_cell(flat, row, width).view(np.int64) for row in range(ROWS)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*own, flat.view(np.int64), *cells)], names=["id", "t1", "least", "cell0", "cell1"])
+
+    return run
+
+
+def _windows(window: int, names: tuple[str, str, str, str]):
+    """(h1, h2, id, t1, pos) of the windows estimated repeated; names: of the id, the text's hash, the text and the minimisers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, rows = Windows(window), sketch.value
-        names = ["h1", "h2", "id", "pos"]
+        of = Windows(window)
         held, n = [], 0
-        for i, text in _texts(batches):
-            if (words := of.words(text)) is None:
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["h1", "h2", "id", "t1", "pos"])
+        for r in _rows(batches):
+            i, t1, text, repeated = (r[k] for k in names)
+            if (words := of.words(text or "")) is None:
                 continue
-            least = of.minimisers(words)
-            again = np.ones(len(least), dtype=bool)
-            for row in range(ROWS):
-                cell = _cell(least, row, width)
-                again &= (rows[row][cell >> np.uint64(3)] >> (7 - (cell & np.uint64(7))).astype(np.uint8)) & 1 == 1
-            at = np.flatnonzero(again)
-            if len(at):
-                h1, h2 = of.hashes(words)
-                held.append((h1[at], h2[at], np.full(len(at), i), at.astype(np.int32)))
-                n += len(at)
+            at = np.flatnonzero(np.isin(of.minimisers(words).view(np.int64), np.array(repeated, dtype=np.int64)))
+            h1, h2 = of.hashes(words)
+            held.append((h1[at], h2[at], np.full(len(at), i), np.full(len(at), t1), at.astype(np.int32)))
+            n += len(at)
             if n >= 1 << 15:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+                yield out()
                 held, n = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+            yield out()
 
     return run
 
 
-def covered(docs: DataFrame, window: int = 50) -> DataFrame:
-    """(id, starts): the starts of each document's windows that also start in a document of a smaller id."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    known = docs.select(id_or_least().alias("id"), text_or_empty().alias("text"))
-    characters = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    minimisers = characters / 6 / (window / 4)
-    width = min(WIDEST, max(1 << _BLOCK_BITS, 1 << math.ceil(math.log2(4 * minimisers + 1))))
-    blocks = ROWS * (width >> _BLOCK_BITS)
-    sketches = known.mapInArrow(_sketches(window, width), "block int, cells binary, twice binary")
-    merged = sketches.repartition(min(blocks, 64), "block").sortWithinPartitions("block").mapInArrow(_merge, "block int, repeated binary")
-    bits = np.zeros((ROWS, width // 8), dtype=np.uint8)
-    size = 1 << (_BLOCK_BITS - 3)
-    for r in merged.toLocalIterator():  # at most ROWS * WIDEST bits
-        at = r["block"] // ROWS * size
-        bits[r["block"] % ROWS, at : at + size] = np.frombuffer(r["repeated"], dtype=np.uint8)
-    sketch = spark.sparkContext.broadcast(bits)
-    found = known.mapInArrow(_candidates(window, width, sketch), "h1 long, h2 int, id long, pos int")
+def _text_hashes(text: Column) -> dict[str, Column]:
+    return {"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(7), text)}
+
+
+def repeated_minimisers(heads: DataFrame, block_bits: int | None = None) -> DataFrame:
+    """(id, t1, least): of each row of ``heads`` (id, t1, least) the minimisers that the sketch estimates repeated."""
+    minimisers = heads.agg(F.sum(F.size("least"))).first()[0] or 0
+    width = 1 << (4 * minimisers + 1).bit_length()
+    bits = block_bits or min(_MOST_BLOCK_BITS, max(_BLOCK_BITS, width.bit_length() - 12))
+    width = max(width, 1 << bits)
+    blocks = ROWS * (width >> bits)
+    sketches = heads.mapInArrow(_sketches(width, bits), "block long, cells binary, twice binary")
+    merged = cut(sketches.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(_merge(bits), "row int, cell long"))
+    placed = heads.mapInArrow(_placed(width), "id long, t1 long, least long, cell0 long, cell1 long")
+    for row in range(ROWS):
+        placed = placed.join(merged.where(F.col("row") == row).select(F.col("cell").alias(f"cell{row}")), f"cell{row}", "left_semi")
+    return placed.groupBy("id", "t1").agg(F.collect_list("least").alias("least"))
+
+
+def covered(docs: DataFrame, names: tuple[str, str], window: int = 50, block_bits: int | None = None) -> DataFrame:
+    """(id, t1, starts): for each row that loses words, known by its id and its text's hash, the starts of its covered windows.
+
+    ``docs`` has both in the columns ``names``. A later copy of a whole text has the one start -1.
+    """
+    small_batches(docs.sparkSession)
+    key, own = names
+    texts = docs.select(F.col(f"`{key}`").alias("id"), *[c.alias(n) for n, c in _text_hashes(text_or_empty()).items()], text_or_empty().alias("text"))
+    signed = cut(texts.mapInArrow(_signed(window), "id long, t1 long, t2 long, least array<long>"))
+    heads = cut(signed.groupBy("t1", "t2").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("least").alias("least")).select("id", "t1", "least", "t2", "last"))
+    again = repeated_minimisers(heads.where(F.size("least") > 0).select("id", "t1", "least"), block_bits)
+    (least,) = fresh(docs, "substring_least")
+    again = again.select(F.col("id").alias(key), F.col("t1").alias(own), F.col("least").alias(least))
+    found = docs.join(again, [key, own]).mapInArrow(_windows(window, (key, own, "text", least)), "h1 long, h2 int, id long, t1 long, pos int")
     first = found.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    late = found.join(first.drop("last"), ["h1", "h2"]).where("id > first")
-    return late.groupBy("id").agg(F.collect_list("pos").alias("starts"))
+    first = first.select(F.bitwise_not("h1").alias("k1"), "h2", "first")  # another key than the aggregate's: an exchange that AQE can split
+    late = found.withColumn("k1", F.bitwise_not("h1")).join(first, ["k1", "h2"]).where("id > first")
+    starts = late.groupBy("id", "t1").agg(F.collect_list("pos").alias("starts"))
+    later = heads.where("id < last").select("t1", "t2", F.col("id").alias("first"))
+    copies = signed.where(F.size("least") > 0).join(later, ["t1", "t2"]).where("id > first").select("id", "t1", F.array(F.lit(-1)).alias("starts")).distinct()
+    return starts.unionByName(copies)
 
 
 def remove(words: list[bytes], starts, window: int) -> list[bytes]:
@@ -213,10 +274,11 @@ def remove(words: list[bytes], starts, window: int) -> list[bytes]:
     return [w for w, s in zip(words, stay, strict=True) if s]
 
 
-def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 50, block_bits: int | None = None) -> DataFrame:
     """``docs`` and a last struct column (n_words, n_removed, kept): kept is the words left, joined by one space."""
-    key, starts, out = fresh(docs, "substring_id", "substring_starts", "substrings")
-    gone = covered(docs, window).withColumnRenamed("id", key).withColumnRenamed("starts", starts)
+    key, own, starts, out = fresh(docs, "substring_id", "substring_text", "substring_starts", "substrings")
+    keyed = docs.withColumns({key: id_or_least(), own: _text_hashes(text_or_empty())["t1"]})
+    gone = covered(keyed, (key, own), window, block_bits).toDF(key, own, starts)
 
     @F.pandas_udf("struct<n_words:long,n_removed:long,kept:string>")
     def keep(texts, covered_at):
@@ -225,12 +287,17 @@ def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
         rows = []
         for text, at in zip(texts, covered_at, strict=True):
             words = text.encode().split()
-            kept = words if at is None else remove(words, np.asarray([p for p in at if p + window <= len(words)], dtype=np.int64), window)
+            if at is None:
+                kept = words
+            elif len(at) and at[0] < 0:
+                kept = []
+            else:
+                kept = remove(words, np.asarray(at, dtype=np.int64), window)
             rows.append((len(words), len(words) - len(kept), b" ".join(kept).decode()))
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
 
-    joined = docs.withColumn(key, id_or_least()).join(gone, key, "left")
-    return joined.withColumn(out, keep(text_or_empty(), F.col(starts))).select(*[F.col(f"`{c}`") for c in docs.columns], out)
+    joined = keyed.join(gone, [key, own], "left")
+    return joined.withColumn(out, keep(text_or_empty(), F.col(f"`{starts}`"))).select(*[F.col(f"`{c}`") for c in docs.columns], out)
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
