@@ -5,7 +5,7 @@ import collections
 import pytest
 
 import corpus_pipeline
-from voluma.llm import common, lines, packing, quality, simhash
+from voluma.llm import common, lines, nearcopies, packing, quality
 
 DATA = "/root/testdata/sf0.001"
 
@@ -38,7 +38,7 @@ def test_stages(spark, staged):
     want = {r[0]: r[3] for r in lines.brute(list(texts(good).items()))}
     assert {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts(deduped).items()} == want
     assert all(r["n_chars"] == len(r["text"]) for r in deduped.collect())
-    fps = {i: simhash.fingerprint(t) for i, t in texts(deduped).items()}
+    fps = {i: set(nearcopies.shingles(t).tolist()) for i, t in texts(deduped).items()}
     up = {i: i for i in fps}
 
     def find(x):
@@ -48,7 +48,7 @@ def test_stages(spark, staged):
 
     for i, a in fps.items():
         for j, b in fps.items():
-            if bin((a ^ b) & (2**64 - 1)).count("1") <= 4:
+            if len(a & b) >= 0.8 * len(a | b):
                 x, y = find(i), find(j)
                 up[max(x, y)] = min(x, y)
     assert set(texts(single)) == {i for i in fps if find(i) == i}

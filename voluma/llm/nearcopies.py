@@ -1,17 +1,23 @@
-"""Near copies by the Jaccard similarity of five-word shingles.
+"""SimHash near-dedup for documents: wide fingerprints, anchor-point covering, links confirmed on the whole shingle sets.
 
-Candidates are the documents that share one of ``BANDS`` bands of ``ROWS`` min-hashes; each candidate pair is
-confirmed on the whole shingle sets (64-bit XXH64 of lower-cased shingles), so no pair below the least similarity
-links. A pair at exactly 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS, 3.2e-6; more similar
-ones less.
+The similarity is the Jaccard similarity of five-word shingles, 0.8 or more. At 0.8, a bit of two SimHash
+fingerprints differs with probability 0.15, too often for one word of 64 bits, so a document has ``WORDS`` of them
+over its distinct shingles. Every half of a word is replicated to the anchors of the Hamming code within radius two
+(``simhash.anchors``), and fingerprints are compared per anchor: first one word, to drop those that met by chance,
+then, once for anchors of the same members, all words. A cell links its members by a forest of at most one link
+each: near ones to a root at once, others through their nearest. Links are then confirmed by the exact similarity,
+so no pair below it is joined. Pairs that share no anchor are lost: by calculation 7 % of pairs at exactly 0.8,
+2 % at 0.85, 0.1 % at 0.9; a group is lost only where no chain of its pairs is left.
 
-Scale: equal shingle sets are collapsed first, so exact copies never meet each other. Buckets that one set holds and
-buckets of the same members are dropped before comparing, and only the texts in the remaining ones are read again; a
-bucket with more than ``CELL`` sets is dealt into part-by-part cells, each of which gives at most one link for a set,
-never all pairs. Components come from star contraction.
+Scale: equal shingle sets are collapsed first, so exact copies never meet each other. What moves is four numbers for
+each anchor, and for the documents with near ones all words and, once a link, their shingles. An anchor that a sample
+of the anchors (an estimate that only plans the work; results don't depend on it) shows with over ``CELL`` members
+is dealt into part-by-part cells. Links are confirmed in rounds, one for each component so far, so that a group of
+thousands needs about one confirmed link a document. Components come from star contraction.
 
-Defined cases: null or empty text is one empty shingle, fewer words than a shingle are one shingle; rows that share a
-``doc_id`` are one node with the links of each; the smallest id (null is smallest) of a component stays.
+Defined cases: null or empty text is one empty shingle, fewer words than a shingle are one shingle; very long texts
+are held one at a time; rows that share a ``doc_id`` are one node with the links of each; the smallest id (null is
+smallest) of a component stays, of rows that share it the one of the smallest text hash; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -20,21 +26,31 @@ from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voluma.llm.common import cut, fresh, id_or_least, map_rows, small_batches, text_or_empty
+from voluma.llm.common import cut, id_or_least, map_rows, small_batches, text_or_empty
 from voluma.llm.components import stars
+from voluma.llm.simhash import anchors, keep_ids
 
 SHINGLE, LEAST = 5, 0.8
-BANDS, ROWS = 24, 4
-#: Shingle sets of one part of a bucket; a cell compares at most two parts.
-CELL = 512
+WORDS = 6
+#: Differing bits of one word, and of all words, up to which a pair may be similar enough; and up to which it nearly surely is.
+MAY_ONE, MAY, SURE = 22, 83, 40
+#: Members of one part of an anchor; a cell compares at most two parts.
+CELL = 2048
+#: Anchors of which one in ``SAMPLE_RATE`` is counted to find those with many members; up to ``FEW`` are all counted.
+SAMPLE_RATE, FEW = 64, 1 << 22
+#: Rows of the table of large anchors up to which it is broadcast (a megabyte).
+MOST_BROADCAST = 1 << 16
+#: Rounds after which all links that are left are confirmed at once.
+ROUNDS = 6
 _rng = np.random.default_rng(11)
-_XOR = _rng.integers(0, 2**64, (BANDS, ROWS, 1), dtype=np.uint64)
-_TIMES = _rng.integers(0, 2**64, (BANDS, ROWS, 1), dtype=np.uint64) | np.uint64(1)
+_XOR = _rng.integers(0, 2**64, WORDS, dtype=np.uint64)
+_TIMES = _rng.integers(0, 2**64, (2, WORDS), dtype=np.uint64) | np.uint64(1)
+_LANES = np.uint64(0x0101010101010101)
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
@@ -48,10 +64,18 @@ def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(joined[a : b - 1]) for a, b in zip([0, *ends], ends[size - 1 :], strict=False)], dtype=np.uint64))
 
 
-def bands(found: np.ndarray) -> list[int]:
-    """One number for each band; equal where all min-hashes of the band are."""
-    least = [((found ^ x) * t).min(axis=1) for x, t in zip(_XOR, _TIMES, strict=True)]
-    return [xxhash.xxh64_intdigest(m.tobytes(), k) - (1 << 63) for k, m in enumerate(least)]
+def wide(found: np.ndarray) -> np.ndarray:
+    """The words of the fingerprint of a shingle set: for each bit the majority of as many hashes of each shingle."""
+    n = len(found)
+    ones = np.zeros((WORDS, 64), dtype=np.int64)
+    for start in range(0, n, 255):  # counts of a byte's width, eight bits of a word at a time
+        x = (found[start : start + 255, None] ^ _XOR) * _TIMES[0]
+        x = (x ^ (x >> np.uint64(32))) * _TIMES[1]
+        x ^= x >> np.uint64(32)
+        for bit in range(8):
+            counts = ((x >> np.uint64(bit)) & _LANES).sum(axis=0, dtype=np.uint64)
+            ones[:, bit::8] += counts[:, None].view(np.uint8)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
 
 
 def _key(found: np.ndarray) -> bytes:
@@ -61,76 +85,206 @@ def _key(found: np.ndarray) -> bytes:
 def _signed(rows: Iterable[dict]) -> Iterator[tuple]:
     for r in rows:
         found = shingles(r["text"])
-        yield r["id"], _key(found), bands(found)
+        yield r["id"], _key(found), wide(found).view(np.int64)
 
 
 def _sets(rows: Iterable[dict]) -> Iterator[tuple]:
     for r in rows:
-        found = shingles(r["text"])
-        yield _key(found), found.tobytes()
-
-
-def forest(sets: list[np.ndarray], side: np.ndarray, least: float = LEAST) -> list[tuple[int, int]]:
-    """(root, node) for each component of pairs at or over ``least``; between the sides only, where there are two."""
-    cross = len(set(side.tolist())) > 1
-    sizes = np.array([len(s) for s in sets])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    names, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    left, out = np.ones(len(sets), dtype=bool), []
-    for root in range(len(sets)):
-        if not left[root]:
+        yield r["id"], shingles(r["text"]).tobytes()
+
+
+def _flat(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, WORDS)
+
+
+def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor, node, word) for each anchor of each (node, words); word is the first."""
+    for batch in batches:
+        nodes, words = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _flat(batch.column(1))
+        for start in range(0, len(nodes), 512):
+            keys, rows = [], []
+            for k in range(WORDS):
+                key, row = anchors(np.ascontiguousarray(words[start : start + 512, k]))
+                keys.append(key | k << 32)
+                rows.append(row + start)
+            row = np.concatenate(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(nodes[row]), pa.array(words[row, 0])], names=["anchor", "node", "word"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[np.ndarray, list, list[np.ndarray]]]:
+    """Whole groups of rows with one first number, of a partition sorted by it: where they start, then each column."""
+    held: list[pa.RecordBatch] = []
+
+    def out(table: pa.Table) -> tuple:
+        arrays = [table.column(k).combine_chunks() for k in range(columns)]
+        keys = arrays[0].to_numpy(zero_copy_only=False)
+        return np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), arrays, keys
+
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        left[root] = False
-        queue = [root]
-        while queue and left.any():
-            at = queue.pop()
-            mark = np.zeros(len(names), dtype=np.int64)
-            mark[codes[starts[at] : starts[at] + sizes[at]]] = 1
-            both = np.add.reduceat(mark[codes], starts)
-            near = left & (both >= least * (sizes + sizes[at] - both) - 1e-9)
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        last = np.flatnonzero(keys != keys[-1])
+        whole = last[-1] + 1 if len(last) else 0
+        if held and (whole or held[-1].column(0)[-1].as_py() != keys[0]):
+            yield out(pa.Table.from_batches([*held, batch.slice(0, whole)]))
+            held = []
+        elif whole:
+            yield out(pa.Table.from_batches([batch.slice(0, whole)]))
+        held.append(batch.slice(whole))
+    if held:
+        yield out(pa.Table.from_batches(held))
+
+
+def _near_one(word: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Which members of a cell have another, of the other part where there are two, within MAY_ONE bits."""
+    cross, near = part.min() != part.max(), np.zeros(len(word), dtype=bool)
+    for at in range(len(word)):
+        if not near[at]:
+            close = np.bitwise_count((word ^ word[at]).view(np.uint64)) <= MAY_ONE
+            close[at] = False
             if cross:
-                near &= side != side[at]
-            nodes = np.flatnonzero(near).tolist()
-            left[nodes] = False
-            out += [(root, n) for n in nodes]
-            queue += nodes
+                close &= part != part[at]
+            if close.any():
+                near |= close
+                near[at] = True
+    return near
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, node, word) of the members that have a near one in their cell; rows come sorted by (cell, node)."""
+    for starts, arrays, cell in _groups(batches, 4):
+        part, node, word = (a.to_numpy(zero_copy_only=False).astype(np.int64) for a in arrays[1:])
+        sizes = np.diff(np.append(starts, len(cell)))
+        small = np.repeat(sizes <= 8, sizes)
+        near = np.zeros(len(cell), dtype=bool)
+        for k in range(1, 8):
+            if k >= len(cell):
+                break
+            at = np.flatnonzero((cell[k:] == cell[:-k]) & small[k:])
+            at = at[np.bitwise_count((word[at] ^ word[at + k]).view(np.uint64)) <= MAY_ONE]
+            near[at] = near[at + k] = True
+        for start, size in zip(starts[sizes > 8], sizes[sizes > 8], strict=True):
+            near[start : start + size] = _near_one(word[start : start + size], part[start : start + size])
+        yield pa.RecordBatch.from_arrays([pa.array(x[near]) for x in (cell.astype(np.int64), node, word)], names=["cell", "node", "word"])
+
+
+def forest(words: np.ndarray) -> list[tuple[int, int, int]]:
+    """(a, b, bits) for the links of a forest over fingerprints within MAY bits: within SURE at once, others by the nearest."""
+    out = []
+    left = np.arange(len(words))
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        bits = np.full(len(left), MAY + 1)
+        to = np.zeros(len(left), dtype=np.int64)
+        while len(left):
+            if queue:
+                at = queue.pop()
+                d = np.bitwise_count(words[left] ^ words[at]).sum(axis=1, dtype=np.int64)
+                closer = d < bits
+                bits[closer], to[closer] = d[closer], at
+                take = d <= SURE
+            else:
+                take = np.arange(len(left)) == bits.argmin()
+                if bits.min() > MAY:
+                    break
+            out += zip(to[take].tolist(), left[take].tolist(), bits[take].tolist(), strict=True)
+            queue += left[take].tolist()
+            left, bits, to = left[~take], bits[~take], to[~take]
     return out
 
 
-def _links(cell: pd.DataFrame) -> pd.DataFrame:
-    cell = cell.sort_values("node", ignore_index=True)
-    node = cell["node"].to_numpy()
-    found = forest([np.frombuffer(s, dtype=np.uint64) for s in cell["found"]], cell["part"].to_numpy())
-    return pd.DataFrame({"u": node[[a for a, _ in found]], "v": node[[b for _, b in found]]}, dtype="int64")
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v, bits): the forest of each cell of (cell, node, words), sorted by (cell, node)."""
+    for starts, arrays, cell in _groups(batches, 3):
+        node, words = arrays[1].to_numpy(zero_copy_only=False).astype(np.int64), _flat(arrays[2]).view(np.uint64)
+        rows = []
+        for start, end in zip(starts, np.append(starts[1:], len(cell)), strict=True):
+            rows += [(node[start + a], node[start + b], d) for a, b, d in forest(words[start:end]) if node[start + a] != node[start + b]]
+        u, v, d = (np.array(x, dtype=np.int64) for x in (zip(*rows, strict=True) if rows else ((), (), ())))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(d)], names=["u", "v", "bits"])
+
+
+def near_links(heads: DataFrame) -> DataFrame:
+    """(u, v, bits): links of ``heads`` (node, words) that may be similar enough."""
+    small_batches(heads.sparkSession)
+    heads = heads.select("node", "words")
+    schema = "anchor long, node long, word long"
+    placed = heads.mapInArrow(_replicate, schema)
+    most = heads.count() * WORDS * 32
+    rate = 1 if most <= FEW else SAMPLE_RATE
+    some = heads.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(rate)) == 0).mapInArrow(_replicate, schema)
+    large = cut(some.groupBy("anchor").agg((F.count("*") * rate).alias("n")).where(F.col("n") > CELL))
+    count = large.count()
+    cells = placed.select(F.col("anchor").alias("cell"), F.lit(0).alias("part"), "node", "word")
+    if count:
+        dealt = placed.join(F.broadcast(large) if count <= MOST_BROADCAST else large, "anchor", "left")
+        parts = F.coalesce(F.ceil(F.col("n") / CELL).cast("int"), F.lit(1))
+        dealt = dealt.withColumn("parts", parts).withColumn("part", F.expr("pmod(xxhash64(node, 7), parts)").cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        cell = F.when(F.col("parts") > 1, F.xxhash64("anchor", F.least("part", "other"), F.greatest("part", "other"))).otherwise(F.col("anchor"))
+        cells = dealt.select(cell.alias("cell"), "part", "node", "word")
+    met = cut(cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_meet, "cell long, node long, word long"))
+    sums = met.groupBy("cell").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node", "word")).alias("one"), F.bit_xor(F.xxhash64("node", "word", F.lit(1))).alias("two"))
+    once = sums.groupBy("n", "one", "two").agg(F.min("cell").alias("cell")).select((-1 - F.col("cell")).alias("key"))
+    members = met.withColumn("key", -1 - F.col("cell")).join(once, "key")  # a key of its own, so that AQE can split large cells
+    full = members.join(heads.withColumn("word", F.col("words")[0]), ["node", "word"]).select(F.col("key").alias("cell"), "node", "words")
+    found = full.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_links, "u long, v long, bits long")
+    return found.groupBy("u", "v").agg(F.min("bits").alias("bits"))
+
+
+def similar(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
+    """(u, v) of the ``pairs`` whose texts, of ``texts`` (id, text), have a similarity of ``least`` or more."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    sets = map_rows(texts.join(wanted, "id", "left_semi"), "id long, found binary", _sets, out_rows=256)
+    side = lambda n: sets.select(F.col("id").alias(n), F.col("found").alias(f"{n}_found"))
+    met = pairs.select("u", "v").join(side("v"), "v").join(side("u"), "u")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                a, b = (np.frombuffer(r[k], dtype=np.uint64) for k in ("u_found", "v_found"))
+                if min(len(a), len(b)) >= least * max(len(a), len(b)) - 1e-9:
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    if both >= least * (len(a) + len(b) - both) - 1e-9:
+                        rows.append((r["u"], r["v"]))
+            u, v = zip(*rows, strict=True) if rows else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return met.mapInArrow(confirm, "u long, v long")
 
 
-def near_links(texts: DataFrame, heads: DataFrame) -> DataFrame:
-    """(u, v): links of smallest ids that connect what near pairs of ``heads`` (key, node, bands) connect; texts: (id, text)."""
-    small_batches(texts.sparkSession)
-    placed = heads.select("key", "node", F.explode("bands").alias("bucket"))
-    met = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("one"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("two")).where("n > 1")
-    whole = met.groupBy("n", "one", "two").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    members = cut(placed.join(whole, "bucket"))
-    wanted = members.select(F.col("node").alias("id")).distinct()
-    sets = map_rows(texts.join(wanted, "id", "left_semi"), "key binary, found binary", _sets, out_rows=256).dropDuplicates(["key"])
-    dealt = members.withColumn("parts", F.ceil(F.col("n") / CELL).cast("long"))
-    dealt = dealt.withColumn("part", F.expr("pmod(xxhash64(key, 7), parts)")).join(sets, "key")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    cells = dealt.select("bucket", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "node", "found")
-    return cells.groupBy("bucket", "a", "b").applyInPandas(_links, "u long, v long")
+def confirmed(links: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v): links enough to connect what the similar ones of ``links`` connect, confirmed round by round."""
+    left, good = cut(links.withColumns({"cu": F.col("u"), "cv": F.col("v")})), None
+    for number in range(ROUNDS):
+        if left.isEmpty():
+            break
+        if number + 1 < ROUNDS:
+            ends = left.select(F.explode(F.array("cu", "cv")).alias("c"), "u", "v", "bits")
+            one = ends.groupBy("c").agg(F.min(F.struct((F.col("bits") > SURE).alias("doubt"), "u", "v")).alias("x"))
+            tried = cut(one.select("x.u", "x.v").distinct())
+        else:
+            tried = cut(left.select("u", "v"))
+        found = similar(tried, texts)
+        good = cut(found if good is None else good.union(found), instead_of=good)
+        star = cut(stars(good).select(F.col("u").alias("node"), F.col("v").alias("root")))
+        rest = left.join(tried, ["u", "v"], "left_anti").select("u", "v", "bits")
+        for end in ("u", "v"):
+            rest = rest.join(star.select(F.col("node").alias(end), F.col("root").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+        left = cut(rest.where("cu <> cv").select("u", "v", "bits", "cu", "cv"), instead_of=left)
+    return links.sparkSession.createDataFrame([], "u long, v long") if good is None else good
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each component; of rows that share that id, one."""
-    (name,) = fresh(docs, "near_id")
     texts = docs.select(id_or_least().alias("id"), text_or_empty().alias("text"))
-    signed = cut(map_rows(texts, "id long, key binary, bands array<long>", _signed, out_rows=1024))
-    heads = cut(signed.groupBy("key").agg(F.min("id").alias("node"), F.first("bands").alias("bands")))
+    signed = cut(map_rows(texts, "id long, key binary, words array<long>", _signed, out_rows=1024))
+    heads = cut(signed.groupBy("key").agg(F.min("id").alias("node"), F.first("words").alias("words")))
     named = signed.select("id", "key").join(heads.select("key", "node"), "key")
-    often = signed.groupBy("id").agg(F.count("*").alias("rows"), F.min("key").alias("low"), F.max("key").alias("high"))
+    often = signed.groupBy("id").agg(F.min("key").alias("low"), F.max("key").alias("high"))
     shared = named.join(often.where("low <> high").select("id"), "id", "left_semi")  # rows that share an id link what they hold
-    star = stars(near_links(texts, heads).union(shared.select(F.col("id").alias("u"), F.col("node").alias("v"))))
-    gone = named.where("id <> node").select("id").union(star.select(F.col("u").alias("id"))).distinct().withColumnRenamed("id", name)
-    kept = docs.withColumn(name, id_or_least()).join(gone, name, "left_anti")
-    most = often.agg(F.max("rows")).first()[0]
-    return (kept if (most or 0) < 2 else kept.dropDuplicates([name])).drop(name)
+    star = stars(confirmed(near_links(heads), texts).union(shared.select(F.col("id").alias("u"), F.col("node").alias("v"))))
+    gone = named.where("id <> node").select("id").union(star.select(F.col("u").alias("id"))).distinct()
+    return keep_ids(docs, signed.select("id").distinct().join(gone, "id", "left_anti"))

@@ -15,8 +15,9 @@ star of each of its components, at most one link for a fingerprint, never all pa
 star contraction, with checkpoints.
 
 Defined cases: null or empty text has fingerprint zero and links like any other; fewer words than a
-shingle are one shingle; a ``doc_id`` given twice is one node with the links of both rows; the smallest
-id (null is smallest and comes back as null) names a component.
+shingle are one shingle; a bit that exactly half the hashes have is 0; very long texts are held one at a time; a
+``doc_id`` given twice is one node with the links of both rows; the smallest id (null is smallest and comes back as
+null) names a component; extra columns are left out; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -206,17 +207,25 @@ def near_components(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFra
     links = near_links(distinct, most).union(each.join(by_id.where("u <> v"), "id").select(F.col("fp").alias("u"), "v"))
     star = stars(links).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rooted = distinct.join(star, "fp", "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("head").alias("component"))
+    named = cut(rooted.groupBy("root").agg(F.min("head").alias("component")))  # a table of its own, so that AQE can split the join's large components
     return each.join(rooted.join(named, "root").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
+def keep_ids(docs: DataFrame, stay: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``stay`` (id); of rows that share an id the one whose values have the smallest hash."""
+    key, own = fresh(docs, "near_id", "near_row")
+    kept = docs.withColumn(key, id_or_least()).join(stay.select(F.col("id").alias(key)), key, "left_semi")
+    ids = docs.select(id_or_least().alias("id")).groupBy("id").count().agg(F.max("count")).first()[0]
+    if (ids or 0) < 2:
+        return kept.drop(key)
+    hashed = kept.withColumn(own, F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))))
+    least = hashed.groupBy(key).agg(F.min(own).alias(own))
+    return hashed.join(least, [key, own], "left_semi").dropDuplicates([key]).drop(key, own)
+
+
 def drop_near_copies(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each component; of rows that share that id, one."""
-    (key,) = fresh(docs, "near_id")
-    stay = near_components(docs, shingle, most).where("id = component").select(F.col("id").alias(key)).distinct()
-    kept = docs.withColumn(key, id_or_least()).join(stay, key, "left_semi")
-    ids = docs.select(id_or_least().alias("id")).groupBy("id").count().agg(F.max("count")).first()[0]
-    return (kept if (ids or 0) < 2 else kept.dropDuplicates([key])).drop(key)
+    return keep_ids(docs, near_components(docs, shingle, most).where("id = component").select("id").distinct())
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
