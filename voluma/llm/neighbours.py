@@ -3,21 +3,25 @@
 Each half of the vectors gets one more coordinate that brings it to the largest norm of the halves, zero for
 queries, so that the nearest by distance has the largest inner product whatever the norms. It is quantised by its own
 centroids, fitted on a bounded sample (``SAMPLE`` vectors by hash of their id, a parameter); every vector is indexed under its pair of centroids. A query walks the
-pairs by rising summed distance with a heap until the cells it has opened hold the asked share of the index, then the
+pairs by rising summed distance with a heap until the cells it has opened hold ``goal`` vectors, then the
 vectors of those cells are ranked by the exact inner product in double precision.
 
-Scale: cells are grouped by their first centroid and dealt into parts of at most about ``PART`` vectors, known
-from cell counts (centroids squared numbers, which is also all that is broadcast); queries are dealt into
-blocks of ``PART / 4`` per group. Each group meets each block in a task-bounded cogroup that returns at most
-``k`` rows a query; a window with group limit merges them. A vector repeated any number of times only
-makes more parts.
-
-``visit`` trades recall for work: directions without structure in 64 dimensions need 0.6 of the index for a
-recall of 0.95 at 10,000 vectors, clustered ones far less.
-
-Defined cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components
-take no part, neither as queries nor as candidates; rows that share a ``vec_id`` are each candidates, of which a query leaves out
-its own id; with fewer than k candidates all are returned; an empty table gives an empty result.
+The goal is measured, not set: ``PROBES`` queries (by hash of their id) are searched by brute force in one scan of the
+index, and the goal is the least at which their walks open the asked share ``recall`` of their true neighbours.
+Directions without structure in 64 dimensions need 0.4 of 50,000 vectors for a recall of 0.93, and a falling share of
+more; clustered vectors need far less.
+
+Scale: cells are grouped by their first centroid and dealt into parts of about ``PART`` vectors, known from cell counts
+(centroids squared numbers, which is also all that is broadcast). Queries are dealt into blocks of about ``PART / 4``
+that are near each other (by their nearest first centroid), and a part is copied only to the blocks with a query that
+opens it. Each part meets a block in a task-bounded cogroup that returns at most ``k`` rows a query; a window with
+group limit merges them. A vector repeated any number of times only makes more parts.
+
+Defined cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components,
+and rows without an id, take no part, neither as queries nor as candidates; rows that share a ``vec_id`` are each
+candidates, of which a query leaves out its own id; query rows that share an id have a list each, unless their vectors
+are equal too; with fewer than k candidates all are returned; extra columns are left out; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ from voluma.llm.common import cut, map_rows, read, small_batches
 
 SAMPLE = 20_000
 PART = 4096
+#: Queries searched by brute force to find how many vectors a walk must open.
+PROBES = 64
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -82,18 +88,45 @@ def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, goal: float)
             heapq.heappush(heap, (da[i + 1] + db[0], i + 1, 0))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, visit: float = 0.6, sample: int = SAMPLE, least: int = 2000) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query (id, v) its ``k`` best of ``vectors`` (id, v) with another id."""
+def probe_cells(index: DataFrame, probes: list, k: int) -> dict[int, list[tuple[int, int]]]:
+    """The cells of the true ``k`` best of ``index`` (id, v, c1, c2) for each of ``probes``, by a scan."""
+    ids, x = np.array([p["id"] for p in probes]), np.array([p["v"] for p in probes])
+
+    def best(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [np.zeros((len(ids), 0))] + [np.zeros((len(ids), 0), dtype=np.int32)] * 2
+        for frame in batches:
+            if len(frame):
+                score = x @ np.stack(frame["v"].to_list()).T
+                score[ids[:, None] == frame["id"].to_numpy()] = -np.inf
+                cells = [np.broadcast_to(frame[c].to_numpy(), score.shape) for c in ("c1", "c2")]
+                held = [np.concatenate(pair, axis=1) for pair in zip(held, [score, *cells], strict=True)]
+                top = np.argsort(-held[0], axis=1, kind="stable")[:, :k]
+                held = [np.take_along_axis(h, top, axis=1) for h in held]
+        n = held[0].shape[1]
+        yield pd.DataFrame({"q": np.repeat(np.arange(len(ids), dtype=np.int32), n), "score": held[0].ravel(), "c1": held[1].ravel(), "c2": held[2].ravel()})
+
+    found = index.mapInPandas(best, "q int, score double, c1 int, c2 int").where(F.col("score") > float("-inf"))
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "c1", "c2")
+    out: dict[int, list[tuple[int, int]]] = {}
+    for r in found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).collect():  # PROBES * k rows
+        out.setdefault(r["q"], []).append((r["c1"], r["c2"]))
+    return out
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.93, sample: int = SAMPLE, least: int = 200) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each query (id, v) its ``k`` best of ``vectors`` (id, v) with another id.
+
+    A walk opens at least ``least`` vectors, and as many as a share of ``recall`` of the true neighbours takes.
+    """
     spark = vectors.sparkSession
     small_batches(spark)
     schema = "query_id long, rank int, vec_id long, score double"
-    total = vectors.count()
     lengths = vectors.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if not total:
+    if not lengths:
         return spark.createDataFrame([], schema)
-    width = lengths["n"]
+    width, total = lengths["n"], lengths["count"]
     vectors, queries = (x.where(F.size("v") == width) for x in (vectors, queries))
-    total = lengths["count"]
+    queries = queries.withColumn("key", F.xxhash64("id", "v")).dropDuplicates(["id", "key"])
     chosen = np.array([r["v"] for r in vectors.orderBy(F.xxhash64("id"), "id").limit(sample).collect()])
     half, pairs = max(1, width // 2), int(min(256, max(4, 2 ** round(np.log2(max(1, total) / 12) / 2))))
     halves = lambda x: (x[:, :half], x[:, half:] if width > 1 else np.zeros((len(x), 1)))
@@ -108,56 +141,82 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, visit: float = 0
             one, two = (completed(y, top) for y, top in zip(halves(x), tops, strict=True))
             yield pd.DataFrame({"id": frame["id"], "v": frame["v"], "c1": nearest(one, books[0]).astype(np.int32), "c2": nearest(two, books[1]).astype(np.int32)})
 
+    def distances(v: np.ndarray) -> list[np.ndarray]:
+        return [(b**2).sum(axis=1) - 2 * y[0] @ b[:, :-1].T for b, y in zip(books, halves(np.asarray(v)[None]), strict=True)]
+
     index = cut(vectors.mapInPandas(quantise, "id long, v array<double>, c1 int, c2 int"))
     counts = np.zeros(sizes, dtype=np.int64)
     for r in index.groupBy("c1", "c2").count().collect():  # at most 256 x 256 rows
         counts[r["c1"], r["c2"]] = r["count"]
-    by_first = counts.sum(axis=1)
-    parts = [int(max(1, -(-n // PART))) for n in by_first]
-    goal, table = max(least, visit * total), counts.tolist()
-
-    def probes(rows: Iterable[dict]) -> Iterator[tuple]:
+    parts = [int(max(1, -(-n // PART))) for n in counts.sum(axis=1)]
+    table = counts.tolist()
+
+    probes, opened_at = queries.orderBy(F.xxhash64("id"), "id", "key").limit(PROBES).collect(), [0]
+    for q, cells in probe_cells(index, probes, k).items():
+        sums = np.add.outer(*distances(probes[q]["v"])).ravel()
+        order = np.argsort(sums, kind="stable")
+        position = np.empty(len(sums))
+        position[order] = np.cumsum(counts.ravel()[order])
+        opened_at += [position[a * sizes[1] + b] for a, b in cells]
+    goal = max(least, float(np.quantile(opened_at, recall, method="higher")))
+
+    def near(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            yield frame.assign(near=[int(distances(v)[0].argmin()) for v in frame["v"]])
+
+    dealt = queries.mapInPandas(near, "id long, v array<double>, key long, near int")
+    load = np.zeros(sizes[0], dtype=np.int64)
+    for r in dealt.groupBy("near").count().collect():  # at most 256 rows
+        load[r["near"]] = r["count"]
+    axis = np.linalg.svd(books[0] - books[0].mean(axis=0), full_matrices=False)[2][0]
+    line = np.argsort(books[0] @ axis)
+    ends = np.cumsum(load[line])
+    first, last = np.zeros(sizes[0], dtype=np.int64), np.zeros(sizes[0], dtype=np.int64)
+    first[line], last[line] = (ends - load[line]) * 4 // PART, np.maximum(ends - 1, 0) * 4 // PART
+    span = np.maximum(last - first, 0) + 1
+
+    def walked(rows: Iterable[dict]) -> Iterator[tuple]:
         for r in rows:
-            x = np.array([r["v"]])
-            one, two = halves(x)
-            d1, d2 = ((b**2).sum(axis=1) - 2 * y[0] @ b[:, :-1].T for b, y in zip(books, (one, two), strict=True))
-            opened: dict[int, list[int]] = {}
-            for a, b in walk(d1, d2, table, goal):
-                opened.setdefault(a, []).append(b)
-            for a, seconds in opened.items():
-                for part in range(parts[a]):
-                    yield r["id"], r["v"], a, part, seconds
-
-    asked = map_rows(queries, "id long, v array<double>, c1 int, part int, seconds array<int>", probes, out_rows=512)
-    asked_total = queries.count()
-    blocks = max(1, -(-4 * asked_total // PART))
-    asked = asked.withColumn("block", F.expr(f"pmod(xxhash64(id), {blocks})").cast("int"))
-    part_of = F.get(F.lit(parts), F.col("c1"))
-    part = (F.expr("pmod(xxhash64(id, v), 1000000)") % part_of).cast("int")  # keys of one type on both sides: equal numbers of other types hash apart
-    spread = index.withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+            opened: dict[int, np.ndarray] = {}
+            for a, b in walk(*distances(r["v"]), table, goal):
+                if a not in opened:
+                    opened[a] = np.zeros(sizes[1], dtype=bool)
+                opened[a][b] = True
+            block = first[r["near"]] + r["key"] % span[r["near"]]
+            yield r["id"], r["v"], r["key"], int(block), [(a, np.packbits(s).tobytes()) for a, s in opened.items()]
+
+    asked = cut(map_rows(dealt, "id long, v array<double>, key long, block long, opened array<struct<c1:int,seconds:binary>>", walked, out_rows=512))
+    every = F.expr("explode(sequence(0, parts - 1))").alias("part")
+    to = asked.select(F.col("block").alias("asked_by"), F.explode("opened.c1").alias("c1")).distinct().withColumn("parts", F.get(F.lit(parts), F.col("c1")))
+    to = to.select("c1", every, F.col("asked_by").alias("block"))
+    asked = asked.select("id", "v", "key", "block", F.inline("opened")).withColumn("parts", F.get(F.lit(parts), F.col("c1"))).select("id", "v", "key", "block", "c1", "seconds", every)
+    part = (F.expr("pmod(xxhash64(id, v), 1000000)") % F.get(F.lit(parts), F.col("c1"))).cast("int")  # keys of one type on both sides: equal numbers of other types hash apart
+    spread = index.withColumn("part", part).join(to, ["c1", "part"])
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
             x, ids, second = np.stack(right["v"].to_list()), right["id"].to_numpy(), right["c2"].to_numpy()
             for start in range(0, len(left), 128):
-                part = left.iloc[start : start + 128]
-                rough = np.stack(part["v"].to_list()) @ x.T
-                for row, (own, v, seconds) in enumerate(zip(part["id"], part["v"], part["seconds"], strict=True)):
-                    open_ = np.zeros(sizes[1], dtype=bool)
-                    open_[seconds] = True
+                some = left.iloc[start : start + 128]
+                rough = np.stack(some["v"].to_list()) @ x.T
+                for row, (own, key, v, seconds) in enumerate(zip(some["id"], some["key"], some["v"], some["seconds"], strict=True)):
+                    open_ = np.unpackbits(np.frombuffer(seconds, dtype=np.uint8), count=sizes[1]).astype(bool)
                     at = np.flatnonzero(open_[second] & (ids != own))
                     if len(at) > k:
                         s = rough[row, at]
                         at = at[s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9 * (1 + np.abs(s).max())]
                     score = (x[at] * np.asarray(v)).sum(axis=1)
                     best = np.lexsort((ids[at], -score))[:k]
-                    out.append((own, ids[at][best], score[best]))
-        return pd.DataFrame({"query_id": np.repeat([o[0] for o in out], [len(o[1]) for o in out]) if out else [], "vec_id": np.concatenate([o[1] for o in out]) if out else [], "score": np.concatenate([o[2] for o in out]) if out else []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                    out.append((own, key, ids[at][best], score[best]))
+        n = [len(o[2]) for o in out]
+        column = lambda c: np.concatenate([o[c] for o in out]) if out else []
+        names = {"query_id": np.repeat([o[0] for o in out], n) if out else [], "key": np.repeat([o[1] for o in out], n) if out else []}
+        return pd.DataFrame(names | {"vec_id": column(2), "score": column(3)}).astype({"query_id": "int64", "key": "int64", "vec_id": "int64", "score": "float64"})
 
     keys = ["c1", "part", "block"]
-    met = asked.groupBy(*keys).cogroup(spread.select("id", "v", "c2", *keys).groupBy(*keys)).applyInPandas(rank, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    met = asked.groupBy(*keys).cogroup(spread.select("id", "v", "c2", *keys).groupBy(*keys)).applyInPandas(rank, "query_id long, key long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
