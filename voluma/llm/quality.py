@@ -5,11 +5,12 @@ shares), computed over its whole text. Each class gets a mean and a covariance t
 pooled covariance and towards its own diagonal; the Cholesky factors are computed once and cached with the
 model. The score is the logistic of the Mahalanobis log-density difference plus the log prior odds.
 
-Scale: the fit needs only counts, sums and outer products, which partitions emit and one small
-aggregate adds up; it uses every labelled training row and holds nothing but d x d numbers. Scoring is a
-scan without shuffle.
+Scale: the labels meet their texts first, so statistics for the fit are computed of labelled training rows alone. The
+fit needs only their counts, sums and outer products, which partitions emit and one small aggregate adds up; it uses
+every labelled training row and holds nothing but d x d numbers. Scoring is a scan without shuffle.
 
-Defined cases: null or empty text has the statistics of no words and is scored as such; a label that is
+Defined cases: null or empty text has the statistics of no words and is scored as such; very long texts are scored
+whole, one at a time; ``with_scores`` replaces a column of the given name; an empty table has no scores; a label that is
 neither 0 nor 1, and labels without a document, take no part; rows labelled twice count twice; with fewer
 than two training rows of a class every score is the share of label 1 (or 0.5 without labels).
 """
@@ -83,6 +84,14 @@ def statistics(text: str) -> np.ndarray:
     return np.concatenate([shares, more])
 
 
+def forward(factor: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The solution of ``factor @ z = right`` for a lower triangle, by forward substitution."""
+    z = np.empty_like(right)
+    for k in range(len(factor)):
+        z[k] = (right[k] - factor[k, :k] @ z[:k]) / factor[k, k]
+    return z
+
+
 @dataclass(frozen=True)
 class Model:
     means: np.ndarray
@@ -96,7 +105,7 @@ class Model:
             return np.full(len(x), self.constant)
         density = []
         for mean, factor, log_det in zip(self.means, self.factors, self.log_dets, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)
+            z = forward(factor, (x - mean).T)
             density.append(-0.5 * (z**2).sum(axis=0) - 0.5 * log_det)
         return 1 / (1 + np.exp(-np.clip(density[1] - density[0] + self.log_odds, -500, 500)))
 
@@ -129,22 +138,17 @@ def fit(docs: DataFrame, labels: DataFrame, pooled: float = 0.5, diagonal: float
     marks = labels.where(F.col("quality").isin(0, 1) & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False))).select(id_or_least().alias("id"), F.col("quality").cast("int").alias("y"))
     d = len(NAMES)
 
-    def vectors(rows: Iterable[dict]) -> Iterator[tuple]:
-        for r in rows:
-            yield r["id"], statistics(r["text"]).tolist()
-
     def moments(rows: Iterable[dict]) -> Iterator[tuple]:
         parts = {}
         for r in rows:
-            x = np.array(r["x"])
+            x = statistics(r["text"])
             n, s, p = parts.get(r["y"], (0, np.zeros(d), np.zeros((d, d))))
             parts[r["y"]] = n + 1, s + x, p + np.outer(x, x)
         for y, (n, s, p) in parts.items():
             yield y, [float(n), *s, *p.ravel()]
 
-    known = docs.select(id_or_least().alias("id"), text_or_empty().alias("text"))
-    each = map_rows(known, "id long, x array<double>", vectors).join(marks, "id")
-    added = map_rows(each, "y int, m array<double>", moments).select("y", F.posexplode("m").alias("i", "m")).groupBy("y", "i").agg(F.sum("m").alias("m"))
+    known = docs.select(id_or_least().alias("id"), text_or_empty().alias("text")).join(marks, "id")
+    added = map_rows(known, "y int, m array<double>", moments).select("y", F.posexplode("m").alias("i", "m")).groupBy("y", "i").agg(F.sum("m").alias("m"))
     sums = np.zeros((2, 1 + d + d * d))
     for r in added.collect():  # 2 x (1 + d + d * d) numbers, whatever the input
         sums[r["y"], r["i"]] = r["m"]
