@@ -6,7 +6,8 @@ where many pages are equal). A task then streams its pages into archives: the fi
 records are held back, a dictionary is trained on them, written in a skippable frame, and every record is
 compressed by itself with it. Archives are closed at ``ARCHIVE_BYTES``. Names carry a random part, and the
 manifest lists those of the tasks that succeeded, so a retried task leaves no double. Reading streams frame
-by frame with memory for one record.
+by frame with memory for one record; a response's length and digest are computed of the payload that was read, and
+a difference from its header fails.
 
 Scale: one shuffle of the pages, by digest; memory is bounded by the sample and one record; the manifest is
 one row an archive and is itself a written table.
@@ -18,6 +19,7 @@ extra columns are left out; an empty table writes no archive.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import struct
 import uuid
@@ -71,6 +73,16 @@ def parse(data: bytes) -> dict:
     return fields | {"payload": payload, "payload_bytes": length}
 
 
+def verified(fields: dict) -> dict:
+    """A parsed record, with length and digest taken from the payload itself where the record holds one; they must be those of the header."""
+    if fields["warc-type"] == "response":
+        length, digest = len(fields["payload"]), f"sha256:{hashlib.sha256(fields['payload']).hexdigest()}"
+        if (length, digest) != (fields["payload_bytes"], fields["warc-payload-digest"]):
+            raise ValueError(f"record {fields['warc-record-id']}: payload and header differ")
+        fields |= {"payload_bytes": length, "warc-payload-digest": digest}
+    return fields
+
+
 def dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
     """A dictionary of the samples, or None where there is too little to learn from."""
     try:
@@ -190,7 +202,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
         for r in rows:
             with _open(r["path"], "r") as stream:
                 for data in frames(stream):
-                    x = parse(data)
+                    x = verified(parse(data))
                     yield (number(x["warc-record-id"]), x["warc-target-uri"], x["payload"], x["payload_bytes"], x["warc-payload-digest"].removeprefix("sha256:"), x["warc-type"], number(x.get("warc-refers-to")))
 
     spread = manifest.repartition(max(1, manifest.count()), "path") if not manifest.isEmpty() else manifest
