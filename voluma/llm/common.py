@@ -6,6 +6,8 @@ Conventions that hold for every operator in this package
   (where whole rows are returned) or are left out (where a digest is returned).
 * A null text is the empty text. A null identifier is the smallest identifier.
 * An empty table gives an empty result with the same schema.
+* Arrow batches are bounded by the session (``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB); no setting is changed.
+* Intermediate tables lie in the shared folder; inside ``scratch`` they are deleted at its end.
 """
 
 from __future__ import annotations
@@ -13,13 +15,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; with documents of a few KB that is a few MB at a time.
-ARROW_ROWS = 1000
 #: The identifier that stands for null inside the operators.
 NULL_ID = -(1 << 63)
 
@@ -41,27 +43,48 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: The folder of the innermost ``scratch``, if there is one.
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared storage."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for the tables cut inside, deleted at the end; what is computed from them must be written by then."""
+    folder = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    token = _scratch.set(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.reset(token)
+        delete(spark, folder)
+
+
 def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """The same rows read back from a table in the shared folder: lineage ends there, and its size is known to the planner.
 
     ``instead_of`` is a table cut before that is not needed any more.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{_scratch.get() or shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if instead_of is not None and hasattr(instead_of, "cut_path"):
-        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(instead_of.cut_path)
-        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        delete(spark, instead_of.cut_path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of ARROW_ROWS rows unless the session asks for fewer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+def cut_with(df: DataFrame, aggregates: list[Column], instead_of: DataFrame | None = None) -> tuple[DataFrame, list]:
+    """``cut`` and the aggregates of the table, taken while it is written: no scan and no job more."""
+    seen = Observation()
+    out = cut(df.observe(seen, *[a.alias(f"a{k}") for k, a in enumerate(aggregates)]), instead_of)
+    return out, [seen.get[f"a{k}"] for k in range(len(aggregates))]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -89,7 +112,6 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterable[dict]], Iterat
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    small_batches(df.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

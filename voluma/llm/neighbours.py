@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voluma.llm.common import cut, map_rows, read, small_batches
+from voluma.llm.common import cut, map_rows, read
 
 SAMPLE = 20_000
 PART = 4096
@@ -119,7 +119,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     A walk opens at least ``least`` vectors, and as many as a share of ``recall`` of the true neighbours takes.
     """
     spark = vectors.sparkSession
-    small_batches(spark)
     schema = "query_id long, rank int, vec_id long, score double"
     lengths = vectors.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if not lengths:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voluma.llm.common import NULL_ID, cut, fresh, id_or_least, read, small_batches, text_or_empty
+from voluma.llm.common import NULL_ID, cut, fresh, id_or_least, read, text_or_empty
 
 ROWS = 2
 #: A block of the sketch has 2 ** 20 cells, or more where there would be over 2 ** 12 blocks.
@@ -248,7 +248,6 @@ def covered(docs: DataFrame, names: tuple[str, str], window: int = 50, block_bit
 
     ``docs`` has both in the columns ``names``. A later copy of a whole text has the one start -1.
     """
-    small_batches(docs.sparkSession)
     key, own = names
     texts = docs.select(F.col(f"`{key}`").alias("id"), *[c.alias(n) for n, c in _text_hashes(text_or_empty()).items()], text_or_empty().alias("text"))
     signed = cut(texts.mapInArrow(_signed(window), "id long, t1 long, t2 long, least array<long>"))
