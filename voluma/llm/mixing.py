@@ -10,8 +10,12 @@ the others share the rest in proportion to their targets. A document is in the s
 DataFrame functions only.
 
 Targets: by default a category's share of the tokens to the power ``temper``, normalised, which lifts small
-categories and lowers large ones; ``targets`` may give (category, share) tables instead. Topic: a column, or
-else the bucket of the smallest word hash, a content cell that near copies share.
+categories and lowers large ones; ``targets`` may give (category, share) tables instead. Topic: a column, or else the
+nearest of a few directions to the shares of the document's distinct words in 16 buckets, less the mean shares of its
+language (one more scan), so that the words which a language always has decide nothing.
+
+Targets that can't be met together leave a residual: ``residual`` is the largest miss of a target share, over all three
+marginals of the fitted weights; it is near zero where the fit has converged, and the sweeps end at ``most_sweeps``.
 
 Defined cases: tokens are words plus one end marker, so empty or null texts weigh one token; a null source,
 language or topic is the category ''; categories that a given target table lacks get probability 0; rows
@@ -20,24 +24,64 @@ that share a ``doc_id`` share the draw; an empty table gives an empty sample.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voluma.llm.common import cut, fresh, id_or_least, read, text_or_empty
+from voluma.llm.common import cut, cut_with, fresh, id_or_least, read, text_or_empty
+from voluma.llm.syncmers import let
 
 DIMENSIONS = ("source", "lang", "topic")
 _SPACE = "[\\x20\\x09-\\x0D]+"
+#: Buckets of word hashes, a power of two.
+BUCKETS = 16
 
 
-def _cell_columns(docs: DataFrame, topics: int, topic: str | None) -> dict[str, Column]:
+def _features(docs: DataFrame, topic: str | None) -> dict[str, Column]:
+    """source, lang, tokens, and the topic or the shares of the distinct words in each bucket."""
+    category = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
     words = F.filter(F.split(text_or_empty(), _SPACE), lambda w: w != "")
-    own = F.col(f"`{topic}`").cast("string") if topic else F.pmod(F.array_min(F.transform(words, lambda w: F.xxhash64(w))), F.lit(topics)).cast("string")
-    return {
-        "source": F.coalesce(F.col("source").cast("string"), F.lit("")),
-        "lang": F.coalesce(F.col("lang").cast("string"), F.lit("")),
-        "topic": F.coalesce(own, F.lit("")),
-        "tokens": F.size(words).cast("long") + 1,
-    }
+    found = {"source": category("source"), "lang": category("lang")}
+    if topic:
+        return found | {"tokens": F.size(words).cast("long") + 1, "topic": category(topic)}
+
+    def counted(w: Column) -> Column:
+        # the distinct words' buckets and one of each, sorted: a bucket's count is how far the next one's first place is
+        buckets = F.transform(F.array_distinct(w), lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int"))
+        places = let(F.sort_array(F.concat(buckets, F.sequence(F.lit(0), F.lit(BUCKETS)))), lambda p: F.array(*[F.array_position(p, F.lit(b)) for b in range(BUCKETS + 1)]))
+        share = let(places, lambda p: F.array(*[(p[b + 1] - p[b] - 1) / F.greatest(p[BUCKETS] - BUCKETS - 1, F.lit(1)) for b in range(BUCKETS)]))
+        return F.struct((F.size(w).cast("long") + 1).alias("tokens"), share.alias("shares"))
+
+    both = let(words, counted)
+    return found | {"tokens": both["tokens"], "shares": both["shares"]}
+
+
+def _signs(topics: int) -> list[list[int]]:
+    """Rows of the Sylvester matrix of order BUCKETS, without the first, and their negatives: the directions of the topics."""
+    rows = [[-1 if (row & b).bit_count() % 2 else 1 for b in range(BUCKETS)] for row in range(1, 1 + (topics + 1) // 2)]
+    return [sign for row in rows for sign in (row, [-x for x in row])][:topics]
+
+
+def with_cells(docs: DataFrame, out: str, topics: int, topic: str | None) -> DataFrame:
+    """``docs`` and the struct ``out`` of source, lang, tokens, topic."""
+    if not 1 <= topics <= 2 * (BUCKETS - 1):
+        raise ValueError(f"topics must be 1 to {2 * (BUCKETS - 1)}")
+    tagged = docs.withColumn(out, F.struct(*[c.alias(n) for n, c in _features(docs, topic).items()]))
+    if topic:
+        return tagged
+    (key,) = fresh(tagged, "mixture_lang")
+    shares = F.col(out)["shares"]
+    means = cut(tagged.groupBy(F.col(out)["lang"].alias(key)).agg(F.array(*[F.avg(shares[b]) for b in range(BUCKETS)]).alias(f"{key}_mean")))
+    rest = F.zip_with(shares, F.col(f"{key}_mean"), lambda x, m: x - m)
+
+    def nearest(x: Column) -> Column:
+        along = F.array(*[sum((x[b] * sign for b, sign in enumerate(row)), F.lit(0.0)) for row in _signs(topics)])
+        return let(along, lambda a: F.array_position(a, F.array_max(a)) - 1)
+
+    joined = tagged.withColumn(key, F.col(out)["lang"]).join(means, key)
+    topic_of = let(rest, nearest).cast("string").alias("topic")
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(F.col(out)["source"].alias("source"), F.col(out)["lang"].alias("lang"), F.col(out)["tokens"].alias("tokens"), topic_of).alias(out))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], most_sweeps: int = 25, close: float = 1e-4, bounded: float | None = None) -> DataFrame:
@@ -61,22 +105,30 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], most_sweeps: int = 25,
             cells = cells.join(factor, name).withColumn("w", F.coalesce(F.col("w") * F.col("factor"), F.lit(0.0)))
             if bounded is not None:
                 cells = cells.withColumn("w", F.least("w", F.col("tokens") * 1e9))
-            if gap is None:  # how far the first marginal has moved since it was last met
-                gap = F.abs(F.col("factor") - 1)
-                cells = cells.withColumn("gap", gap)
-            elif bounded is not None:  # a step does not meet its marginal at once
-                cells = cells.withColumn("gap", F.greatest("gap", F.abs(F.col("factor") - 1)))
+            moved = F.when(F.col("w") > 0, F.abs(F.col("factor") - 1)).otherwise(0.0)  # how far each marginal was from its target
+            gap = moved if gap is None else F.greatest("gap", moved)
+            cells = cells.withColumn("gap", gap)
             cells = cells.drop("factor")
             if bounded is not None:  # its sums are longer: short plans spare the driver
-                cells, before = (kept := cut(cells, instead_of=before)), kept
+                cells, (worst,) = cut_with(cells, [F.max("gap")], instead_of=before)
+                before = cells
         if bounded is None:
-            cells = cut(cells, instead_of=before)
-        worst = cells.agg(F.max("gap")).first()[0]
+            cells, (worst,) = cut_with(cells, [F.max("gap")], instead_of=before)
         if worst is None or worst < close:
             break
     return cells
 
 
+def residual(cells: DataFrame, targets: dict[str, DataFrame]) -> float:
+    """The largest miss of a target share by the weights ``w`` of ``cells``, over all categories of all marginals."""
+    total = cells.agg(F.sum("w")).first()[0]
+    misses = [
+        cells.groupBy(name).agg(F.sum("w").alias("w")).join(goal, name, "left").select(F.abs(F.col("w") / F.lit(total or 1.0) - F.coalesce("share", F.lit(0.0))).alias("miss"))
+        for name, goal in targets.items()
+    ]
+    return reduce(DataFrame.union, misses).agg(F.max("miss")).first()[0] or 0.0 if total else 0.0
+
+
 def reachable(cells: DataFrame, name: str, target: DataFrame, whole: float) -> DataFrame:
     """``target`` with no category over the tokens it has; what it cannot take goes to the others in proportion."""
     there = cells.where("w > 0").groupBy(name).agg(F.sum("tokens").cast("double").alias("there"))
@@ -100,19 +152,18 @@ def tempered(cells: DataFrame, name: str, temper: float) -> DataFrame:
 
 def scale_for(cells: DataFrame, share: float) -> float:
     """The scale at which sum(min(tokens, scale * w)) is ``share`` of all tokens, by passes over ever finer grids."""
-    low, high = 0.0, 1.0
-    total, fitted = cells.agg(F.sum("tokens"), F.sum("w")).first()
+    total, fitted, there = cells.agg(F.sum("tokens"), F.sum("w"), F.sum(F.when(F.col("w") > 0, F.col("tokens")))).first()
     if not total or not fitted:
         return 0.0
-    goal = share * min(total, cells.where("w > 0").agg(F.sum("tokens")).first()[0])
-    grid = [2.0 ** (i / 2 - 8) for i in range(80)]
-    for _ in range(3):
+    goal = min(share * total, there)
+    grid = [2.0 ** (i / 6 - 8) for i in range(240)]
+    for _ in range(2):
         tried = cells.select("tokens", "w", F.explode(F.lit(grid)).alias("scale"))
         taken = tried.groupBy("scale").agg(F.sum(F.least(F.col("tokens").cast("double"), F.col("w") * F.col("scale"))).alias("taken"))
         sums = {r["scale"]: r["taken"] for r in taken.collect()}  # one row for each value of the grid
         low = max((g for g, s in sums.items() if s <= goal), default=0.0)
         high = min((g for g, s in sums.items() if s > goal), default=grid[-1])
-        grid = [low + (high - low) * i / 63 for i in range(64)]
+        grid = [low + (high - low) * i / 239 for i in range(240)]
     return (low + high) / 2
 
 
@@ -130,19 +181,19 @@ def bounded_fit(fitted: DataFrame, goals: dict[str, DataFrame], share: float) ->
 def mixture(docs: DataFrame, share: float = 0.6, temper: float = 0.7, topics: int = 8, topic: str | None = None, targets: dict[str, DataFrame] | None = None, seed: int = 9) -> DataFrame:
     """``docs`` and a struct column of its cell, tokens, weight, probability and draw; the column is the last one."""
     (out, key) = fresh(docs, "mixture", "mixture_cell")
-    columns = _cell_columns(docs, topics, topic)
-    tagged = docs.withColumn(out, F.struct(*[c.alias(n) for n, c in columns.items()]))
+    tagged = with_cells(docs, out, topics, topic)
     cells = tagged.groupBy(*[F.col(out)[d].alias(d) for d in DIMENSIONS]).agg(F.sum(F.col(out)["tokens"]).alias("tokens"))
     cells = cut(cells.withColumn("w", F.col("tokens").cast("double")))
     goals = {d: cut(tempered(cells, d, temper)) if d not in (targets or {}) else targets[d] for d in DIMENSIONS}
     fitted = rake(cells, goals)
+    missed = residual(fitted, goals)
     drawn = bounded_fit(fitted.withColumn("fitted", F.col("w")), goals, share)
     weights = drawn.select(F.struct(*DIMENSIONS).alias(key), (F.col("fitted") / F.col("tokens")).alias(f"{key}_weight"), (F.col("w") / F.col("tokens")).alias(f"{key}_odds"))
     joined = tagged.withColumn(key, F.struct(*[F.col(out)[d].alias(d) for d in DIMENSIONS])).join(weights, key, "left")
     weight = F.coalesce(F.col(f"{key}_weight"), F.lit(0.0))
     probability = F.least(F.lit(1.0), F.coalesce(F.col(f"{key}_odds"), F.lit(0.0)))
     draw = F.xxhash64(F.lit(seed), id_or_least()).bitwiseAND((1 << 53) - 1) / F.lit(float(1 << 53))
-    struct = F.struct(F.col(f"{out}.*"), weight.alias("weight"), probability.alias("probability"), (draw < probability).alias("sampled"))
+    struct = F.struct(F.col(f"{out}.*"), weight.alias("weight"), probability.alias("probability"), (draw < probability).alias("sampled"), F.lit(missed).alias("residual"))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], struct.alias(out))
 
 
@@ -154,5 +205,5 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select(
-        "doc_id", "mixture.source", "mixture.lang", "mixture.topic", F.col("mixture.tokens").alias("n_tokens"), "mixture.weight", "mixture.probability", "mixture.sampled"
+        "doc_id", "mixture.source", "mixture.lang", "mixture.topic", F.col("mixture.tokens").alias("n_tokens"), "mixture.weight", "mixture.probability", "mixture.sampled", "mixture.residual"
     )
