@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from voluma.functions.codec import Lists
+from voluma.kernel import pairs
 from voluma.kernel.shape import SOLID, GeometryError
 
 _REFUSALS = (("is_closed", False, "is not closed"), ("is_manifold", False, "is not manifold"), ("is_oriented", False, "has inconsistent orientation"), ("degenerate_faces", True, "contains degenerate faces"), ("self_intersections", True, "has self-intersecting faces"))
@@ -84,3 +85,99 @@ def areas(array: pa.StructArray, strict: bool = True) -> pa.Array:
     ends = np.searchsorted(row, np.arange(len(array)), side="right")
     starts = np.searchsorted(row, np.arange(len(array)), side="left")
     return pa.array(_sums(size, starts, ends), pa.float64(), mask=~present | bad)
+
+
+class _Side:
+    """One column of a batch of pairs."""
+
+    def __init__(self, array: pa.StructArray) -> None:
+        v, t, _ = _corners(array)
+        self.tri = Lists(array.field("tri"))
+        to = self.tri.offsets // 3 - self.tri.offsets[0] // 3
+        self.solids = pairs.Solids.of(v, Lists(array.field("xs")).offsets, t, to)
+        self.shells, self.faces, self.triangles = (Lists(array.field(n)) for n in ("solid_shell", "shell_face", "face_tri"))
+        kind, valid = np.asarray(array.field("kind").fill_null(-1)), array.field("validation").field("is_valid").cast(pa.int64()).fill_null(0)
+        self.sound = np.asarray(array.is_valid()) & (kind == SOLID) & (np.asarray(valid) != 0) & (np.diff(to) > 0)
+        self.crs = array.field("crs").fill_null("")
+
+    def _stretch(self, r: int, first: int, last: int) -> np.ndarray:
+        """The triangles of the faces from ``first`` to ``last`` of a row."""
+        s, ends = self.solids, self.triangles[r]
+        return s.v[s.t[s.to[r] + ends[first] : s.to[r] + ends[last]]]
+
+    def solid_triangles(self, r: int) -> list[np.ndarray]:
+        shells, faces = self.shells[r], self.faces[r]
+        return [self._stretch(r, faces[shells[k]], faces[shells[k + 1]]) for k in range(len(shells) - 1)]
+
+    def part_points(self, r: int) -> np.ndarray:
+        faces = self.faces[r]
+        return np.stack([self._stretch(r, f, f + 1)[0, 0] for f in faces[:-1]])
+
+
+class Pairs:
+    """What batches of pairs of valid solids in one reference system give; other rows are left to the row functions."""
+
+    def __init__(self, a: pa.StructArray, b: pa.StructArray) -> None:
+        self.a, self.b = _Side(a), _Side(b)
+        self.n = len(a)
+        same = np.array([x == y for x, y in zip(self.a.crs.to_pylist(), self.b.crs.to_pylist(), strict=True)], dtype=bool)
+        self.rows = np.flatnonzero(self.a.sound & self.b.sound & same)
+        (al, ah), (bl, bh) = self.a.solids.boxes(), self.b.solids.boxes()
+        r = self.rows
+        gap = np.maximum(0, np.maximum(al[r] - bh[r], bl[r] - ah[r]))
+        self.gap = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+
+    def meet(self, some: np.ndarray) -> np.ndarray:
+        """Exactly which of the rows ``some`` share a point."""
+        out = pairs.surfaces_meet(self.a.solids, self.b.solids, some, some)
+        for one, two in ((self.a, self.b), (self.b, self.a)):
+            apart = np.flatnonzero(~out)
+            out[apart] = pairs.parts_inside(one.solids, some[apart], one.solid_triangles, two.solids, some[apart], two.part_points)
+        return out
+
+    def intersects(self) -> np.ndarray:
+        out = np.zeros(len(self.rows), dtype=bool)
+        touching = np.flatnonzero(self.gap == 0)
+        out[touching] = self.meet(self.rows[touching])
+        return out
+
+    def distances(self, limits: np.ndarray | None = None) -> np.ndarray:
+        """Of each row the distance; with limits only which side of its limit it lies on."""
+        out = np.where(self.intersects(), 0.0, np.inf)
+        far = out > 0
+        if limits is not None:
+            far &= (limits >= 0) & (self.gap <= limits * (1 + 1e-12))
+        at = np.flatnonzero(far)
+        if len(at):
+            out[at] = np.sqrt(pairs.apart2(self.a.solids, self.b.solids, self.rows[at], self.rows[at], None if limits is None else limits[at] ** 2))
+        return out
+
+    def as_list(self, values: np.ndarray) -> list:
+        out: list = [None] * self.n
+        for r, x in zip(self.rows.tolist(), values.tolist(), strict=True):
+            out[r] = x
+        return out
+
+
+def pair_distances(a: pa.Array, b: pa.Array) -> list:
+    both = Pairs(a, b)
+    return both.as_list(both.distances())
+
+
+def pair_intersects(a: pa.Array, b: pa.Array) -> list:
+    both = Pairs(a, b)
+    return both.as_list(both.intersects())
+
+
+def pair_disjoint(a: pa.Array, b: pa.Array) -> list:
+    both = Pairs(a, b)
+    return both.as_list(~both.intersects())
+
+
+def pair_within(a: pa.Array, b: pa.Array, limit: pa.Array) -> list:
+    both = Pairs(a, b)
+    given = np.asarray(limit.cast(pa.float64()).fill_null(np.nan))
+    known = ~np.isnan(given[both.rows])
+    both.rows, both.gap = both.rows[known], both.gap[known]
+    limits = given[both.rows]
+    return both.as_list((both.distances(limits) <= limits) & (limits >= 0))

@@ -41,14 +41,15 @@ class Heavy:
     whole: Callable | None = None
     doc: str = ""
     many: Callable | None = None  # results of the rows that a batch function can settle, None for the rest
+    pairs: Callable | None = None  # the same from the Arrow columns of two values
 
 
 HEAVY: dict[str, Heavy] = {}
 
 
-def heavy(name: str, arguments: str, returns: str, optional: tuple[int, ...] = (), whole: Callable | None = None, many: Callable | None = None):
+def heavy(name: str, arguments: str, returns: str, optional: tuple[int, ...] = (), whole: Callable | None = None, many: Callable | None = None, pairs: Callable | None = None):
     def add(row: Callable) -> Callable:
-        HEAVY[name] = Heavy(name, tuple(arguments.split()), returns, row, frozenset(optional), whole, (row.__doc__ or "").strip(), many)
+        HEAVY[name] = Heavy(name, tuple(arguments.split()), returns, row, frozenset(optional), whole, (row.__doc__ or "").strip(), many, pairs)
         return row
 
     return add
@@ -57,6 +58,14 @@ def heavy(name: str, arguments: str, returns: str, optional: tuple[int, ...] = (
 def _run(function: Heavy, strict: bool, columns: tuple[pa.Array, ...]) -> pa.Array:
     if function.whole is not None and codec.is_value(columns[0]):
         return function.whole(columns[0], strict)
+    if function.pairs is not None and len(columns[0]) and all(codec.is_value(c) for c in columns[:2]):
+        out = function.pairs(*columns)
+        rest = [i for i, x in enumerate(out) if x is None]
+        if rest:
+            left = _run(replace(function, pairs=None), strict, tuple(c.take(pa.array(rest)) for c in columns)).to_pylist()
+            for i, x in zip(rest, left, strict=True):
+                out[i] = x
+        return pa.array(out, codec.arrow_type(function.returns))
     values = [codec.decode(c) if codec.is_value(c) else c.to_pylist() for c in columns]
     settled = function.many(*values) if function.many is not None else None
     out = []
@@ -325,7 +334,7 @@ def _is_planar(geometry: Shape) -> bool:
 # --- distances ---------------------------------------------------------------------------------------
 
 
-def pair(name: str, returns: str, extra: str = ""):
+def pair(name: str, returns: str, extra: str = "", pairs: Callable | None = None):
     """A function of two values in one reference system."""
 
     def add(row: Callable) -> Callable:
@@ -336,19 +345,19 @@ def pair(name: str, returns: str, extra: str = ""):
             return row(a, b, *rest)
 
         checked.__doc__ = row.__doc__
-        heavy(name, f"a b {extra}".strip(), returns)(checked)
+        heavy(name, f"a b {extra}".strip(), returns, pairs=pairs)(checked)
         return row
 
     return add
 
 
-@pair("st_3ddistance", "double")
+@pair("st_3ddistance", "double", pairs=batch.pair_distances)
 def ST_3DDistance(a: Shape, b: Shape) -> float:
     """The least distance; solids are volumes; infinite if a side is empty."""
     return distance.distance(a, b)
 
 
-@pair("st_3ddwithin", "boolean", "distance")
+@pair("st_3ddwithin", "boolean", "distance", pairs=batch.pair_within)
 def ST_3DDWithin(a: Shape, b: Shape, limit: float) -> bool:
     """Whether the least distance is at most ``distance``."""
     return distance.within(a, b, limit)
@@ -366,13 +375,13 @@ def ST_3DDFullyWithin(a: Shape, b: Shape, limit: float) -> bool:
     return limit >= 0 and distance.max_distance(a, b) <= limit
 
 
-@pair("st_3dintersects", "boolean")
+@pair("st_3dintersects", "boolean", pairs=batch.pair_intersects)
 def ST_3DIntersects(a: Shape, b: Shape) -> bool:
     """Exactly whether the values share a point."""
     return distance.intersects(a, b)
 
 
-@pair("st_3ddisjoint", "boolean")
+@pair("st_3ddisjoint", "boolean", pairs=batch.pair_disjoint)
 def ST_3DDisjoint(a: Shape, b: Shape) -> bool:
     """Whether the values share no point."""
     return not distance.intersects(a, b)
