@@ -112,3 +112,19 @@ def test_slices_nulls_and_systems_through_the_column_function():
     assert lib._run(lib.HEAVY["st_3ddwithin"], False, (column(a), column(b), pa.array([2.0] * 6))).to_pylist() == [True, None, None, True, True, True]
     with pytest.raises(Exception, match="CRS"):
         lib._run(lib.HEAVY["st_3ddistance"], True, (column(a), column(b)))
+
+
+def test_footprints_and_envelopes_of_batches(pairs):
+    from voluma.kernel import measure
+
+    values = [x for side in pairs for x in side] + [build.geometry_from_wkb(w) for w in (fx.polygon_z(), fx.warped_polygon_z(), fx.multi_polygon_z(), fx.line_z(), fx.multi_point_z())]
+    values.append(build.geometry_from_text("POLYGON Z ((0 0 1, 9 0 1, 9 9 1, 0 9 1, 0 0 1), (1 1 1, 1 3 1, 3 3 1, 3 1 1, 1 1 1))"))
+    values.append(build.geometry_from_text("POLYHEDRALSURFACE Z EMPTY"))
+    column = codec.encode(values)
+    want = [None if x is None else measure.footprint_area(x) for x in values]
+    got = batch.footprints(column).to_pylist()
+    assert [g is None for g in got] == [w is None for w in want]
+    assert [g for g in got if g is not None] == pytest.approx([w for w in want if w is not None], rel=1e-9, abs=1e-12)
+    assert batch.footprints(column.slice(5, 300)).to_pylist() == got[5:305]
+    assert batch.envelopes(column).to_pylist() == batch.envelopes(column.field("bbox")).to_pylist()
+    assert batch.envelopes(column)[-1].as_py() is None and batch.envelopes(codec.encode([values[0]]))[0].as_py()[:5] == b"\x01\x03\x00\x00\x00"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 
 from voluma.functions.codec import Lists
 from voluma.kernel import pairs
-from voluma.kernel.shape import SOLID, GeometryError
+from voluma.kernel.shape import MULTIPOLYGON, POLYGON, SOLID, SURFACE, GeometryError
 
 _REFUSALS = (("is_closed", False, "is not closed"), ("is_manifold", False, "is not manifold"), ("is_oriented", False, "has inconsistent orientation"), ("degenerate_faces", True, "contains degenerate faces"), ("self_intersections", True, "has self-intersecting faces"))
 
@@ -87,6 +89,59 @@ def areas(array: pa.StructArray, strict: bool = True) -> pa.Array:
     return pa.array(_sums(size, starts, ends), pa.float64(), mask=~present | bad)
 
 
+def _blocks(array: pa.StructArray, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of each stretch that a list column of offsets gives."""
+    lists = Lists(array.field(name))
+    counts = np.maximum(np.diff(lists.offsets) - 1, 0)
+    row = np.repeat(np.arange(len(array)), counts)
+    at = np.repeat(lists.offsets[:-1], counts) + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return row, lists.flat[at].astype(np.int64), lists.flat[at + 1].astype(np.int64)
+
+
+def footprints(array: pa.StructArray, strict: bool = True) -> pa.Array:
+    present, kind = np.asarray(array.is_valid()), np.asarray(array.field("kind").fill_null(-1))
+    xs, ys, index = (Lists(array.field(n)) for n in ("xs", "ys", "ring_idx"))
+    row, start, end = _blocks(array, "ring_vertex")
+    sizes = end - start
+    first = np.cumsum(sizes) - sizes
+    at = np.arange(sizes.sum()) + np.repeat(index.offsets[row] + start - first, sizes)
+    corner = index.flat[at] + np.repeat(xs.offsets[row], sizes)
+    x, y = xs.flat[corner], ys.flat[corner]
+    ring = np.repeat(np.arange(len(row)), sizes)
+    x, y = x - x[first[ring]], y - y[first[ring]]  # about the ring's first corner
+    after = np.arange(len(x)) + 1
+    after[(first + sizes - 1)[sizes > 0]] = first[sizes > 0]
+    turns = _sums(x * y[after] - x[after] * y, first, first + sizes)
+    face_row, low, high = _blocks(array, "face_ring")
+    base = np.searchsorted(row, face_row)  # the first ring of the face's row
+    solid = np.isin(kind[face_row], (SOLID, SURFACE))
+    outer = np.zeros(len(face_row))
+    some = high > low
+    outer[some] = np.abs(turns[(base + low)[some]])
+    whole, each = _sums(turns, base + low, base + high), _sums(np.abs(turns), base + low, base + high)
+    area = np.where(solid, np.abs(whole) / 2, 2 * outer - each) / 2
+    total = np.zeros(len(array))
+    np.add.at(total, face_row, np.where(solid | np.isin(kind[face_row], (POLYGON, MULTIPOLYGON)), area, 0.0))
+    return pa.array(total, pa.float64(), mask=~present)
+
+
+def envelopes(array: pa.StructArray, strict: bool = True) -> pa.Array:
+    """Of boxes, or of the boxes of values."""
+    box = array.field("bbox") if array.type.get_field_index("bbox") >= 0 else array
+    present = (np.asarray(array.is_valid()) & np.asarray(box.is_valid())).tolist()
+    out = []
+    for ok, x, y, a, b in zip(present, *(box.field(n).to_pylist() for n in ("min_x", "min_y", "max_x", "max_y")), strict=True):
+        if not ok:
+            out.append(None)
+        elif x == a and y == b:
+            out.append(struct.pack("<BI2d", 1, 1, x, y))
+        elif x == a or y == b:
+            out.append(struct.pack("<BII4d", 1, 2, 2, x, y, a, b))
+        else:
+            out.append(struct.pack("<BIII10d", 1, 3, 1, 5, x, y, a, y, a, b, x, b, x, y))
+    return pa.array(out, pa.binary())
+
+
 class _Side:
     """One column of a batch of pairs."""
 

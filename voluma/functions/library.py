@@ -56,7 +56,7 @@ def heavy(name: str, arguments: str, returns: str, optional: tuple[int, ...] = (
 
 
 def _run(function: Heavy, strict: bool, columns: tuple[pa.Array, ...]) -> pa.Array:
-    if function.whole is not None and codec.is_value(columns[0]):
+    if function.whole is not None and pa.types.is_struct(columns[0].type):
         return function.whole(columns[0], strict)
     if function.pairs is not None and len(columns[0]) and all(codec.is_value(c) for c in columns[:2]):
         out = function.pairs(*columns)
@@ -118,7 +118,14 @@ def udf_of(name: str, strict: bool = True, returns: str | None = None):
     return F.arrow_udf((run1, run2, run3, run4)[len(function.arguments) - 1], returnType=function.returns)
 
 
+#: Functions that read one field of the header; nothing else of the value goes to Python.
+_HEADER_ONLY = {"st_3denvelope": "bbox"}
+
+
 def call(name: str, *columns, strict: bool = True) -> Column:
+    if name in _HEADER_ONLY:
+        (value,) = columns
+        columns = ((F.col(value) if isinstance(value, str) else value)[_HEADER_ONLY[name]],)
     return udf_of(name, strict)(*columns)
 
 
@@ -300,7 +307,7 @@ def _area(value: Shape) -> float:
     return measure.area(value)
 
 
-@heavy("st_3dfootprintarea", "value", "double")
+@heavy("st_3dfootprintarea", "value", "double", whole=batch.footprints)
 def _footprint_area(value: Shape) -> float:
     """The upright projection's area."""
     return measure.footprint_area(value)
@@ -456,21 +463,10 @@ def _footprint_hull(geometry: Shape) -> Shape:
 # --- native expressions --------------------------------------------------------------------------------
 
 
-@heavy("st_3denvelope", "value", "binary")
+@heavy("st_3denvelope", "value", "binary", whole=batch.envelopes)
 def _envelope(value: Shape) -> bytes | None:
     """The XY rectangle as two-dimensional WKB, a line or point where it is flat; null if empty."""
-    import struct
-
-    box = value.bbox()
-    if box is None:
-        return None
-    x, y, _, a, b, _ = box
-    corners = [(x, y), (a, y), (a, b), (x, b), (x, y)]
-    if x == a and y == b:
-        return struct.pack("<BI2d", 1, 1, x, y)
-    if x == a or y == b:
-        return struct.pack("<BII4d", 1, 2, 2, x, y, a, b)
-    return struct.pack("<BIII10d", 1, 3, 1, 5, *(c for p in corners for c in p))
+    return batch.envelopes(codec.encode([value]))[0].as_py()
 
 
 def native(name: str, value: Column) -> Column:

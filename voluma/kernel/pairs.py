@@ -9,6 +9,7 @@ only what is left goes through the rational predicates. The results are those of
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 
@@ -66,7 +67,10 @@ def _members(offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _span(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (points, points) if points.ndim == 2 else (points.min(axis=1), points.max(axis=1))
+    if points.ndim == 2:
+        return points, points
+    corners = [points[:, k] for k in range(points.shape[1])]
+    return reduce(np.minimum, corners), reduce(np.maximum, corners)
 
 
 def _gap2(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
