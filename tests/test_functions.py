@@ -134,3 +134,30 @@ def test_city_models(spark, tmp_path):
         g = df.withColumn("g", lib.st_3dsetcrs(lib.udf_of("st_3dfromwkb")("wkb", "properties"), F.col("crs")))
         row = g.select("id", "lod", "g.crs", F.col("g")["bbox"]["min_x"], lib.call("st_3dvolume", "g")).first()
         assert tuple(row)[:4] == ("a", "2.2", "EPSG:7415", 10.0) and row[4] == pytest.approx(1)
+
+
+def test_sql_overloads_names_and_aggregates(spark):
+    from pyspark.sql import Row
+
+    from voluma.sources import fixtures as fx
+
+    spark.createDataFrame([(fx.hollow_cube(), None, 0), (fx.tetra(), "x", 1)], "wkb binary, label string, k int").createOrReplaceTempView("made")
+    one = lambda sql: spark.sql(sql).collect()
+    assert [r[0] for r in one("SELECT round(st_3dvolume(st_3dfromwkb(wkb)), 6) FROM made ORDER BY k")] == [56.0, 0.166667]
+    assert one("SELECT st_3dvolume(st_3dfromwkb(wkb, '{\"type\": \"Solid\", \"shells\": [[6, 6]]}')) FROM made WHERE k = 0")[0][0] == 56.0
+    assert one("SELECT st_3dtryfromwkb(wkb).kind, try_st_3dfromwkb(cast('no' AS BINARY)) FROM made WHERE k = 1")[0][1] is None
+    point = "st_3dgeomfromtext('POINT Z (1 2 3)')"
+    assert one(f"SELECT st_3dastext(st_3dtranslate({point}, dz => 1D, dx => 10D, dy => 0D))")[0][0] == "POINT Z (11 2 4)"
+    assert one(f"SELECT st_3dastext(geom => st_3dtranslate(geom => {point}, dx => 0D, dy => 0D, dz => 0D))")[0][0] == "POINT Z (1 2 3)"
+    assert one("SELECT st_3dastext(st_3dgeomfromtext(wkt => 'POINT Z (1 2 3)'))")[0][0] == "POINT Z (1 2 3)"
+    assert one(f"SELECT st_3dzmax(geom => {point}), st_3ddistance(geom2 => {point}, geom1 => {point})")[0] == Row(3.0, 0.0)
+    here = "st_3dsetcrs(st_3dgeomfromtext('POINT Z (85000 446800 5)'), crs => 'EPSG:28992')"
+    two, three = one(f"SELECT st_3dtransform({here}, 'EPSG:4326').crs, st_3dtransform({here}, 'EPSG:28992', 'EPSG:4326').crs")[0]
+    assert two == three == "EPSG:4326"
+    assert one("SELECT st_3dfaceslopes(st_3dfromwkb(wkb)), st_3dfaceazimuths(st_3dfromwkb(wkb)) FROM made WHERE k = 0")[0][0][:3] == [0.0, 0.0, 90.0]
+    rows = one("SELECT k, st_3dextent(st_3dtranslate(st_3dfromwkb(wkb), 1D, 0D, 0D)) AS e FROM made GROUP BY k ORDER BY k")
+    assert [(r["e"]["min_x"], r["e"]["max_x"]) for r in rows] == [(1.0, 5.0), (1.0, 2.0)]
+    assert one("SELECT st_3dextent(st_3dgeomfromtext('POINT Z EMPTY'))")[0][0] is None
+    with pytest.raises(Exception, match="different CRSs"):
+        one(f"SELECT st_3dextent(g) FROM (SELECT {point} AS g UNION ALL SELECT {here})")
+    assert one(f"SELECT st_3dtransform({here}, 4326).crs, st_3dtransform({here}, 28992, 4326).crs, st_3dtransform({here}, target_crs => 4326).crs")[0] == Row("EPSG:4326", "EPSG:4326", "EPSG:4326")

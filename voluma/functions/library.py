@@ -9,6 +9,7 @@ raising function has a ``try_`` twin that gives null for a bad row instead.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import lru_cache
@@ -42,14 +43,15 @@ class Heavy:
     doc: str = ""
     many: Callable | None = None  # results of the rows that a batch function can settle, None for the rest
     pairs: Callable | None = None  # the same from the Arrow columns of two values
+    short: dict[int, tuple[int, ...]] | None = None  # where so many arguments go, if not to the first places
 
 
 HEAVY: dict[str, Heavy] = {}
 
 
-def heavy(name: str, arguments: str, returns: str, optional: tuple[int, ...] = (), whole: Callable | None = None, many: Callable | None = None, pairs: Callable | None = None):
+def heavy(name: str, arguments: str, returns: str, optional: tuple[int, ...] = (), whole: Callable | None = None, many: Callable | None = None, pairs: Callable | None = None, short: dict[int, tuple[int, ...]] | None = None):
     def add(row: Callable) -> Callable:
-        HEAVY[name] = Heavy(name, tuple(arguments.split()), returns, row, frozenset(optional), whole, (row.__doc__ or "").strip(), many, pairs)
+        HEAVY[name] = Heavy(name, tuple(arguments.split()), returns, row, frozenset(optional), whole, (row.__doc__ or "").strip(), many, pairs, short)
         return row
 
     return add
@@ -103,30 +105,43 @@ def udf_of(name: str, strict: bool = True, returns: str | None = None):
     """The Arrow UDF of a heavy function; built on first use."""
     function = HEAVY[name] if returns is None else replace(HEAVY[name], returns=returns)
 
-    def run1(a: pa.Array) -> pa.Array:
-        return _run(function, strict, (a,))
-
-    def run2(a: pa.Array, b: pa.Array) -> pa.Array:
-        return _run(function, strict, (a, b))
-
-    def run3(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
-        return _run(function, strict, (a, b, c))
-
-    def run4(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
-        return _run(function, strict, (a, b, c, d))
-
-    return F.arrow_udf((run1, run2, run3, run4)[len(function.arguments) - 1], returnType=function.returns)
+    def run(*given: pa.Array, **named: pa.Array) -> pa.Array:
+        return _run(function, strict, _arranged(function, given, named))
+
+    return F.arrow_udf(run, returnType=function.returns)
+
+
+def _arranged(function: Heavy, given: tuple, named: dict) -> tuple:
+    """The arguments in their places; optional ones that are not given are null."""
+    out: list = [None] * len(function.arguments)
+    places = (function.short or {}).get(len(given), range(len(given))) if not named else range(len(given))
+    if len(given) > len(out):
+        raise GeometryError(f"{function.name}: takes {len(out)} arguments at most, not {len(given)}")
+    for k, column in zip(places, given, strict=True):
+        out[k] = column
+    for name, column in named.items():
+        if name not in function.arguments or out[k := function.arguments.index(name)] is not None:
+            raise GeometryError(f"{function.name}: takes {', '.join(function.arguments)}; {name} is unknown or given twice")
+        out[k] = column
+    rows = len(next(x for x in out if x is not None))
+    for k, column in enumerate(out):
+        if column is None:
+            if k not in function.optional:
+                raise GeometryError(f"{function.name}: {function.arguments[k]} is missing")
+            out[k] = pa.nulls(rows, pa.string())
+    return tuple(out)
 
 
 #: Functions that read one field of the header; nothing else of the value goes to Python.
 _HEADER_ONLY = {"st_3denvelope": "bbox"}
 
 
-def call(name: str, *columns, strict: bool = True) -> Column:
+def call(name: str, *columns, strict: bool = True, **named) -> Column:
+    """The function ``name`` of columns, by place or by the names of ``HEAVY[name].arguments``."""
     if name in _HEADER_ONLY:
-        (value,) = columns
-        columns = ((F.col(value) if isinstance(value, str) else value)[_HEADER_ONLY[name]],)
-    return udf_of(name, strict)(*columns)
+        (value,) = (*columns, *named.values())
+        columns, named = ((F.col(value) if isinstance(value, str) else value)[_HEADER_ONLY[name]],), {}
+    return udf_of(name, strict)(*columns, **named)
 
 
 # --- import and construction -------------------------------------------------------------------------
@@ -145,7 +160,7 @@ def _plain_prisms(polygons: list, heights: list) -> list[Shape | None]:
     return out
 
 
-@heavy("st_3dfromwkb", "wkb properties", G3D, optional=(1,), many=_plain_solids)
+@heavy("st_3dfromwkb", "wkb geometry_properties", G3D, optional=(1,), many=_plain_solids)
 def _from_wkb(data: bytes, properties) -> Shape:
     """A solid from WKB of a PolyhedralSurface Z or a collection of them, with an optional shell sidecar."""
     return build.solid_with_sidecar(bytes(data), properties)
@@ -163,13 +178,13 @@ def _geom_from_text(words: str) -> Shape:
     return build.geometry_from_text(words)
 
 
-@heavy("st_3dextrude", "polygon height", G3D, many=_plain_prisms)
+@heavy("st_3dextrude", "geom height", G3D, many=_plain_prisms)
 def _extrude(polygon: Shape, height: float) -> Shape:
     """The closed prism over a polygon's exterior ring."""
     return build.extrude(polygon, height)
 
 
-@heavy("st_makesolid", "surface", G3D)
+@heavy("st_makesolid", "geom", G3D)
 def _make_solid(surface: Shape) -> Shape:
     """A closed, manifold, oriented PolyhedralSurface as a solid."""
     return build.make_solid(surface)
@@ -219,19 +234,19 @@ def _as_wkb(solid: Shape) -> bytes:
     return wkb.write(solid)
 
 
-@heavy("st_3dasbinary", "geometry", "binary")
+@heavy("st_3dasbinary", "geom", "binary")
 def _as_binary(geometry: Shape) -> bytes:
     """A geometry as ISO WKB."""
     return wkb.write(geometry)
 
 
-@heavy("st_3dastext", "geometry", "string")
+@heavy("st_3dastext", "geom", "string")
 def _as_text(geometry: Shape) -> str:
     """A geometry as WKT."""
     return text.wkt(geometry)
 
 
-@heavy("st_3dasgeojson", "geometry", "string")
+@heavy("st_3dasgeojson", "geom", "string")
 def _as_geojson(geometry: Shape) -> str:
     """A geometry as GeoJSON; a surface is a MultiPolygon."""
     return text.geojson(geometry)
@@ -256,13 +271,13 @@ def _face_n(solid: Shape, n: int) -> Shape | None:
     return build.face_polygon(solid, n - 1) if 1 <= n <= solid.n_faces else None
 
 
-@heavy("st_3dfaceareas", "value", "array<double>")
+@heavy("st_3dfaceareas", "geom", "array<double>")
 def _face_areas(value: Shape) -> list:
     """Each face's area; null for a face without triangles."""
     return measure.face_areas(value)
 
 
-@heavy("st_3dfacenormals", "value", f"array<{POINT3}>")
+@heavy("st_3dfacenormals", "geom", f"array<{POINT3}>")
 def _face_normals(value: Shape) -> list:
     """Each face's unit normal, by its exterior ring."""
     return [None if n is None else dict(zip("xyz", n.tolist(), strict=True)) for n in measure.face_normals(value)]
@@ -280,7 +295,7 @@ def _interior_shell(solid: Shape, n: int) -> Shape | None:
     return build.shell_surface(solid, n) if n >= 1 else None
 
 
-@heavy("st_3dgeometryn", "value n", G3D)
+@heavy("st_3dgeometryn", "geom n", G3D)
 def _geometry_n(value: Shape, n: int) -> Shape | None:
     """The n-th solid, member or patch, from 1."""
     return build.geometry_n(value, n)
@@ -301,38 +316,38 @@ def _surface_area(solid: Shape) -> float:
     return measure.area(solid)
 
 
-@heavy("st_3darea", "value", "double", whole=batch.areas)
+@heavy("st_3darea", "geom", "double", whole=batch.areas)
 def _area(value: Shape) -> float:
     """The area of all faces; 0 for points and lines."""
     return measure.area(value)
 
 
-@heavy("st_3dfootprintarea", "value", "double", whole=batch.footprints)
+@heavy("st_3dfootprintarea", "geom", "double", whole=batch.footprints)
 def _footprint_area(value: Shape) -> float:
     """The upright projection's area."""
     return measure.footprint_area(value)
 
 
-@heavy("st_3dperimeter", "value", "double")
+@heavy("st_3dperimeter", "geom", "double")
 def _perimeter(value: Shape) -> float:
     """The length of the boundary."""
     return measure.perimeter(value)
 
 
-@heavy("st_3dlength", "geometry", "double")
+@heavy("st_3dlength", "geom", "double")
 def _length(geometry: Shape) -> float:
     """The length of lines; 0 for others."""
     return measure.length(geometry)
 
 
-@heavy("st_3dcentroid", "value", G3D)
+@heavy("st_3dcentroid", "geom", G3D)
 def _centroid(value: Shape) -> Shape:
     """The centre of volume, area, length or vertices as a point."""
     at = measure.centroid(value)
     return Shape(s.POINT, np.zeros((0, 3)) if at is None else at[None], value.crs)
 
 
-@heavy("st_isplanar", "geometry", "boolean")
+@heavy("st_isplanar", "geom", "boolean")
 def _is_planar(geometry: Shape) -> bool:
     """Whether every ring, or the vertices, lie in one plane."""
     return bool(measure.is_planar(geometry))
@@ -352,7 +367,7 @@ def pair(name: str, returns: str, extra: str = "", pairs: Callable | None = None
             return row(a, b, *rest)
 
         checked.__doc__ = row.__doc__
-        heavy(name, f"a b {extra}".strip(), returns, pairs=pairs)(checked)
+        heavy(name, f"geom1 geom2 {extra}".strip(), returns, pairs=pairs)(checked)
         return row
 
     return add
@@ -409,7 +424,7 @@ def ST_3DShortestLine(a: Shape, b: Shape) -> Shape:
 # --- maps --------------------------------------------------------------------------------------------
 
 
-@heavy("st_3dscale", "value x y z", G3D)
+@heavy("st_3dscale", "geom sx sy sz", G3D)
 def _scale(value: Shape, x: float, y: float, z: float) -> Shape:
     """Scaled about the origin; an uneven scale validates a solid anew."""
     return build.scale(value, x, y, z)
@@ -424,10 +439,10 @@ def _rotation(axis: int) -> Callable:
 
 
 for _axis, _name in enumerate(("st_3drotatex", "st_3drotatey", "st_3drotatez")):
-    heavy(_name, "value radians", G3D)(_rotation(_axis))
+    heavy(_name, "geom radians", G3D)(_rotation(_axis))
 
 
-@heavy("st_3dtransform", "value source target", G3D, optional=(1,))
+@heavy("st_3dtransform", "geom source_crs target_crs", G3D, optional=(1,), short={2: (0, 2)})
 def _transform(value: Shape, source, target) -> Shape | None:
     """Reprojected from ``source`` (or the value's own system) to ``target``; heights stay."""
     given = value.crs if source is None else crs.identifier(source)
@@ -442,13 +457,13 @@ def _transform(value: Shape, source, target) -> Shape | None:
     return out
 
 
-@heavy("st_3dplaceimplicit", "value point matrix", G3D, optional=(2,))
+@heavy("st_3dplaceimplicit", "relative_geometry reference_point transformation_matrix", G3D, optional=(2,))
 def _place(value: Shape, point: Shape, matrix) -> Shape:
     """A template placed by a row-major 4 x 4 matrix (null: identity) and a reference point."""
     return build.place_implicit(value, point, None if matrix is None else list(matrix))
 
 
-@heavy("st_3dconvexhull", "value", G3D)
+@heavy("st_3dconvexhull", "geom", G3D)
 def _convex_hull(value: Shape) -> Shape:
     """The convex hull, of the dimension that the points have."""
     return hull.convex_hull(value)
@@ -463,7 +478,7 @@ def _footprint_hull(geometry: Shape) -> Shape:
 # --- native expressions --------------------------------------------------------------------------------
 
 
-@heavy("st_3denvelope", "value", "binary", whole=batch.envelopes)
+@heavy("st_3denvelope", "geom", "binary", whole=batch.envelopes)
 def _envelope(value: Shape) -> bytes | None:
     """The XY rectangle as two-dimensional WKB, a line or point where it is flat; null if empty."""
     return batch.envelopes(codec.encode([value]))[0].as_py()
@@ -570,6 +585,51 @@ def st_3dfaceazimuths(g: Column) -> Column:
     return F.transform(call("st_3dfacenormals", g), of)
 
 
+def _slope(n: dict | None) -> float | None:
+    return None if n is None else math.degrees(math.atan2(math.hypot(n["x"], n["y"]), abs(n["z"])))
+
+
+def _azimuth(n: dict | None) -> float | None:
+    if n is None or (n["x"] == 0 and n["y"] == 0):
+        return None
+    around = math.degrees(math.atan2(n["x"], n["y"])) % 360.0
+    return 0.0 if around >= 360.0 else around
+
+
+def face_directions(name: str):
+    """ST_3DFaceSlopes or ST_3DFaceAzimuths for SQL, of a value or of its face normals."""
+    each = {"st_3dfaceslopes": _slope, "st_3dfaceazimuths": _azimuth}[name]
+
+    def run(geom: pa.Array) -> pa.Array:
+        normals = _run(HEAVY["st_3dfacenormals"], True, (geom,)) if codec.is_value(geom) else geom
+        return pa.array([None if row is None else [each(n) for n in row] for row in normals.to_pylist()], codec.arrow_type("array<double>"))
+
+    return F.arrow_udf(run, "array<double>")
+
+
+def extent_of(column: pa.Array) -> dict | None:
+    """The box of all boxes of a column of values, or of boxes."""
+    box = column.field("bbox") if codec.is_value(column) else column
+    used = np.asarray(column.is_valid()) & np.asarray(box.is_valid())
+    if not used.any():
+        return None
+    if codec.is_value(column):
+        systems = {crs.canonical(x) if x else "" for x, u in zip(column.field("crs").to_pylist(), used, strict=True) if u}
+        if len(systems) > 1:
+            raise GeometryError("ST_3DExtent: the inputs have different CRSs; bring them to one with ST_3DTransform, or set one with ST_3DSetCRS")
+    names = ("min_x", "min_y", "min_z", "max_x", "max_y", "max_z")
+    return {n: float((np.min if n.startswith("min") else np.max)(np.asarray(box.field(n))[used])) for n in names}
+
+
+def extent_aggregate():
+    """ST_3DExtent for SQL: an Arrow aggregate, which holds a group at a time; ``st_3dextent`` combines on the map side instead."""
+
+    def extent(geom: pa.Array) -> dict:
+        return extent_of(geom)
+
+    return F.arrow_udf(extent, BBOX)
+
+
 def st_3dtryfromwkb(data: Column, properties: Column | None = None) -> Column:
     """As st_3dfromwkb; null for a bad row."""
     return call("st_3dfromwkb", data, F.lit(None).cast("string") if properties is None else properties, strict=False)

@@ -1,12 +1,16 @@
 """The functions under their SQL names.
 
 Header functions become SQL functions, which Catalyst inlines, so their filters still reach the Parquet scan;
-the others are the Arrow UDFs. Overloads that differ in their number of arguments take null for the missing
-ones (``st_3dfromwkb(wkb, null)``, ``st_3dtransform(g, null, 'EPSG:4326')``).
+the others are the Arrow UDFs. Arguments go by place or by name (``st_3dtranslate(g, dz => 1, dx => 10, dy => 0)``), and
+overloads that differ in their number of arguments are called so: ``st_3dfromwkb(wkb)``, ``st_3dtransform(g, 'EPSG:4326')``.
+``st_3dextent`` is an aggregate that holds the boxes of a group at a time; over large groups use the column builder
+``library.st_3dextent``, which combines on the map side.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from voluma.functions import library
@@ -66,35 +70,77 @@ _FIELDS["st_3dvalidationreport"] = (
 )
 
 
+#: Functions that take an argument of more than one type.
+_ANY_TYPE = {"st_3dfromwkb"}
+_TYPES = {
+    **dict.fromkeys(("wkb", "payload"), "BINARY"),
+    **dict.fromkeys(("wkt", "source_crs", "target_crs"), "STRING"),
+    **dict.fromkeys(("height", "distance", "radians", "sx", "sy", "sz"), "DOUBLE"),
+    "n": "INT",
+    "transformation_matrix": "ARRAY<DOUBLE>",
+}
+
+
+def _signature(function: library.Heavy) -> str:
+    """Parameters in SQL; those from the first that may be missing on have a default."""
+    first = min([*function.optional, *(min(set(range(len(function.arguments))) - set(places)) for places in (function.short or {}).values()), len(function.arguments)])
+    return ", ".join(f"{a} {_TYPES.get(a, G3D)}" + (" DEFAULT NULL" if k >= first else "") for k, a in enumerate(function.arguments))
+
+
+def _places(function: library.Heavy) -> str:
+    """The arguments of the Python call: with the last one missing, a short form's last argument is the one before it."""
+    if not function.short:
+        return ", ".join(function.arguments)
+    *others, before, last = function.arguments
+    return ", ".join([*others, f"CASE WHEN {last} IS NOT NULL THEN {before} END", f"coalesce({last}, {before})"])
+
+
+#: Header functions of solids alone; the others' argument is ``geom``.
+_OF_SOLIDS = {"st_3dvalidationreport", "st_3dnuminteriorshells", *(f"st_3dnum{n}" for n in ("solids", "shells", "faces")), *(f"st_3dis{n}" for n in ("valid", "closed", "manifold", "oriented"))}
+
+
+def argument(name: str) -> str:
+    """The name of a header function's argument."""
+    return "solid" if name in _OF_SOLIDS else "geom"
+
+
+def _named(body: str, name: str) -> str:
+    return re.sub(r"\bg\b", name, body)
+
+
 def register(spark: SparkSession) -> list[str]:
     """Registers every function in ``spark``; returns their names."""
     names = []
     for name in library._BUILDERS:
         returns = _RETURNS.get(name, "DOUBLE")
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(g {G3D}) RETURNS {returns} RETURN {_FIELDS[name]}")
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({argument(name)} {G3D}) RETURNS {returns} RETURN {_named(_FIELDS[name], argument(name))}")
         names.append(name)
-    for name in library.HEAVY:
-        spark.udf.register(name, library.udf_of(name))
-        spark.udf.register(f"try_{name}", library.udf_of(name, strict=False))
-        names += [name, f"try_{name}"]
+    for plain, function in library.HEAVY.items():
+        for name, strict in ((plain, True), (f"try_{plain}", False)):
+            if plain in _ANY_TYPE:
+                spark.udf.register(name, library.udf_of(plain, strict))
+            else:  # Spark does not take named arguments inside chained Python calls; inside a SQL function they have places
+                spark.udf.register(f"_{name}", library.udf_of(plain, strict))
+                spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({_signature(function)}) RETURNS {function.returns} RETURN _{name}({_places(function)})")
+            names.append(name)
     spark.udf.register("st_3dtryfromwkb", library.udf_of("st_3dfromwkb", strict=False))
     others = "".join(f", '{c}', g.{c}" for c in ("kind", "bbox", "counts", "xs", "ys", "zs", "solid_shell", "shell_face", "face_ring", "ring_vertex", "ring_idx", "parts", "face_tri", "tri", "validation"))
     spark.sql(
-        f"CREATE OR REPLACE TEMPORARY FUNCTION st_3dsetcrs(g {G3D}, name STRING) RETURNS {G3D} RETURN CASE WHEN g IS NOT NULL AND name IS NOT NULL THEN "
-        "named_struct('kind', g.kind, 'crs', nullif(name, '')" + others[others.index(", 'bbox'") :] + ") END"
+        f"CREATE OR REPLACE TEMPORARY FUNCTION st_3dsetcrs(geom {G3D}, crs STRING) RETURNS {G3D} RETURN CASE WHEN geom IS NOT NULL AND crs IS NOT NULL THEN "
+        "named_struct('kind', geom.kind, 'crs', nullif(crs, '')" + _named(others[others.index(", 'bbox'") :], "geom") + ") END"
     )
     moved = {f"{a}s": f"transform(g.{a}s, c -> c + d{a})" for a in "xyz"}
     moved["bbox"] = "CASE WHEN g.bbox IS NOT NULL THEN named_struct(" + ", ".join(f"'{e}_{a}', g.bbox.{e}_{a} + d{a}" for e in ("min", "max") for a in "xyz") + ") END"
     fields = ("kind", "crs", "bbox", "counts", "xs", "ys", "zs", "solid_shell", "shell_face", "face_ring", "ring_vertex", "ring_idx", "parts", "face_tri", "tri", "validation")
     spark.sql(
-        f"CREATE OR REPLACE TEMPORARY FUNCTION st_3dtranslate(g {G3D}, dx DOUBLE, dy DOUBLE, dz DOUBLE) RETURNS {G3D} RETURN CASE WHEN g IS NOT NULL AND dx IS NOT NULL AND dy IS NOT NULL AND dz IS NOT NULL THEN named_struct("
-        + ", ".join(f"'{f}', {moved.get(f, f'g.{f}')}" for f in fields)
+        f"CREATE OR REPLACE TEMPORARY FUNCTION st_3dtranslate(geom {G3D}, dx DOUBLE, dy DOUBLE, dz DOUBLE) RETURNS {G3D} RETURN CASE WHEN geom IS NOT NULL AND dx IS NOT NULL AND dy IS NOT NULL AND dz IS NOT NULL THEN named_struct("
+        + _named(", ".join(f"'{f}', {moved.get(f, f'g.{f}')}" for f in fields), "geom")
         + ") END"
     )
     for name in ("st_3dfaceslopes", "st_3dfaceazimuths"):
-        body = "degrees(atan2(sqrt(n.x * n.x + n.y * n.y), abs(n.z)))" if name.endswith("slopes") else "CASE WHEN n.x = 0 AND n.y = 0 THEN NULL ELSE pmod(degrees(atan2(n.x, n.y)), 360D) END"
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(normals ARRAY<{library.POINT3}>) RETURNS ARRAY<DOUBLE> RETURN transform(normals, n -> CASE WHEN n IS NOT NULL THEN {body} END)")
-    return names + ["st_3dtryfromwkb", "st_3dsetcrs", "st_3dtranslate", "st_3dfaceslopes", "st_3dfaceazimuths"]
+        spark.udf.register(name, library.face_directions(name))
+    spark.udf.register("st_3dextent", library.extent_aggregate())
+    return names + ["st_3dtryfromwkb", "st_3dsetcrs", "st_3dtranslate", "st_3dfaceslopes", "st_3dfaceazimuths", "st_3dextent"]
 
 
 def catalog(spark: SparkSession) -> DataFrame:
@@ -106,5 +152,5 @@ def catalog(spark: SparkSession) -> DataFrame:
             rows.append((name, False, ", ".join(f.arguments), f.returns, f.doc))
         else:
             doc = getattr(getattr(library, name, None), "__doc__", None)
-            rows.append((name, True, "g", _RETURNS.get(name, "DOUBLE"), (doc or "A header fact of the value.").strip()))
+            rows.append((name, True, {"st_3dsetcrs": "geom, crs", "st_3dtranslate": "geom, dx, dy, dz", "st_3dtryfromwkb": "wkb, geometry_properties"}.get(name, argument(name)), _RETURNS.get(name, "DOUBLE"), (doc or "A header fact of the value.").strip()))
     return spark.createDataFrame(rows, "name string, native boolean, arguments string, returns string, description string")
