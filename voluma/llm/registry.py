@@ -23,18 +23,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op10_line_dedup": """
-        WITH split AS (
-            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
+        WITH numbered AS (
+            SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS held FROM documents
+        ), split AS (
+            SELECT r, doc_id, unnest(held) AS line, generate_subscripts(held, 1) AS pos FROM numbered
         ), keyed AS (
-            SELECT doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM split
+            SELECT r, doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM split
         ), hot AS (
-            SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+            SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT r) >= 3
         ), marked AS (
-            SELECT doc_id, pos, line, hot.k IS NOT NULL AND doc_id <> keeper AS gone FROM keyed LEFT JOIN hot USING (k)
+            SELECT r, doc_id, pos, line, hot.k IS NOT NULL AND doc_id <> keeper AS gone FROM keyed LEFT JOIN hot USING (k)
         )
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
-        FROM marked GROUP BY doc_id
+        FROM marked GROUP BY r, doc_id
     """,
     "op7_warc": """
         WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
