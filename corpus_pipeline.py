@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voluma.llm.common import read, shared_dir
+from voluma.llm.common import delete, read, scratch, shared_dir
 from voluma.llm.lines import dedup_lines
 from voluma.llm.mixing import mix
 from voluma.llm.nearcopies import drop_near_copies
@@ -55,9 +55,14 @@ STAGES = [("quality", quality), ("line_dedup", lines), ("near_dedup", near_copie
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what a stage leaves behind is deleted once the next one is written."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(path)
+        path = f"{folder}/{k}-{name}"
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
