@@ -141,6 +141,7 @@ def test_sql_overloads_names_and_aggregates(spark):
 
     from voluma.sources import fixtures as fx
 
+    sql.register(spark)
     spark.createDataFrame([(fx.hollow_cube(), None, 0), (fx.tetra(), "x", 1)], "wkb binary, label string, k int").createOrReplaceTempView("made")
     one = lambda sql: spark.sql(sql).collect()
     assert [r[0] for r in one("SELECT round(st_3dvolume(st_3dfromwkb(wkb)), 6) FROM made ORDER BY k")] == [56.0, 0.166667]
@@ -161,3 +162,33 @@ def test_sql_overloads_names_and_aggregates(spark):
     with pytest.raises(Exception, match="different CRSs"):
         one(f"SELECT st_3dextent(g) FROM (SELECT {point} AS g UNION ALL SELECT {here})")
     assert one(f"SELECT st_3dtransform({here}, 4326).crs, st_3dtransform({here}, 28992, 4326).crs, st_3dtransform({here}, target_crs => 4326).crs")[0] == Row("EPSG:4326", "EPSG:4326", "EPSG:4326")
+
+
+def test_payloads_as_text_and_by_kind(spark):
+    from voluma.sources import fixtures as fx
+
+    sql.register(spark)
+    spark.createDataFrame([(fx.tetra(),)], "wkb binary").createOrReplaceTempView("tetra")
+    payload = "g3d_to_payload(st_3dfromwkb(wkb))"
+    row = spark.sql(f"SELECT st_3disclosed(g3d_solid_from_payload(g3d_payload_text({payload}))), try_g3d_geom_from_payload({payload}) IS NULL, g3d_to_payload(g3d_from_payload({payload})) = {payload} FROM tetra").first()
+    assert tuple(row) == (True, True, True)
+    row = spark.sql("SELECT try_g3d_solid_from_payload('hello') IS NULL, try_g3d_solid_from_payload('\\\\xZZ') IS NULL, try_g3d_solid_from_payload('é') IS NULL, g3d_from_payload(CAST(NULL AS BINARY)) IS NULL").first()
+    assert tuple(row) == (True, True, True, True)
+    with pytest.raises(Exception, match="not a SOLID_3D payload"):
+        spark.sql("SELECT g3d_solid_from_payload(g3d_to_payload(st_3dgeomfromtext('POINT Z (1 2 3)')))").collect()
+
+
+def test_native_geometry_columns(spark):
+    from voluma.sources import fixtures as fx
+
+    spark.conf.set("spark.sql.geospatial.enabled", "true")
+    try:
+        made = spark.createDataFrame([(fx.polygon_z(),), (None,)], "wkb binary").select(F.st_geomfromwkb("wkb").alias("n"), "wkb")
+        made.select(F.st_asbinary("n")).collect()
+    except Exception as error:  # a session without geospatial types
+        pytest.skip(str(error)[:80])
+    rows = made.select(lib.from_geometry(F.col("n")).alias("g"), "wkb").select(lib.call("st_3dfootprintarea", "g"), F.col("g")["bbox"]["max_z"], lib.native("st_3dgeometrytype", F.col("g"))).collect()
+    assert sorted(map(tuple, rows), key=repr) == [(12.0, 5.0, "ST_Polygon"), (None, None, None)]
+    with pytest.raises(Exception, match="1003"):
+        made.select(lib.from_geometry(F.col("n"), solid=True)).collect()
+    assert made.select(lib.from_geometry(F.col("n"), solid=True, strict=False).isNull()).distinct().collect()[0][0]

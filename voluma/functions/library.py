@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import lru_cache
@@ -207,10 +208,24 @@ def _to_payload(value: Shape) -> bytes:
     return _PAYLOAD + len(head).to_bytes(4, "little") + head + wkb.write(value)
 
 
+@heavy("g3d_payload_text", "payload", "string")
+def _payload_text(payload: bytes) -> str:
+    """A payload as printable text: bytes outside printable ASCII, and backslashes, as \\xHH."""
+    return "".join(chr(b) if 32 <= b < 127 and b != 92 else f"\\x{b:02X}" for b in bytes(payload))
+
+
+def _payload_bytes(payload: bytes | str) -> bytes:
+    if not isinstance(payload, str):
+        return bytes(payload)
+    if not re.fullmatch(r"(?:[ -\[\]-~]|\\x[0-9A-Fa-f]{2})*", payload):
+        raise GeometryError("the text is no payload: it has characters other than printable ASCII, or a backslash without xHH")
+    return re.sub(r"\\x([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), payload).encode("latin-1")
+
+
 @heavy("g3d_from_payload", "payload", G3D)
-def _from_payload(payload: bytes) -> Shape:
-    """The value of such a binary; bounds, triangles and validation are made anew, so it need not be trusted."""
-    data = bytes(payload)
+def _from_payload(payload: bytes | str) -> Shape:
+    """The value of a payload, binary or as text; bounds, triangles and validation are made anew, so it need not be trusted."""
+    data = _payload_bytes(payload)
     if not data.startswith(_PAYLOAD):
         raise GeometryError("BLOB is not a payload of this library; build one from WKB with ST_3DFromWKB or ST_Geom3DFromWKB")
     at = len(_PAYLOAD) + 4
@@ -225,6 +240,32 @@ def _from_payload(payload: bytes) -> Shape:
     return out
 
 
+@heavy("g3d_solid_from_payload", "payload", G3D)
+def _solid_from_payload(payload: bytes | str) -> Shape:
+    """As g3d_from_payload, of a solid."""
+    out = _from_payload(payload)
+    if out.kind != s.SOLID:
+        raise GeometryError("BLOB is not a SOLID_3D payload")
+    return out
+
+
+@heavy("g3d_geom_from_payload", "payload", G3D)
+def _geom_from_payload(payload: bytes | str) -> Shape:
+    """As g3d_from_payload, of a geometry that is not a solid."""
+    out = _from_payload(payload)
+    if out.kind == s.SOLID:
+        raise GeometryError("BLOB is not a GEOM_3D payload")
+    return out
+
+
+def from_geometry(column: Column, solid: bool = False, strict: bool = True) -> Column:
+    """A value from a column of Spark's own GEOMETRY type, under its reference system; ``solid`` imports a solid."""
+    data = F.st_asbinary(column)
+    value = call("st_3dfromwkb", data, F.lit(None).cast("string"), strict=strict) if solid else call("st_geom3dfromwkb", data, strict=strict)
+    srid = F.st_srid(column)
+    return F.when(srid > 0, st_3dsetcrs(value, F.concat(F.lit("EPSG:"), srid.cast("string")))).otherwise(value)
+
+
 # --- export ------------------------------------------------------------------------------------------
 
 
@@ -645,4 +686,4 @@ def bbox_gap2(a: Column, b: Column) -> Column:
 
 
 #: Every public function of the library.
-PUBLIC = sorted({*HEAVY, *_BUILDERS, "st_3dextent", "st_3dsetcrs", "st_3dtranslate", "st_3dfaceslopes", "st_3dfaceazimuths", "st_3dtryfromwkb"} - {"g3d_rebuild", "g3d_to_payload", "g3d_from_payload"})
+PUBLIC = sorted({*HEAVY, *_BUILDERS, "st_3dextent", "st_3dsetcrs", "st_3dtranslate", "st_3dfaceslopes", "st_3dfaceazimuths", "st_3dtryfromwkb"} - {n for n in HEAVY if n.startswith("g3d_")})

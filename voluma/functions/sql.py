@@ -71,7 +71,7 @@ _FIELDS["st_3dvalidationreport"] = (
 
 
 #: Functions that take an argument of more than one type.
-_ANY_TYPE = {"st_3dfromwkb"}
+_ANY_TYPE = {"st_3dfromwkb", "g3d_from_payload", "g3d_solid_from_payload", "g3d_geom_from_payload"}
 _TYPES = {
     **dict.fromkeys(("wkb", "payload"), "BINARY"),
     **dict.fromkeys(("wkt", "source_crs", "target_crs"), "STRING"),
