@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voluma.llm.common import cut, id_or_least, map_rows, small_batches, text_or_empty
+from voluma.llm.common import cut, cut_with, id_or_least, map_rows, text_or_empty
 from voluma.llm.components import stars
 from voluma.llm.simhash import anchors, keep_ids
 
@@ -46,7 +46,7 @@ SAMPLE_RATE, FEW = 64, 1 << 22
 #: Rows of the table of large anchors up to which it is broadcast (a megabyte).
 MOST_BROADCAST = 1 << 16
 #: Rounds after which all links that are left are confirmed at once.
-ROUNDS = 6
+ROUNDS = 3
 _rng = np.random.default_rng(11)
 _XOR = _rng.integers(0, 2**64, WORDS, dtype=np.uint64)
 _TIMES = _rng.integers(0, 2**64, (2, WORDS), dtype=np.uint64) | np.uint64(1)
@@ -207,15 +207,13 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_links(heads: DataFrame) -> DataFrame:
     """(u, v, bits): links of ``heads`` (node, words) that may be similar enough."""
-    small_batches(heads.sparkSession)
     heads = heads.select("node", "words")
     schema = "anchor long, node long, word long"
     placed = heads.mapInArrow(_replicate, schema)
     most = heads.count() * WORDS * 32
     rate = 1 if most <= FEW else SAMPLE_RATE
     some = heads.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(rate)) == 0).mapInArrow(_replicate, schema)
-    large = cut(some.groupBy("anchor").agg((F.count("*") * rate).alias("n")).where(F.col("n") > CELL))
-    count = large.count()
+    large, (count,) = cut_with(some.groupBy("anchor").agg((F.count("*") * rate).alias("n")).where(F.col("n") > CELL), [F.count("*")])
     cells = placed.select(F.col("anchor").alias("cell"), F.lit(0).alias("part"), "node", "word")
     if count:
         dealt = placed.join(F.broadcast(large) if count <= MOST_BROADCAST else large, "anchor", "left")
@@ -234,47 +232,47 @@ def near_links(heads: DataFrame) -> DataFrame:
 
 
 def similar(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """(u, v) of the ``pairs`` whose texts, of ``texts`` (id, text), have a similarity of ``least`` or more."""
+    """The ``pairs`` (u, v, cu, cv) whose texts, of ``texts`` (id, text), have a similarity of ``least`` or more."""
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     sets = map_rows(texts.join(wanted, "id", "left_semi"), "id long, found binary", _sets, out_rows=256)
     side = lambda n: sets.select(F.col("id").alias(n), F.col("found").alias(f"{n}_found"))
-    met = pairs.select("u", "v").join(side("v"), "v").join(side("u"), "u")
+    met = pairs.join(side("v"), "v").join(side("u"), "u").select("u_found", "v_found", "u", "v", "cu", "cv")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                a, b = (np.frombuffer(r[k], dtype=np.uint64) for k in ("u_found", "v_found"))
-                if min(len(a), len(b)) >= least * max(len(a), len(b)) - 1e-9:
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    if both >= least * (len(a) + len(b) - both) - 1e-9:
-                        rows.append((r["u"], r["v"]))
-            u, v = zip(*rows, strict=True) if rows else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            stay = []
+            for one, two in zip(batch.column(0), batch.column(1), strict=True):
+                a, b = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (one, two))
+                both = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= least * max(len(a), len(b)) - 1e-9 else 0
+                stay.append(both >= least * (len(a) + len(b) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays(batch.columns[2:], names=["u", "v", "cu", "cv"]).filter(pa.array(stay, pa.bool_()))
 
-    return met.mapInArrow(confirm, "u long, v long")
+    return met.mapInArrow(confirm, "u long, v long, cu long, cv long")
 
 
 def confirmed(links: DataFrame, texts: DataFrame) -> DataFrame:
-    """(u, v): links enough to connect what the similar ones of ``links`` connect, confirmed round by round."""
-    left, good = cut(links.withColumns({"cu": F.col("u"), "cv": F.col("v")})), None
+    """(u, v): links enough to connect what the similar ones of ``links`` connect, confirmed in rounds.
+
+    A round tries one link for each component so far (cu and cv are those of u and v), the last one all that are left.
+    """
+    count, good = [F.count("*")], None
+    left, n = cut_with(links.withColumns({"cu": F.col("u"), "cv": F.col("v")}), count)
     for number in range(ROUNDS):
-        if left.isEmpty():
+        if not n[0]:
+            break
+        ends = left.select(F.explode(F.array("cu", "cv")).alias("c"), F.struct((F.col("bits") > SURE).alias("doubt"), "u", "v", "cu", "cv").alias("x"))
+        tried = cut(ends.groupBy("c").agg(F.min("x").alias("x")).select("x.u", "x.v", "x.cu", "x.cv").distinct()) if number + 1 < ROUNDS else left.drop("bits")
+        found = cut(similar(tried, texts))
+        good = found if good is None else good.union(found)
+        if number + 1 == ROUNDS:
             break
-        if number + 1 < ROUNDS:
-            ends = left.select(F.explode(F.array("cu", "cv")).alias("c"), "u", "v", "bits")
-            one = ends.groupBy("c").agg(F.min(F.struct((F.col("bits") > SURE).alias("doubt"), "u", "v")).alias("x"))
-            tried = cut(one.select("x.u", "x.v").distinct())
-        else:
-            tried = cut(left.select("u", "v"))
-        found = similar(tried, texts)
-        good = cut(found if good is None else good.union(found), instead_of=good)
-        star = cut(stars(good).select(F.col("u").alias("node"), F.col("v").alias("root")))
-        rest = left.join(tried, ["u", "v"], "left_anti").select("u", "v", "bits")
-        for end in ("u", "v"):
-            rest = rest.join(star.select(F.col("node").alias(end), F.col("root").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-        left = cut(rest.where("cu <> cv").select("u", "v", "bits", "cu", "cv"), instead_of=left)
-    return links.sparkSession.createDataFrame([], "u long, v long") if good is None else good
+        star = stars(found.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).select(F.col("u").alias("node"), F.col("v").alias("root"))
+        rest = left.join(tried.select("u", "v"), ["u", "v"], "left_anti")
+        for end in ("cu", "cv"):
+            rest = rest.join(star.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+        left, n = cut_with(rest.where("cu <> cv").select("u", "v", "bits", "cu", "cv"), count, instead_of=left)
+    empty = links.sparkSession.createDataFrame([], "u long, v long")
+    return empty if good is None else good.select("u", "v")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
