@@ -6,8 +6,8 @@ over its distinct shingles. Every half of a word is replicated to the anchors of
 (``simhash.anchors``), and fingerprints are compared per anchor: first one word, to drop those that met by chance,
 then, once for anchors of the same members, all words. A cell links its members by a forest of at most one link
 each: near ones to a root at once, others through their nearest. Links are then confirmed by the exact similarity,
-so no pair below it is joined. Pairs that share no anchor are lost: by calculation 7 % of pairs at exactly 0.8,
-2 % at 0.85, 0.1 % at 0.9; a group is lost only where no chain of its pairs is left.
+so no pair below it is joined. Pairs that share no anchor are lost: by calculation 3 % of pairs at exactly 0.8,
+0.4 % at 0.85, 0.01 % at 0.9; a group is lost only where no chain of its pairs is left.
 
 Scale: equal shingle sets are collapsed first, so exact copies never meet each other. What moves is four numbers for
 each anchor, and for the documents with near ones all words and, once a link, their shingles. An anchor that a sample
@@ -36,9 +36,9 @@ from voluma.llm.components import stars
 from voluma.llm.simhash import anchors, keep_ids
 
 SHINGLE, LEAST = 5, 0.8
-WORDS = 6
+WORDS = 8
 #: Differing bits of one word, and of all words, up to which a pair may be similar enough; and up to which it nearly surely is.
-MAY_ONE, MAY, SURE = 22, 83, 40
+MAY_ONE, MAY, SURE = 22, 106, 53
 #: Members of one part of an anchor; a cell compares at most two parts.
 CELL = 2048
 #: Anchors of which one in ``SAMPLE_RATE`` is counted to find those with many members; up to ``FEW`` are all counted.
