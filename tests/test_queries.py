@@ -25,7 +25,7 @@ def key(row):
     return [round(x, 6) if isinstance(x, float) and math.isfinite(x) else x for x in row]
 
 
-@pytest.mark.parametrize("name", ["flagship", "st_3dfaces", "st_3dvolume_guarded", "st_3dvalidationreport", "st_3ddistance", "st_3dintersects", "st_3dtransform", "st_3drotatez", "st_3dtranslate", "st_3dconvexhull", "agg_extent_grouped", "join_dwithin_grid"])
+@pytest.mark.parametrize("name", ["flagship", "st_3dfaces", "st_3dvolume_guarded", "st_3dvalidationreport", "st_3ddistance", "st_3dintersects", "st_3dtransform", "st_3drotatez", "st_3dtranslate", "st_3dconvexhull", "agg_extent_grouped", "join_dwithin_grid", "cast_payload", "struct_sidecar", "try_twin", "crs_rule", "nested_solids", "holed_and_warped", "st_3denvelope", "st_3dfootprintarea"])
 def test_against_sql(spark, tables, name):
     df = catalog.QUERIES[name](spark, DATA)
     columns = sorted(df.columns)

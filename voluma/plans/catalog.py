@@ -201,6 +201,70 @@ query("st_3dastext", boxes, {"text": lambda: call("st_3dastext", "base")}, _BOXE
 query("st_3dasgeojson", points, {"json": g("st_3dasgeojson")}, _POINTS, {"json": "'{\"type\":\"Point\",\"coordinates\":[' || x || ',' || y || ',' || z || ']}'"})
 query("cast_rebuild", boxes, {"volume": lambda: call("st_3dvolume", call("g3d_rebuild", F.col("g").withField("validation.is_valid", F.lit(False)))), "valid": lambda: call("g3d_rebuild", F.col("g").withField("validation.is_valid", F.lit(False)))["validation"]["is_valid"]}, _BOXES, {"volume": D("w * d * h"), "valid": "TRUE"})
 
+query(
+    "cast_payload",
+    boxes,
+    {
+        "volume": lambda: call("st_3dvolume", call("g3d_solid_from_payload", call("g3d_to_payload", "g"))),
+        "of_text": lambda: call("st_3dvolume", call("g3d_from_payload", call("g3d_payload_text", call("g3d_to_payload", "g")))),
+        "other_kind": lambda: call("g3d_geom_from_payload", call("g3d_to_payload", "g"), strict=False).isNull(),
+        "no_payload": lambda: call("g3d_from_payload", call("st_3daswkb", "g"), strict=False).isNull(),
+    },
+    _BOXES,
+    {"volume": D("w * d * h"), "of_text": D("w * d * h"), "other_kind": "TRUE", "no_payload": "TRUE"},
+)
+query(
+    "struct_sidecar",
+    hollows,
+    {
+        "shells": lambda: native("st_3dnumshells", call("st_3dfromwkb", "wkb", F.struct(F.lit("Solid").alias("type"), F.array(F.array(F.lit(6), F.lit(6)).cast("array<bigint>")).alias("shells")))),
+        "without": lambda: native("st_3dnumshells", call("st_3dfromwkb", "wkb")),
+    },
+    _HOLLOWS,
+    {"shells": "CAST(2 AS BIGINT)", "without": "CAST(1 AS BIGINT)"},
+)
+query("try_twin", tetras, {"volume": lambda: call("st_3dvolume", "g", strict=False)}, _TETRAS, {"volume": "CASE WHEN k % 2 = 0 THEN m * m * m / 6.0::DOUBLE END"})
+query("crs_rule", points, {"unlike": lambda: call("st_3ddistance", lib.st_3dsetcrs(F.col("g"), F.lit("EPSG:7415")), "g", strict=False).isNull(), "alike": lambda: call("st_3ddistance", "g", "g")}, _POINTS, {"unlike": "TRUE", "alike": D("0")})
+
+
+def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hollows, and cubes in the cavity, in the wall, around the whole, and off a corner."""
+    at = {"inner": (F.lit(1.25), F.lit(1.5)), "wall": (F.lit(0.25), F.lit(0.75)), "around": (F.lit(-1), F.col("n") + 1), "off": (F.col("n") + 1, F.col("n") + 2)}
+    return hollows(spark, sf_dir).withColumns({name: _solid(_surface(_cube(*corners))) for name, corners in at.items()})
+
+
+query(
+    "nested_solids",
+    nested,
+    {f"{name}_{what}": (lambda f, n: lambda: call(f, "g", n))(f, name) for name in ("inner", "wall", "around", "off") for what, f in (("far", "st_3ddistance"), ("meet", "st_3dintersects"))},
+    _HOLLOWS,
+    {"inner_far": D("0.25"), "inner_meet": "FALSE", "wall_far": D("0"), "wall_meet": "TRUE", "around_far": D("0"), "around_meet": "TRUE", "off_far": "sqrt(3::DOUBLE)", "off_meet": "FALSE"},
+)
+
+
+def holed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k, w, d, h, frame (a polygon of 4 w x 4 d with a hole of w x d) and warped (one corner raised by h) for each part."""
+    w, d, h, zero = F.col("w"), F.col("d"), F.col("h"), F.lit(0)
+    outer, inner = _ring((zero, zero, zero), (4 * w, zero, zero), (4 * w, 4 * d, zero), (zero, 4 * d, zero)), _ring((w, d, zero), (w, 2 * d, zero), (2 * w, 2 * d, zero), (2 * w, d, zero))
+    warped = _text("POLYGON Z (", *_ring((zero, zero, zero), (w, zero, zero), (w, d, h), (zero, d, zero)), ")")
+    return boxes(spark, sf_dir).select("k", "w", "d", "h", call("st_3dgeomfromtext", _text("POLYGON Z (", *outer, ", ", *inner, ")")).alias("frame"), call("st_3dgeomfromtext", warped).alias("warped"))
+
+
+query(
+    "holed_and_warped",
+    holed,
+    {
+        "area": lambda: call("st_3darea", "frame"),
+        "footprint": lambda: call("st_3dfootprintarea", "frame"),
+        "around": lambda: call("st_3dperimeter", "frame"),
+        "planar": lambda: call("st_isplanar", "frame"),
+        "bent": lambda: call("st_isplanar", "warped"),
+        "in_hole": lambda: call("st_3dintersects", "frame", call("st_3dgeomfromtext", _text("POINT Z (", F.col("w") * 1.5, " ", F.col("d") * 1.5, " 0)"))),
+    },
+    _BOXES,
+    {"area": D("15 * w * d"), "footprint": D("15 * w * d"), "around": D("10 * (w + d)"), "planar": "TRUE", "bent": "FALSE", "in_hole": "FALSE"},
+)
+
 # header facts
 query("st_3dbounds", boxes, {f"{e}_{a}": (lambda f: lambda: native("st_3dbounds", F.col("g"))[f])(f"{e}_{a}") for e in ("min", "max") for a in "xyz"}, _BOXES, _CORNERS)
 for _a in "xyz":
