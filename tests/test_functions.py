@@ -192,3 +192,22 @@ def test_native_geometry_columns(spark):
     with pytest.raises(Exception, match="1003"):
         made.select(lib.from_geometry(F.col("n"), solid=True)).collect()
     assert made.select(lib.from_geometry(F.col("n"), solid=True, strict=False).isNull()).distinct().collect()[0][0]
+
+
+def test_city_models_by_level(spark, tmp_path):
+    import json
+
+    from voluma.sources import city_models
+
+    cube = [[[0, 3, 2, 1]], [[4, 5, 6, 7]], [[0, 1, 5, 4]], [[1, 2, 6, 5]], [[2, 3, 7, 6]], [[3, 0, 4, 7]]]
+    corners = [[0, 0, 0], [1, 0, 0], [1, 1, 0], [0, 1, 0], [0, 0, 1], [1, 0, 1], [1, 1, 1], [0, 1, 1]]
+    meaning = {"surfaces": [{"type": "GroundSurface"}, {"type": "WallSurface"}], "values": [[0, None, 1, 1, 1, 1]]}
+    solid = {"type": "Solid", "lod": "2", "boundaries": [cube], "semantics": meaning}
+    model = {"CityObjects": {"a": {"type": "Building", "geometry": [solid, {"type": "MultiSurface", "lod": "0.1", "boundaries": cube[:1]}]}, "b": {"type": "Road"}}, "vertices": corners}
+    (tmp_path / "one.json").write_text(json.dumps(model))
+    rows = city_models.by_lod(city_models.read_model_files(spark, f"{tmp_path}/one.json"))
+    assert rows.columns == ["id", "type", "parents", "crs", "geometry_lod0_1", "geometry_properties_lod0_1", "geometry_lod2_0", "geometry_properties_lod2_0"]
+    row = rows.select("id", "geometry_properties_lod2_0.*", lib.call("st_3dvolume", lib.call("st_3dfromwkb", "geometry_lod2_0", "geometry_properties_lod2_0")).alias("v"), lib.call("st_3darea", lib.call("st_geom3dfromwkb", "geometry_lod0_1")).alias("a")).collect()
+    assert len(row) == 1 and row[0]["face_semantics"] == [0, None, 1, 1, 1, 1] and json.loads(row[0]["surfaces"]) == meaning["surfaces"]
+    assert (row[0]["shells"], row[0]["v"], row[0]["a"]) == ([[6]], pytest.approx(1), pytest.approx(1))
+    assert city_models.lod_suffix("2.2") == "2_2" and city_models.lod_suffix("2") == city_models.lod_suffix("2.0")

@@ -3,7 +3,8 @@
 Both sides are laid into XY cells; rows meet in every cell both touch, and a pair is kept only in the cell
 that holds the low corner of its boxes' overlap, so no pair is lost or repeated and no distinct is needed.
 Only ids and boxes take part in that; the shapes are joined to the pairs that the box test leaves, so the
-large columns move once and AQE can split a crowded cell. Rows without a box never match.
+large columns move once and AQE can split a crowded cell. Rows without a box never match. Ids must be unique on each
+side: pairs find their shapes by id, so an id given twice would meet with each of its shapes.
 """
 
 from __future__ import annotations
