@@ -211,3 +211,14 @@ def test_city_models_by_level(spark, tmp_path):
     assert len(row) == 1 and row[0]["face_semantics"] == [0, None, 1, 1, 1, 1] and json.loads(row[0]["surfaces"]) == meaning["surfaces"]
     assert (row[0]["shells"], row[0]["v"], row[0]["a"]) == ([[6]], pytest.approx(1), pytest.approx(1))
     assert city_models.lod_suffix("2.2") == "2_2" and city_models.lod_suffix("2") == city_models.lod_suffix("2.0")
+
+
+def test_batch_functions_read_only_their_fields(spark, tmp_path):
+    made = spark.createDataFrame([(fx.hollow_cube(),), (None,)], "wkb binary").select(lib.call("st_3dfromwkb", "wkb").alias("g"))
+    made.write.parquet(f"{tmp_path}/values")
+    stored = spark.read.parquet(f"{tmp_path}/values")
+    out = stored.select(lib.call("st_3dvolume", "g").alias("v"), lib.call("st_3darea", F.col("g")).alias("a"), lib.call("st_3dfootprintarea", geom="g").alias("f"))
+    assert sorted(map(tuple, out.collect()), key=repr) == [(56.0, 120.0, 20.0), (None, None, None)]
+    plan = stored.select(lib.call("st_3dvolume", "g"))._jdf.queryExecution().executedPlan().toString()
+    scanned = plan[plan.index("ReadSchema") :]
+    assert "solid_shell" in scanned and "ring_idx" not in scanned and "bbox" not in scanned and "parts" not in scanned

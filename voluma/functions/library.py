@@ -135,13 +135,28 @@ def _arranged(function: Heavy, given: tuple, named: dict) -> tuple:
 
 #: Functions that read one field of the header; nothing else of the value goes to Python.
 _HEADER_ONLY = {"st_3denvelope": "bbox"}
+#: The fields that a batch function reads; of a stored column no others are read from Parquet or sent to Python.
+_FIELDS_READ = {
+    "st_3dvolume": ("kind", "xs", "ys", "zs", "solid_shell", "shell_face", "face_tri", "tri", "validation"),
+    **dict.fromkeys(("st_3darea", "st_3dsurfacearea"), ("kind", "xs", "ys", "zs", "tri", "validation")),
+    "st_3dfootprintarea": ("kind", "xs", "ys", "face_ring", "ring_vertex", "ring_idx"),
+}
+
+
+def _is_plain(value) -> bool:
+    """Whether it is a column by name and no expression, whose Python part would run apart from its caller's."""
+    return isinstance(value, str) or re.fullmatch(r"Column<'\w+'>", str(value)) is not None
 
 
 def call(name: str, *columns, strict: bool = True, **named) -> Column:
     """The function ``name`` of columns, by place or by the names of ``HEAVY[name].arguments``."""
-    if name in _HEADER_ONLY:
+    if name in _HEADER_ONLY or name in _FIELDS_READ:
         (value,) = (*columns, *named.values())
-        columns, named = ((F.col(value) if isinstance(value, str) else value)[_HEADER_ONLY[name]],), {}
+        g = F.col(value) if isinstance(value, str) else value
+        if name in _HEADER_ONLY:
+            columns, named = (g[_HEADER_ONLY[name]],), {}
+        elif _is_plain(value):
+            columns, named = (F.when(g.isNotNull(), F.struct(*[g[f].alias(f) for f in _FIELDS_READ[name]])),), {}
     return udf_of(name, strict)(*columns, **named)
 
 
