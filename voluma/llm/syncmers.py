@@ -10,8 +10,8 @@ The next document, in falling doc_id, comes from one shuffle by ranges of doc_id
 quantiles, at most ``MOST_RANGES`` numbers); the largest document of each range is copied to the range above,
 so that no window crosses ranges.
 
-Defined cases: null or empty text is one empty word; texts of fewer than
-``SHORT`` words have their single words as anchors too; a longer text without an anchor has the hash of all its
+Defined cases: null or empty text is one empty word; very long texts are fingerprinted whole; extra columns are left
+out; an empty table gives an empty result; texts of fewer than ``SHORT`` words have their single words as anchors too; a longer text without an anchor has the hash of all its
 words as its one; rows that share a ``doc_id`` follow each other by text; a
 null id is the smallest; the only document is its own next.
 """

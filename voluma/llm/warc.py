@@ -137,15 +137,16 @@ def frames(stream) -> Iterator[bytes]:
     unpacker = zstandard.ZstdDecompressor(dict_data=learned)
     rest = b""
     while True:
-        job, out = unpacker.decompressobj(), io.BytesIO()
+        job, out, begun = unpacker.decompressobj(), io.BytesIO(), False
         while not job.eof:
             rest = rest or stream.read(1 << 16)
             if not rest:
                 break
+            begun = True
             out.write(job.decompress(rest))
             rest = job.unused_data if job.eof else b""
         if not job.eof:
-            if out.tell():
+            if begun:
                 raise ValueError("an archive ends inside a record")
             return
         yield out.getvalue()
