@@ -12,7 +12,7 @@ DataFrame functions only.
 Targets: by default a category's share of the tokens to the power ``temper``, normalised, which lifts small
 categories and lowers large ones; ``targets`` may give (category, share) tables instead. Topic: a column, or else the
 nearest of a few directions to the shares of the document's distinct words in 16 buckets, less the mean shares of its
-language (one more scan), so that the words which a language always has decide nothing.
+language, so that the words which a language always has decide nothing.
 
 Targets that can't be met together leave a residual: ``residual`` is the largest miss of a target share, over all three
 marginals of the fitted weights; it is near zero where the fit has converged, and the sweeps end at ``most_sweeps``.
@@ -63,25 +63,23 @@ def _signs(topics: int) -> list[list[int]]:
     return [sign for row in rows for sign in (row, [-x for x in row])][:topics]
 
 
-def with_cells(docs: DataFrame, out: str, topics: int, topic: str | None) -> DataFrame:
-    """``docs`` and the struct ``out`` of source, lang, tokens, topic."""
-    if not 1 <= topics <= 2 * (BUCKETS - 1):
-        raise ValueError(f"topics must be 1 to {2 * (BUCKETS - 1)}")
-    tagged = docs.withColumn(out, F.struct(*[c.alias(n) for n, c in _features(docs, topic).items()]))
-    if topic:
-        return tagged
-    (key,) = fresh(tagged, "mixture_lang")
-    shares = F.col(out)["shares"]
-    means = cut(tagged.groupBy(F.col(out)["lang"].alias(key)).agg(F.array(*[F.avg(shares[b]) for b in range(BUCKETS)]).alias(f"{key}_mean")))
-    rest = F.zip_with(shares, F.col(f"{key}_mean"), lambda x, m: x - m)
+def language_means(features: DataFrame) -> DataFrame:
+    """(mixture_lang, mixture_mean): the mean shares of each language's documents."""
+    return features.groupBy(F.col("lang").alias("mixture_lang")).agg(F.array(*[F.avg(F.col("shares")[b]) for b in range(BUCKETS)]).alias("mixture_mean"))
+
+
+def with_topic(tagged: DataFrame, out: str, means: DataFrame, topics: int) -> DataFrame:
+    """``tagged`` with the struct ``out`` of source, lang, tokens and topic, the nearest of ``topics`` directions."""
+    key, mean = fresh(tagged, "mixture_lang", "mixture_mean")
 
     def nearest(x: Column) -> Column:
         along = F.array(*[sum((x[b] * sign for b, sign in enumerate(row)), F.lit(0.0)) for row in _signs(topics)])
         return let(along, lambda a: F.array_position(a, F.array_max(a)) - 1)
 
-    joined = tagged.withColumn(key, F.col(out)["lang"]).join(means, key)
-    topic_of = let(rest, nearest).cast("string").alias("topic")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(F.col(out)["source"].alias("source"), F.col(out)["lang"].alias("lang"), F.col(out)["tokens"].alias("tokens"), topic_of).alias(out))
+    joined = tagged.withColumn(key, F.col(out)["lang"]).join(means.toDF(key, mean), key)
+    topic = let(F.zip_with(F.col(out)["shares"], F.col(mean), lambda x, m: x - m), nearest).cast("string")
+    cell = F.struct(*[F.col(out)[c].alias(c) for c in ("source", "lang", "tokens")], topic.alias("topic"))
+    return joined.select(*[F.col(f"`{c}`") for c in tagged.columns if c != out], cell.alias(out))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], most_sweeps: int = 25, close: float = 1e-4, bounded: float | None = None) -> DataFrame:
@@ -181,8 +179,14 @@ def bounded_fit(fitted: DataFrame, goals: dict[str, DataFrame], share: float) ->
 def mixture(docs: DataFrame, share: float = 0.6, temper: float = 0.7, topics: int = 8, topic: str | None = None, targets: dict[str, DataFrame] | None = None, seed: int = 9) -> DataFrame:
     """``docs`` and a struct column of its cell, tokens, weight, probability and draw; the column is the last one."""
     (out, key) = fresh(docs, "mixture", "mixture_cell")
-    tagged = with_cells(docs, out, topics, topic)
-    cells = tagged.groupBy(*[F.col(out)[d].alias(d) for d in DIMENSIONS]).agg(F.sum(F.col(out)["tokens"]).alias("tokens"))
+    if not 1 <= topics <= 2 * (BUCKETS - 1):
+        raise ValueError(f"topics must be 1 to {2 * (BUCKETS - 1)}")
+    tagged = docs.withColumn(out, F.struct(*[c.alias(n) for n, c in _features(docs, topic).items()]))
+    narrow = cut(tagged.select(F.col(out).alias("cell")))  # some 150 bytes a document: the texts are read here and for the result
+    if not topic:
+        means = cut(language_means(narrow.select("cell.*")))
+        tagged, narrow = (with_topic(x, name, means, topics) for x, name in ((tagged, out), (narrow, "cell")))
+    cells = narrow.groupBy(*[F.col("cell")[d].alias(d) for d in DIMENSIONS]).agg(F.sum(F.col("cell")["tokens"]).alias("tokens"))
     cells = cut(cells.withColumn("w", F.col("tokens").cast("double")))
     goals = {d: cut(tempered(cells, d, temper)) if d not in (targets or {}) else targets[d] for d in DIMENSIONS}
     fitted = rake(cells, goals)
