@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voluma.llm.common import cut, map_rows, read
+from voluma.llm.common import cut, map_rows, read, small_batches
 
 SAMPLE = 20_000
 PART = 4096
@@ -119,6 +119,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     A walk opens at least ``least`` vectors, and as many as a share of ``recall`` of the true neighbours takes.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     schema = "query_id long, rank int, vec_id long, score double"
     lengths = vectors.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if not lengths:
@@ -184,6 +185,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
             block = first[r["near"]] + r["key"] % span[r["near"]]
             yield r["id"], r["v"], r["key"], int(block), [(a, np.packbits(s).tobytes()) for a, s in opened.items()]
 
+    dealt = dealt.repartition(max(1, -(-int(load.sum()) // 512)), "key")  # by number: small rows with much work are not to be coalesced
     asked = cut(map_rows(dealt, "id long, v array<double>, key long, block long, opened array<struct<c1:int,seconds:binary>>", walked, out_rows=512))
     every = F.expr("explode(sequence(0, parts - 1))").alias("part")
     to = asked.select(F.col("block").alias("asked_by"), F.explode("opened.c1").alias("c1")).distinct().withColumn("parts", F.get(F.lit(parts), F.col("c1")))
@@ -193,25 +195,27 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     spread = index.withColumn("part", part).join(to, ["c1", "part"])
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        found = [np.zeros((0, 3), dtype=np.int64)], [np.zeros(0)]
         if len(left) and len(right):
             x, ids, second = np.stack(right["v"].to_list()), right["id"].to_numpy(), right["c2"].to_numpy()
             for start in range(0, len(left), 128):
                 some = left.iloc[start : start + 128]
-                rough = np.stack(some["v"].to_list()) @ x.T
-                for row, (own, key, v, seconds) in enumerate(zip(some["id"], some["key"], some["v"], some["seconds"], strict=True)):
-                    open_ = np.unpackbits(np.frombuffer(seconds, dtype=np.uint8), count=sizes[1]).astype(bool)
-                    at = np.flatnonzero(open_[second] & (ids != own))
-                    if len(at) > k:
-                        s = rough[row, at]
-                        at = at[s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9 * (1 + np.abs(s).max())]
-                    score = (x[at] * np.asarray(v)).sum(axis=1)
-                    best = np.lexsort((ids[at], -score))[:k]
-                    out.append((own, key, ids[at][best], score[best]))
-        n = [len(o[2]) for o in out]
-        column = lambda c: np.concatenate([o[c] for o in out]) if out else []
-        names = {"query_id": np.repeat([o[0] for o in out], n) if out else [], "key": np.repeat([o[1] for o in out], n) if out else []}
-        return pd.DataFrame(names | {"vec_id": column(2), "score": column(3)}).astype({"query_id": "int64", "key": "int64", "vec_id": "int64", "score": "float64"})
+                own, key, v = some["id"].to_numpy(), some["key"].to_numpy(), np.stack(some["v"].to_list())
+                opened = np.stack([np.unpackbits(np.frombuffer(s, dtype=np.uint8), count=sizes[1]) for s in some["seconds"]]).astype(bool)
+                rough = np.where(opened[:, second] & (ids != own[:, None]), v @ x.T, -np.inf)
+                if len(ids) > k:  # all that may be among the best by the exact scores
+                    last = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k, None]
+                    rough[rough < last - 1e-9 * (1 + np.abs(rough).max(axis=1, initial=0, where=rough > -np.inf)[:, None])] = -np.inf
+                row, at = np.nonzero(rough > -np.inf)
+                score = (x[at] * v[row]).sum(axis=1)
+                order = np.lexsort((ids[at], -score, row))
+                row, at, score = row[order], at[order], score[order]
+                best = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, at = row[best], at[best]
+                found[0].append(np.stack([own[row], key[row], ids[at]], axis=1))
+                found[1].append(score[best])
+        numbers = np.concatenate(found[0])
+        return pd.DataFrame({"query_id": numbers[:, 0], "key": numbers[:, 1], "vec_id": numbers[:, 2], "score": np.concatenate(found[1])})
 
     keys = ["c1", "part", "block"]
     met = asked.groupBy(*keys).cogroup(spread.select("id", "v", "c2", *keys).groupBy(*keys)).applyInPandas(rank, "query_id long, key long, vec_id long, score double")
