@@ -6,7 +6,9 @@ Conventions that hold for every operator in this package
   (where whole rows are returned) or are left out (where a digest is returned).
 * A null text is the empty text. A null identifier is the smallest identifier.
 * An empty table gives an empty result with the same schema.
-* Arrow batches are bounded by the session (``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB); no setting is changed.
+* Arrow batches have ``ARROW_ROWS`` rows at most: the session's ``spark.sql.execution.arrow.maxRecordsPerBatch`` is lowered
+  to that and stays so, because what an operator returns runs after it has returned. The session's bound of 64 MB a batch
+  is not enough where a task has a Python worker beside a JVM of little memory.
 * Intermediate tables lie in the shared folder; inside ``scratch`` they are deleted at its end.
 """
 
@@ -22,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of one Arrow batch; with documents of a few KB that is a few MB at a time.
+ARROW_ROWS = 1000
 #: The identifier that stands for null inside the operators.
 NULL_ID = -(1 << 63)
 
@@ -80,6 +84,13 @@ def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ARROW_ROWS rows unless the session asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def cut_with(df: DataFrame, aggregates: list[Column], instead_of: DataFrame | None = None) -> tuple[DataFrame, list]:
     """``cut`` and the aggregates of the table, taken while it is written: no scan and no job more."""
     seen = Observation()
@@ -112,6 +123,7 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterable[dict]], Iterat
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    small_batches(df.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ shares), computed over its whole text. Each class gets a mean and a covariance t
 pooled covariance and towards its own diagonal; the Cholesky factors are computed once and cached with the
 model. The score is the logistic of the Mahalanobis log-density difference plus the log prior odds.
 
-Scale: the labels meet their texts first, so statistics for the fit are computed of labelled training rows alone. The
+Scale: the labels meet their texts first (broadcast where they are few, else by a join that AQE can split), so statistics for the fit are computed of labelled training rows alone. The
 fit needs only their counts, sums and outer products, which partitions emit and one small aggregate adds up; it uses
 every labelled training row and holds nothing but d x d numbers. Scoring is a scan without shuffle.
 
@@ -26,8 +26,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voluma.llm.common import fresh, id_or_least, map_rows, read, text_or_empty
+from voluma.llm.common import cut_with, fresh, id_or_least, map_rows, read, text_or_empty
 
+#: Labelled training rows up to which they are broadcast to the texts (some MB); more meet them by a shuffle.
+MOST_BROADCAST = 1 << 18
 _CLASSES = {
     "upper": range(65, 91),
     "lower": range(97, 123),
@@ -136,6 +138,7 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, pooled: float = 0.5, diagonal: float = 0.02) -> Model:
     """The model of all labelled rows that aren't held out."""
     marks = labels.where(F.col("quality").isin(0, 1) & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False))).select(id_or_least().alias("id"), F.col("quality").cast("int").alias("y"))
+    marks, (n,) = cut_with(marks, [F.count("*")])
     d = len(NAMES)
 
     def moments(rows: Iterable[dict]) -> Iterator[tuple]:
@@ -147,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, pooled: float = 0.5, diagonal: float
         for y, (n, s, p) in parts.items():
             yield y, [float(n), *s, *p.ravel()]
 
-    known = docs.select(id_or_least().alias("id"), text_or_empty().alias("text")).join(marks, "id")
+    known = docs.select(id_or_least().alias("id"), text_or_empty().alias("text")).join(F.broadcast(marks) if n <= MOST_BROADCAST else marks, "id")
     added = map_rows(known, "y int, m array<double>", moments).select("y", F.posexplode("m").alias("i", "m")).groupBy("y", "i").agg(F.sum("m").alias("m"))
     sums = np.zeros((2, 1 + d + d * d))
     for r in added.collect():  # 2 x (1 + d + d * d) numbers, whatever the input
