@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voluma.llm.common import cut, cut_with, id_or_least, map_rows, text_or_empty
+from voluma.llm.common import cut, cut_with, id_or_least, map_rows, small_batches, text_or_empty
 from voluma.llm.components import stars
 from voluma.llm.simhash import anchors, keep_ids
 
@@ -207,6 +207,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_links(heads: DataFrame) -> DataFrame:
     """(u, v, bits): links of ``heads`` (node, words) that may be similar enough."""
+    small_batches(heads.sparkSession)
     heads = heads.select("node", "words")
     schema = "anchor long, node long, word long"
     placed = heads.mapInArrow(_replicate, schema)
@@ -233,7 +234,7 @@ def near_links(heads: DataFrame) -> DataFrame:
 
 def similar(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
     """The ``pairs`` (u, v, cu, cv) whose texts, of ``texts`` (id, text), have a similarity of ``least`` or more."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    wanted = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
     sets = map_rows(texts.join(wanted, "id", "left_semi"), "id long, found binary", _sets, out_rows=256)
     side = lambda n: sets.select(F.col("id").alias(n), F.col("found").alias(f"{n}_found"))
     met = pairs.join(side("v"), "v").join(side("u"), "u").select("u_found", "v_found", "u", "v", "cu", "cv")
@@ -253,15 +254,16 @@ def similar(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFra
 def confirmed(links: DataFrame, texts: DataFrame) -> DataFrame:
     """(u, v): links enough to connect what the similar ones of ``links`` connect, confirmed in rounds.
 
-    A round tries one link for each component so far (cu and cv are those of u and v), the last one all that are left.
+    A round tries one link to a smaller component for each component so far (cu and cv are those of u and v), a sure one
+    and to the smallest if there is a choice, so that a large group meets in one; the last one tries all that are left.
     """
     count, good = [F.count("*")], None
     left, n = cut_with(links.withColumns({"cu": F.col("u"), "cv": F.col("v")}), count)
     for number in range(ROUNDS):
         if not n[0]:
             break
-        ends = left.select(F.explode(F.array("cu", "cv")).alias("c"), F.struct((F.col("bits") > SURE).alias("doubt"), "u", "v", "cu", "cv").alias("x"))
-        tried = cut(ends.groupBy("c").agg(F.min("x").alias("x")).select("x.u", "x.v", "x.cu", "x.cv").distinct()) if number + 1 < ROUNDS else left.drop("bits")
+        one = left.groupBy(F.greatest("cu", "cv")).agg(F.min(F.struct((F.col("bits") > SURE).alias("doubt"), F.least("cu", "cv"), "u", "v", "cu", "cv")).alias("x"))
+        tried = cut(one.select("x.u", "x.v", "x.cu", "x.cv")) if number + 1 < ROUNDS else left.drop("bits")
         found = cut(similar(tried, texts))
         good = found if good is None else good.union(found)
         if number + 1 == ROUNDS:
