@@ -84,6 +84,11 @@ def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def by_merge(df: DataFrame) -> DataFrame:
+    """``df`` for a join that sorts and merges, never broadcasts: the planner can't tell how many rows a Python function or an explode makes of a small file."""
+    return df.hint("merge")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of ARROW_ROWS rows unless the session asks for fewer."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -2,7 +2,7 @@
 
 Alternating large-star and small-star rounds (each a pre-aggregated minimum and a join that AQE can
 split) contract every component to a star around its smallest node. Each round ends in a table in the shared folder, so
-lineage stays short and a lost executor costs one round.
+lineage stays short and a lost executor costs one round. No join broadcasts, so the driver holds no edges.
 """
 
 from __future__ import annotations
@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voluma.llm.common import cut_with
+from voluma.llm.common import by_merge, cut_with
 
 
 def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
     """``edges`` and ``m`` of their u; on a key of its own, so that AQE can split the join's nodes of many edges."""
     keyed = least.select((-1 - F.col("u")).alias("k"), "m")
-    return edges.withColumn("k", -1 - F.col("u")).join(keyed, "k").drop("k")
+    return edges.withColumn("k", -1 - F.col("u")).join(by_merge(keyed), "k").drop("k")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

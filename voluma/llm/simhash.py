@@ -12,7 +12,8 @@ Scale: equal fingerprints are collapsed first, so copies never meet each other.
 fingerprint are dropped before comparing; an anchor with more than ``CELL`` fingerprints is dealt into
 part-by-part cells that are compared separately, so no task holds a whole large group. A cell gives the
 star of each of its components, at most one link for a fingerprint, never all pairs. Components come from
-star contraction, with checkpoints.
+star contraction, with checkpoints. Joins sort and merge: nothing whose rows grow with the table is broadcast, so the
+driver holds none of it.
 
 Defined cases: null or empty text has fingerprint zero and links like any other; fewer words than a
 shingle are one shingle; a bit that exactly half the hashes have is 0; very long texts are held one at a time; a
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voluma.llm.common import NULL_ID, cut, fresh, id_or_least, map_rows, read, text_or_empty
+from voluma.llm.common import NULL_ID, by_merge, cut, fresh, id_or_least, map_rows, read, text_or_empty
 from voluma.llm.components import stars
 
 SEED = 42
@@ -191,7 +192,7 @@ def near_links(fps: DataFrame, most: int = 4) -> DataFrame:
         raise ValueError("anchors of radius two cover a threshold of 0 to 5 bits")
     placed = fps.select("fp").mapInArrow(_replicate, "anchor long, fp long")
     met = placed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = placed.join(met, "anchor").select("anchor", "fp", F.ceil(F.col("n") / CELL).cast("long").alias("parts"))
+    dealt = placed.join(by_merge(met), "anchor").select("anchor", "fp", F.ceil(F.col("n") / CELL).cast("long").alias("parts"))
     dealt = dealt.withColumn("part", F.when(F.col("parts") > 1, F.expr("pmod(xxhash64(fp), parts)")).otherwise(F.lit(0)).cast("long"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     cells = dealt.select("anchor", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "fp")
@@ -204,11 +205,11 @@ def near_components(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFra
     each = cut(fingerprints(docs, shingle))
     by_id = each.groupBy("id").agg(F.min("fp").alias("v"), F.max("fp").alias("u"))  # rows that share an id link what they hold
     distinct = each.groupBy("fp").agg(F.min("id").alias("head"))
-    links = near_links(distinct, most).union(each.join(by_id.where("u <> v"), "id").select(F.col("fp").alias("u"), "v"))
+    links = near_links(distinct, most).union(each.join(by_merge(by_id.where("u <> v")), "id").select(F.col("fp").alias("u"), "v"))
     star = stars(links).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    rooted = distinct.join(star, "fp", "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(by_merge(star), "fp", "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
     named = cut(rooted.groupBy("root").agg(F.min("head").alias("component")))  # a table of its own, so that AQE can split the join's large components
-    return each.join(rooted.join(named, "root").select("fp", "component"), "fp").select("id", "fp", "component")
+    return each.join(by_merge(rooted.join(by_merge(named), "root").select("fp", "component")), "fp").select("id", "fp", "component")
 
 
 def keep_ids(docs: DataFrame, stay: DataFrame) -> DataFrame:
