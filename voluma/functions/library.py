@@ -188,7 +188,7 @@ def _geom_from_wkb(data: bytes) -> Shape:
     return build.geometry_from_wkb(bytes(data))
 
 
-@heavy("st_3dgeomfromtext", "wkt", G3D)
+@heavy("st_3dgeomfromtext", "wkt", G3D, many=bulk.plain_texts)
 def _geom_from_text(words: str) -> Shape:
     """A geometry from WKT or EWKT with Z."""
     return build.geometry_from_text(words)
@@ -206,13 +206,15 @@ def _make_solid(surface: Shape) -> Shape:
     return build.make_solid(surface)
 
 
-@heavy("g3d_rebuild", "value", G3D)
+@heavy("g3d_rebuild", "value", G3D, many=bulk.rebuilt)
 def _rebuild(value: Shape) -> Shape:
     """An untrusted value with bounds, triangles and validation made anew."""
     return build.rebuild(value)
 
 
 _PAYLOAD = b"VOLUMA01"
+_PRINTED = [chr(b) if 32 <= b < 127 and b != 92 else f"\\x{b:02X}" for b in range(256)]
+_PRINTABLE = re.compile(r"(?:[ -\[\]-~]++|\\x[0-9A-Fa-f]{2})*+")
 
 
 @heavy("g3d_to_payload", "value", "binary")
@@ -226,20 +228,19 @@ def _to_payload(value: Shape) -> bytes:
 @heavy("g3d_payload_text", "payload", "string")
 def _payload_text(payload: bytes) -> str:
     """A payload as printable text: bytes outside printable ASCII, and backslashes, as \\xHH."""
-    return "".join(chr(b) if 32 <= b < 127 and b != 92 else f"\\x{b:02X}" for b in bytes(payload))
+    return "".join(map(_PRINTED.__getitem__, bytes(payload)))
 
 
 def _payload_bytes(payload: bytes | str) -> bytes:
     if not isinstance(payload, str):
         return bytes(payload)
-    if not re.fullmatch(r"(?:[ -\[\]-~]|\\x[0-9A-Fa-f]{2})*", payload):
+    if not _PRINTABLE.fullmatch(payload):
         raise GeometryError("the text is no payload: it has characters other than printable ASCII, or a backslash without xHH")
-    return re.sub(r"\\x([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), payload).encode("latin-1")
+    return payload.encode("ascii").decode("unicode_escape").encode("latin-1")
 
 
-@heavy("g3d_from_payload", "payload", G3D)
-def _from_payload(payload: bytes | str) -> Shape:
-    """The value of a payload, binary or as text; bounds, triangles and validation are made anew, so it need not be trusted."""
+def _opened(payload: bytes | str) -> tuple[dict, bytes]:
+    """The header and the WKB of a payload."""
     data = _payload_bytes(payload)
     if not data.startswith(_PAYLOAD):
         raise GeometryError("BLOB is not a payload of this library; build one from WKB with ST_3DFromWKB or ST_Geom3DFromWKB")
@@ -249,13 +250,38 @@ def _from_payload(payload: bytes | str) -> Shape:
         head = json.loads(data[at : at + size])
     except ValueError:
         raise GeometryError("Cannot cast BLOB: damaged header") from None
-    body = data[at + size :]
+    return head, data[at + size :]
+
+
+def _plain_payloads(payloads: list) -> list[Shape | None]:
+    """The payloads of plain sound solids of one shell; None for the others."""
+    rings, systems = [], []
+    for payload in payloads:
+        try:
+            head, body = _opened(payload) if payload is not None else ({}, b"")
+            found = bulk.plain_rings(body) if head.get("solid") is True else None
+            rings.append(found if found is not None and head["shells"] == [[len(found)]] else None)
+            systems.append(head.get("crs"))
+        except (ValueError, KeyError, AttributeError):
+            rings.append(None)
+            systems.append(None)
+    out = bulk.sound_solids(rings)
+    for solid, system in zip(out, systems, strict=True):
+        if solid is not None:
+            solid.crs = system
+    return out
+
+
+@heavy("g3d_from_payload", "payload", G3D, many=_plain_payloads)
+def _from_payload(payload: bytes | str) -> Shape:
+    """The value of a payload, binary or as text; bounds, triangles and validation are made anew, so it need not be trusted."""
+    head, body = _opened(payload)
     out = build.solid_from_wkb(body, head["shells"]) if head["solid"] else build.geometry_from_wkb(body)
     out.crs = head["crs"]
     return out
 
 
-@heavy("g3d_solid_from_payload", "payload", G3D)
+@heavy("g3d_solid_from_payload", "payload", G3D, many=_plain_payloads)
 def _solid_from_payload(payload: bytes | str) -> Shape:
     """As g3d_from_payload, of a solid."""
     out = _from_payload(payload)
@@ -267,10 +293,9 @@ def _solid_from_payload(payload: bytes | str) -> Shape:
 @heavy("g3d_geom_from_payload", "payload", G3D)
 def _geom_from_payload(payload: bytes | str) -> Shape:
     """As g3d_from_payload, of a geometry that is not a solid."""
-    out = _from_payload(payload)
-    if out.kind == s.SOLID:
+    if _opened(payload)[0]["solid"]:
         raise GeometryError("BLOB is not a GEOM_3D payload")
-    return out
+    return _from_payload(payload)
 
 
 def from_geometry(column: Column, solid: bool = False, strict: bool = True) -> Column:

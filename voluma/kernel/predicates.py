@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from fractions import Fraction
-
 #: Bounds on the relative error of the floating-point determinants.
 _ERROR2, _ERROR3 = 4e-16, 8e-16
 
@@ -12,13 +10,20 @@ def _sign(x) -> int:
     return (x > 0) - (x < 0)
 
 
+def _scaled(*points) -> list[list[int]]:
+    """The coordinates as whole numbers under one common scale, exactly: floats are whole numbers over powers of two."""
+    ratios = [[float(x).as_integer_ratio() for x in p] for p in points]
+    most = max(d for p in ratios for _, d in p)
+    return [[n * (most // d) for n, d in p] for p in ratios]
+
+
 def orient2d(a, b, c) -> int:
     """The side of line ab on which c lies; points are pairs."""
     left, right = (a[0] - c[0]) * (b[1] - c[1]), (a[1] - c[1]) * (b[0] - c[0])
     det = left - right
     if abs(det) > _ERROR2 * (abs(left) + abs(right)):
         return _sign(det)
-    ax, ay, bx, by, cx, cy = map(Fraction, (*a, *b, *c))
+    (ax, ay), (bx, by), (cx, cy) = _scaled(a[:2], b[:2], c[:2])
     return _sign((ax - cx) * (by - cy) - (ay - cy) * (bx - cx))
 
 
@@ -33,7 +38,7 @@ def orient3d(a, b, c, d) -> int:
     size = abs(wx) * (abs(p) + abs(q)) + abs(wy) * (abs(r) + abs(t)) + abs(wz) * (abs(m) + abs(n))
     if abs(det) > _ERROR3 * size:
         return _sign(det)
-    a, b, c, d = ([Fraction(float(x)) for x in point] for point in (a, b, c, d))
+    a, b, c, d = _scaled(a, b, c, d)
     u, v, w = ([x - y for x, y in zip(p, a, strict=True)] for p in (b, c, d))
     return _sign(w[0] * (u[1] * v[2] - u[2] * v[1]) + w[1] * (u[2] * v[0] - u[0] * v[2]) + w[2] * (u[0] * v[1] - u[1] * v[0]))
 

@@ -25,6 +25,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Narrow rows dealt over all cores before shapes are made of them: a small file is a task or two, and its shapes are work for many."""
+    context = rows.sparkSession
+    n = max(4 * context.sparkContext.defaultParallelism, int(context.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(n, "k")
+
+
 # --- shapes from keys ------------------------------------------------------------------------------------
 
 
@@ -70,7 +77,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "part").select(
         key.alias("k"), (1 + key % 7).alias("w"), (1 + F.col("p_size") % 5).alias("d"), (1 + key % 11).alias("h"), (10 * (key % 100)).alias("x"), (10 * F.floor(key / 100)).alias("y")
     )
-    based = rows.withColumn("base", call("st_3dgeomfromtext", _rectangle(F.col("x"), F.col("y"), 0, F.col("w"), F.col("d"))))
+    based = _spread(rows).withColumn("base", call("st_3dgeomfromtext", _rectangle(F.col("x"), F.col("y"), 0, F.col("w"), F.col("d"))))
     return based.withColumn("g", call("st_3dextrude", "base", F.col("h").cast("double")))
 
 
@@ -81,7 +88,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, x, y, z and g (a point) for each customer."""
     key = F.col("c_custkey")
     rows = _read(spark, sf_dir, "customer").select(key.alias("k"), (key % 97).alias("x"), (key % 89).alias("y"), (key % 83).alias("z"))
-    return rows.withColumn("g", call("st_3dgeomfromtext", _text("POINT Z (", F.col("x"), " ", F.col("y"), " ", F.col("z"), ")")))
+    return _spread(rows).withColumn("g", call("st_3dgeomfromtext", _text("POINT Z (", F.col("x"), " ", F.col("y"), " ", F.col("z"), ")")))
 
 
 _POINTS = "(SELECT c_custkey AS k, c_custkey % 97 AS x, c_custkey % 89 AS y, c_custkey % 83 AS z FROM customer) AS p"
@@ -93,7 +100,7 @@ def hollows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), (3 + F.col("s_suppkey") % 5).alias("n"))
     zero = F.lit(0)
     faces = _cube(zero, n) + _cube(F.lit(1), n - 1, inward=True)
-    return rows.withColumn("wkb", call("st_3dasbinary", call("st_3dgeomfromtext", _surface(faces)))).withColumn("g", call("st_3dfromwkb", "wkb", F.lit('{"type": "Solid", "shells": [[6, 6]]}')))
+    return _spread(rows).withColumn("wkb", call("st_3dasbinary", call("st_3dgeomfromtext", _surface(faces)))).withColumn("g", call("st_3dfromwkb", "wkb", F.lit('{"type": "Solid", "shells": [[6, 6]]}')))
 
 
 _HOLLOWS = "(SELECT s_suppkey AS k, 3 + s_suppkey % 5 AS n FROM supplier) AS s"
@@ -104,7 +111,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), (5 + F.col("s_suppkey") % 9).alias("o"))
     one = lambda low: call("st_3dasbinary", call("st_3dgeomfromtext", _surface(_cube(low, low + 2))))
     both = F.concat(F.unhex(F.lit("01EF03000002000000")), one(F.lit(0)), one(F.col("o")))
-    return rows.withColumn("g", call("st_3dfromwkb", both, F.lit(None).cast("string")))
+    return _spread(rows).withColumn("g", call("st_3dfromwkb", both, F.lit(None).cast("string")))
 
 
 _PAIRS = "(SELECT s_suppkey AS k, 5 + s_suppkey % 9 AS o FROM supplier) AS s"
@@ -116,7 +123,7 @@ def tetras(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), m)
     faces = [[tuple(F.lit(0) if c == 0 else F.col("m") for c in corner) for corner in face] for face in tetra_faces()]
     text = F.when(F.col("k") % 2 == 0, _surface(faces)).otherwise(_surface(faces[1:]))
-    return rows.withColumn("g", _solid(text))
+    return _spread(rows).withColumn("g", _solid(text))
 
 
 _TETRAS = "(SELECT s_suppkey AS k, 1 + s_suppkey % 6 AS m FROM supplier) AS s"
@@ -125,7 +132,7 @@ _TETRAS = "(SELECT s_suppkey AS k, 1 + s_suppkey % 6 AS m FROM supplier) AS s"
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, m and g: the line (0 0 0, 3m 4m 0, 3m 4m 12) for each order."""
     rows = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (1 + F.col("o_orderkey") % 9).alias("m"))
-    return rows.withColumn("g", call("st_3dgeomfromtext", _text("LINESTRING Z (0 0 0, ", 3 * F.col("m"), " ", 4 * F.col("m"), " 0, ", 3 * F.col("m"), " ", 4 * F.col("m"), " 12)")))
+    return _spread(rows).withColumn("g", call("st_3dgeomfromtext", _text("LINESTRING Z (0 0 0, ", 3 * F.col("m"), " ", 4 * F.col("m"), " 0, ", 3 * F.col("m"), " ", 4 * F.col("m"), " 12)")))
 
 
 _LINES = "(SELECT o_orderkey AS k, 1 + o_orderkey % 9 AS m FROM orders) AS o"
@@ -137,7 +144,7 @@ def wells(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), (1 + F.col("s_suppkey") % 7).alias("a"))
     outer = [(F.lit(x), F.lit(y), F.col("k")) for x, y in ((0, 0), (10, 0), (10, 10), (0, 10))]
     inner = [(F.lit(1), F.lit(1), F.col("k")), (F.lit(1), a + 1, F.col("k")), (a + 1, a + 1, F.col("k")), (a + 1, F.lit(1), F.col("k"))]
-    return rows.withColumn("g", call("st_3dgeomfromtext", _text("POLYGON Z (", *_ring(*outer), ", ", *_ring(*inner), ")")))
+    return _spread(rows).withColumn("g", call("st_3dgeomfromtext", _text("POLYGON Z (", *_ring(*outer), ", ", *_ring(*inner), ")")))
 
 
 _WELLS = "(SELECT s_suppkey AS k, 1 + s_suppkey % 7 AS a FROM supplier) AS s"
