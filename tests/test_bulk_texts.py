@@ -83,3 +83,12 @@ def test_exact_signs():
         p, q, r = ([Fraction(x) for x in point] for point in (a, b, middle))
         det = (p[0] - r[0]) * (q[1] - r[1]) - (p[1] - r[1]) * (q[0] - r[0])
         assert predicates.orient2d(a, b, middle) == (det > 0) - (det < 0)
+
+
+def test_solids_of_surfaces():
+    surfaces = [None if x is None else build.shell_surface(x, 0) for x in solids()]
+    surfaces[0].crs = "EPSG:7415"
+    assert [x is not None for x in bulk.of_surfaces(surfaces)] == [True, True, False, True, False, False]
+    out = lib._run(lib.HEAVY["st_makesolid"], False, (codec.encode(surfaces),))
+    whole = [build.make_solid(x) for x in surfaces[:4]]
+    assert out.equals(codec.encode([*whole, None, None]))

@@ -200,7 +200,7 @@ def _extrude(polygon: Shape, height: float) -> Shape:
     return build.extrude(polygon, height)
 
 
-@heavy("st_makesolid", "geom", G3D)
+@heavy("st_makesolid", "geom", G3D, many=bulk.of_surfaces)
 def _make_solid(surface: Shape) -> Shape:
     """A closed, manifold, oriented PolyhedralSurface as a solid."""
     return build.make_solid(surface)

@@ -266,18 +266,26 @@ def _tiled(shapes: list[Shape]) -> list[bool]:
     return [ok and next(each) for ok in plain]
 
 
-def rebuilt(values: list[Shape | None]) -> list[Shape | None]:
-    """Values made anew as their faces say, of plain sound solids whose vertices are numbered by first use; None for the others."""
+def _plain_faces(x: Shape) -> list[np.ndarray] | None:
+    """The rings of a value whose faces have one ring of three or four corners each; None for others."""
+    sizes, cut = np.diff(x.ring_vertex), x.ring_vertex
+    if not 4 <= x.n_faces <= 64 or not np.array_equal(x.face_ring, np.arange(x.n_faces + 1)) or len(sizes) != x.n_faces or sizes.min() < 3 or sizes.max() > 4:
+        return None
+    if cut[0] != 0 or cut[-1] != len(x.ring_idx) or x.ring_idx.min() < 0 or x.ring_idx.max() >= len(x.v):
+        return None
+    return [r.ravel() for r in np.split(x.v[x.ring_idx], cut[1:-1])]
+
+
+def of_surfaces(values: list[Shape | None]) -> list[Shape | None]:
+    """The solids of plain sound surfaces; None for the others."""
+    out = sound_solids([None if x is None or x.kind != s.SURFACE else _plain_faces(x) for x in values])
+    return [None if solid is None else replace(solid, crs=x.crs) for solid, x in zip(out, values, strict=True)]
 
-    def rings(x: Shape | None) -> list[np.ndarray] | None:
-        if x is None or x.kind != s.SOLID or not 4 <= x.n_faces <= 64 or x.n_solids != 1 or x.n_shells != 1:
-            return None
-        sizes, cut = np.diff(x.ring_vertex), x.ring_vertex
-        if len(sizes) != x.n_faces or sizes.min() < 3 or sizes.max() > 4 or cut[0] != 0 or cut[-1] != len(x.ring_idx) or x.ring_idx.min() < 0 or x.ring_idx.max() >= len(x.v):
-            return None
-        return [r.ravel() for r in np.split(x.v[x.ring_idx], cut[1:-1])]
 
-    out = sound_solids([rings(x) for x in values])
+def rebuilt(values: list[Shape | None]) -> list[Shape | None]:
+    """Values made anew as their faces say, of plain sound solids whose vertices are numbered by first use; None for the others."""
+    plain = [x is not None and x.kind == s.SOLID and x.n_solids == 1 and x.n_shells == 1 for x in values]
+    out = sound_solids([_plain_faces(x) if ok else None for x, ok in zip(values, plain, strict=True)])
     for i, (solid, x) in enumerate(zip(out, values, strict=True)):
         if solid is not None:
             same = all(np.array_equal(getattr(solid, n), getattr(x, n)) for n in ("v", "solid_shell", "shell_face", "face_ring", "ring_vertex", "ring_idx"))
