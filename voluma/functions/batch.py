@@ -6,10 +6,14 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
+from voluma.functions import codec
 from voluma.functions.codec import Lists
-from voluma.kernel import pairs
-from voluma.kernel.shape import MULTIPOLYGON, POLYGON, SOLID, SURFACE, GeometryError
+from voluma.kernel import bulk, pairs, signs
+from voluma.kernel.flat import ranges
+from voluma.kernel.shape import AREAL, EPS_ABSOLUTE, EPS_RELATIVE, MULTIPOLYGON, POINT, POLYGON, SOLID, SURFACE, GeometryError
+from voluma.kernel.triangulate import along, cross, lengths
 
 _REFUSALS = (("is_closed", False, "is not closed"), ("is_manifold", False, "is not manifold"), ("is_oriented", False, "has inconsistent orientation"), ("degenerate_faces", True, "contains degenerate faces"), ("self_intersections", True, "has self-intersecting faces"))
 
@@ -125,6 +129,55 @@ def footprints(array: pa.StructArray, strict: bool = True) -> pa.Array:
     return pa.array(total, pa.float64(), mask=~present)
 
 
+class _Rings:
+    """The rings of the areal rows of a column, end to end: p are their corners, ring r has p[start[r]:start[r] + size[r]]."""
+
+    def __init__(self, array: pa.StructArray, kinds: tuple[int, ...]) -> None:
+        self.some = np.asarray(array.is_valid()) & np.isin(np.asarray(array.field("kind").fill_null(-1)), kinds)
+        at, low, high = _blocks(array, "ring_vertex")
+        if not self.some.all():
+            chosen = self.some[at]
+            at, low, high = at[chosen], low[chosen], high[chosen]
+        xs, index = Lists(array.field("xs")), Lists(array.field("ring_idx"))
+        self.row, self.size = at, high - low
+        self.start = np.cumsum(self.size) - self.size
+        self.ring = np.repeat(np.arange(len(at)), self.size)
+        corner = index.flat[ranges(index.offsets[at] + low, self.size)] + xs.offsets[at][self.ring]
+        self.p = np.stack([xs.flat[corner], np.asarray(array.field("ys").values)[corner], np.asarray(array.field("zs").values)[corner]], axis=1)
+        self.following = np.arange(len(self.p)) + 1
+        full = self.size > 0
+        self.following[(self.start + self.size - 1)[full]] = self.start[full]
+
+
+def perimeters(array: pa.StructArray) -> tuple[pa.Array, np.ndarray]:
+    """The length of every ring of polygons; other kinds are left to the row function."""
+    rings = _Rings(array, (POLYGON, MULTIPOLYGON))
+    each = _sums(lengths(rings.p[rings.following] - rings.p), rings.start, rings.start + rings.size)
+    return pa.array(np.bincount(rings.row, weights=each, minlength=len(array))[rings.some], pa.float64()), rings.some
+
+
+def planar(array: pa.StructArray) -> tuple[pa.Array, np.ndarray]:
+    """Whether all rings of areal values lie in planes; rows with a ring too thin to tell, or on the verge, are left to the row function."""
+    rings = _Rings(array, AREAL)
+    p, start, ring = rings.p, rings.start, rings.ring
+    some, flat = rings.some.copy(), np.ones(len(array), dtype=bool)
+    if len(p):
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            local = p - p[start[ring]]
+            normal, middle = (np.stack([_sums(x[:, k], start, start + rings.size) for k in range(3)], axis=1) for x in (cross(local, local[rings.following]), local))
+            size = lengths(normal)
+            unit, centre = normal / size[:, None], middle / rings.size[:, None]
+            off, reach = np.abs(along(local - centre[ring], unit[ring])), np.abs(p).max(axis=1)
+            full = np.flatnonzero(rings.size > 3)
+            edges = np.stack([start[full], start[full] + rings.size[full]], axis=1).ravel()
+            most, far = (np.maximum.reduceat(np.append(x, 0.0), edges)[::2] for x in (off, reach))
+            limit = EPS_RELATIVE * np.maximum(1.0, far)
+            doubt = ~(size[full] > 4 * EPS_ABSOLUTE) | ~(np.abs(most - limit) > 1e-3 * limit + 1e-14 * far)
+        some[rings.row[full[doubt]]] = False
+        flat[rings.row[full[most > limit]]] = False
+    return pa.array(flat[some]), some
+
+
 def envelopes(array: pa.StructArray, strict: bool = True) -> pa.Array:
     """Of boxes, or of the boxes of values."""
     box = array.field("bbox") if array.type.get_field_index("bbox") >= 0 else array
@@ -142,6 +195,25 @@ def envelopes(array: pa.StructArray, strict: bool = True) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
+#: The forms of text that a batch reads, as Arrow matches them: it has no possessive repeats and needs none.
+_FORMS = {kind: rf"^{head}{form}\z".replace("++", "+").replace("*+", "*").replace("?+", "?") for kind, (head, form) in bulk.FORMS.items()}
+
+
+def texts(words: pa.Array) -> tuple[pa.StructArray, np.ndarray]:
+    """(values, which rows have one) of the texts that ``bulk.flat_texts`` reads."""
+    kind = np.full(len(words), -1)
+    for k, form in _FORMS.items():
+        kind[np.asarray(pc.match_substring_regex(words, form).fill_null(False))] = k
+    some = kind >= 0
+    chosen = pc.filter(words, pa.array(some)).cast(pa.large_string())
+    _, at, data = chosen.buffers()
+    at = np.frombuffer(at, dtype=np.int64, count=len(chosen) + 1, offset=8 * chosen.offset) if len(chosen) else np.zeros(1, dtype=np.int64)
+    data = np.frombuffer(data or b"", dtype=np.uint8)[at[0] : at[-1]]
+    found, good = bulk.flat_texts(data, at - at[0], kind[some])
+    some[some] = good
+    return codec.encode_flat(found), some
+
+
 class _Side:
     """One column of a batch of pairs."""
 
@@ -214,6 +286,29 @@ class Pairs:
         return out
 
 
+def _points_in(a: pa.StructArray, b: pa.StructArray, out: list) -> list:
+    """Fills in exactly which points lie in which areal values of the same row; faces without triangles are left to the row function."""
+    for areal, point in ((a, b), (b, a)):
+        kind, other = (np.asarray(x.field("kind").fill_null(-1)) for x in (areal, point))
+        some = np.asarray(areal.is_valid()) & np.asarray(point.is_valid()) & np.isin(kind, AREAL) & (other == POINT) & (np.diff(Lists(point.field("xs")).offsets) == 1)
+        if not some.any():
+            continue
+        some &= np.array([x == y for x, y in zip(areal.field("crs").fill_null("").to_pylist(), point.field("crs").fill_null("").to_pylist(), strict=True)], dtype=bool)
+        row, low, high = _blocks(areal, "face_tri")
+        some[row[low == high]] = False
+        v, t, row = _corners(areal)
+        at = Lists(point.field("xs")).offsets[:-1]
+        at = np.where(np.diff(Lists(point.field("xs")).offsets) > 0, at, 0)
+        p = np.stack([np.asarray(point.field(c).values)[at] if some.any() else np.zeros(len(at)) for c in ("xs", "ys", "zs")], axis=1)
+        corners = v[t]
+        near = np.flatnonzero(some[row] & ((corners.min(axis=1) <= p[row]) & (p[row] <= corners.max(axis=1))).all(axis=1))
+        inside = np.zeros(len(areal), dtype=bool)
+        inside[row[near[signs.in_triangle(p[row[near]], corners[near])]]] = True
+        for r in np.flatnonzero(some).tolist():
+            out[r] = bool(inside[r])
+    return out
+
+
 def pair_distances(a: pa.Array, b: pa.Array) -> list:
     both = Pairs(a, b)
     return both.as_list(both.distances())
@@ -221,12 +316,11 @@ def pair_distances(a: pa.Array, b: pa.Array) -> list:
 
 def pair_intersects(a: pa.Array, b: pa.Array) -> list:
     both = Pairs(a, b)
-    return both.as_list(both.intersects())
+    return _points_in(a, b, both.as_list(both.intersects()))
 
 
 def pair_disjoint(a: pa.Array, b: pa.Array) -> list:
-    both = Pairs(a, b)
-    return both.as_list(~both.intersects())
+    return [None if x is None else not x for x in pair_intersects(a, b)]
 
 
 def pair_within(a: pa.Array, b: pa.Array, limit: pa.Array) -> list:

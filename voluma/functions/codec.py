@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 from voluma.functions.schema import G3D, LISTS
+from voluma.kernel.flat import Flat
 from voluma.kernel.shape import SOLID, Shape
 from voluma.kernel.validate import COUNTS, FLAGS
 
@@ -102,3 +103,32 @@ def encode(shapes: list[Shape | None]) -> pa.StructArray:
     checks = [pa.array([None if x.validation is None else x.validation[name] for x in each], f.type) for name, f in zip((*COUNTS, *FLAGS), kind.field("validation").type, strict=True)]
     fields["validation"] = pa.StructArray.from_arrays(checks, fields=list(kind.field("validation").type), mask=pa.array(unchecked))
     return pa.StructArray.from_arrays([fields[f.name].cast(f.type) for f in kind], fields=list(kind), mask=pa.array(missing))
+
+
+def encode_flat(x: Flat) -> pa.StructArray:
+    """The column of a batch of values, none of them null."""
+    kind, n = arrow_type(G3D), x.n
+    size = np.diff(x.vo)
+    full = size > 0
+    box = np.zeros((6, n))
+    if full.any():
+        box[:3, full] = np.minimum.reduceat(x.v, x.vo[:-1][full]).T
+        box[3:, full] = np.maximum.reduceat(x.v, x.vo[:-1][full]).T
+    groups = {name: np.maximum(np.diff(x.lists[name][1]) - 1, 0) for name in ("solid_shell", "shell_face", "face_ring", "ring_vertex")}
+    counts = [size, *groups.values(), np.diff(x.lists["tri"][1]) // 3]
+    lists = lambda values, at, to: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values, to))
+    missing = lambda some: pa.array(np.broadcast_to(some, n))
+    struct = lambda name, columns, mask: pa.StructArray.from_arrays(columns, fields=list(kind.field(name).type), mask=mask)
+    fields = {
+        "kind": pa.array(x.kind.astype(np.int32)),
+        "crs": pa.nulls(n, pa.string()) if x.crs is None else pa.array([c or None for c in x.crs], pa.string()),
+        "bbox": struct("bbox", [pa.array(b, mask=~full) for b in box], pa.array(~full)),
+        "counts": struct("counts", [pa.array(c.astype(np.int32)) for c in counts], None),
+    }
+    for k, name in enumerate(("xs", "ys", "zs")):
+        fields[name] = lists(np.ascontiguousarray(x.v[:, k]), x.vo, pa.float64())
+    for name, (values, at) in x.lists.items():
+        fields[name] = lists(values.astype(np.int32), at, pa.int32())
+    checks = [pa.nulls(n, f.type) if x.validation is None else pa.array(np.full(n, x.validation[f.name]), f.type) for f in kind.field("validation").type]
+    fields["validation"] = struct("validation", checks, missing(x.validation is None))
+    return pa.StructArray.from_arrays([fields[f.name].cast(f.type) for f in kind], fields=list(kind))

@@ -44,15 +44,16 @@ class Heavy:
     doc: str = ""
     many: Callable | None = None  # results of the rows that a batch function can settle, None for the rest
     pairs: Callable | None = None  # the same from the Arrow columns of two values
+    flat: Callable | None = None  # from the Arrow columns: results of the rows that it can settle, and which these are
     short: dict[int, tuple[int, ...]] | None = None  # where so many arguments go, if not to the first places
 
 
 HEAVY: dict[str, Heavy] = {}
 
 
-def heavy(name: str, arguments: str, returns: str, optional: tuple[int, ...] = (), whole: Callable | None = None, many: Callable | None = None, pairs: Callable | None = None, short: dict[int, tuple[int, ...]] | None = None):
+def heavy(name: str, arguments: str, returns: str, optional: tuple[int, ...] = (), whole: Callable | None = None, many: Callable | None = None, pairs: Callable | None = None, flat: Callable | None = None, short: dict[int, tuple[int, ...]] | None = None):
     def add(row: Callable) -> Callable:
-        HEAVY[name] = Heavy(name, tuple(arguments.split()), returns, row, frozenset(optional), whole, (row.__doc__ or "").strip(), many, pairs, short)
+        HEAVY[name] = Heavy(name, tuple(arguments.split()), returns, row, frozenset(optional), whole, (row.__doc__ or "").strip(), many, pairs, flat, short)
         return row
 
     return add
@@ -69,6 +70,15 @@ def _run(function: Heavy, strict: bool, columns: tuple[pa.Array, ...]) -> pa.Arr
             for i, x in zip(rest, left, strict=True):
                 out[i] = x
         return pa.array(out, codec.arrow_type(function.returns))
+    if function.flat is not None and len(columns[0]):
+        found, some = function.flat(*columns)
+        if some.all():
+            return found
+        rest = np.flatnonzero(~some)
+        left = _run(replace(function, flat=None), strict, tuple(c.take(pa.array(rest)) for c in columns))
+        place = np.empty(len(some), dtype=np.int64)
+        place[np.concatenate([np.flatnonzero(some), rest])] = np.arange(len(some))
+        return pa.concat_arrays([found, left]).take(pa.array(place))
     values = [codec.decode(c) if codec.is_value(c) else c.to_pylist() for c in columns]
     settled = function.many(*values) if function.many is not None else None
     out = []
@@ -188,7 +198,7 @@ def _geom_from_wkb(data: bytes) -> Shape:
     return build.geometry_from_wkb(bytes(data))
 
 
-@heavy("st_3dgeomfromtext", "wkt", G3D, many=bulk.plain_texts)
+@heavy("st_3dgeomfromtext", "wkt", G3D, flat=batch.texts)
 def _geom_from_text(words: str) -> Shape:
     """A geometry from WKT or EWKT with Z."""
     return build.geometry_from_text(words)
@@ -409,7 +419,7 @@ def _footprint_area(value: Shape) -> float:
     return measure.footprint_area(value)
 
 
-@heavy("st_3dperimeter", "geom", "double")
+@heavy("st_3dperimeter", "geom", "double", flat=batch.perimeters)
 def _perimeter(value: Shape) -> float:
     """The length of the boundary."""
     return measure.perimeter(value)
@@ -428,7 +438,7 @@ def _centroid(value: Shape) -> Shape:
     return Shape(s.POINT, np.zeros((0, 3)) if at is None else at[None], value.crs)
 
 
-@heavy("st_isplanar", "geom", "boolean")
+@heavy("st_isplanar", "geom", "boolean", flat=batch.planar)
 def _is_planar(geometry: Shape) -> bool:
     """Whether every ring, or the vertices, lie in one plane."""
     return bool(measure.is_planar(geometry))

@@ -6,13 +6,14 @@ pushes it down to Parquet: bounds, counts, reference system and validation.
 
 from __future__ import annotations
 
+from voluma.kernel.flat import LISTS
+
 BBOX = "struct<min_x:double,min_y:double,min_z:double,max_x:double,max_y:double,max_z:double>"
 COUNTS = "struct<vertices:int,solids:int,shells:int,faces:int,rings:int,triangles:int>"
 VALIDATION = (
     "struct<open_edges:int,non_manifold_edges:int,degenerate_faces:int,orientation_errors:int,non_manifold_vertices:int,"
     "disconnected_shells:int,self_intersections:int,is_valid:boolean,is_closed:boolean,is_manifold:boolean,is_oriented:boolean>"
 )
-LISTS = ("solid_shell", "shell_face", "face_ring", "ring_vertex", "ring_idx", "parts", "face_tri", "tri")
 G3D = (
     f"struct<kind:int,crs:string,bbox:{BBOX},counts:{COUNTS},xs:array<double>,ys:array<double>,zs:array<double>,"
     + "".join(f"{name}:array<int>," for name in LISTS)

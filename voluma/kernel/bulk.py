@@ -15,9 +15,11 @@ from dataclasses import replace
 
 import numpy as np
 
+from voluma.kernel import flat
 from voluma.kernel import shape as s
 from voluma.kernel.shape import EPS_RELATIVE, Shape, offsets
-from voluma.kernel.triangulate import UNTILEABLE, cross, triangulate
+from voluma.kernel.tiles import tile
+from voluma.kernel.triangulate import UNTILEABLE, cross
 from voluma.kernel.validate import COUNTS
 
 _SOUND = dict.fromkeys(COUNTS, 0) | {"is_valid": True, "is_closed": True, "is_manifold": True, "is_oriented": True}
@@ -166,104 +168,80 @@ def sound_solids(rows: list[list[np.ndarray] | None]) -> list[Shape | None]:
 _N = r"[-+]?(?:\d++(?:\.\d*+)?+|\.\d++)(?:[eE][-+]?\d++)?+"
 _RUN = rf"\({_N} {_N} {_N}(?:, {_N} {_N} {_N})*+\)"
 _FACE = rf"\({_RUN}(?:, {_RUN})*+\)"
-_PLAIN = {
-    "POINT Z ": (s.POINT, re.compile(rf"POINT Z (\({_N} {_N} {_N}\))", re.ASCII)),
-    "LINESTRI": (s.LINE, re.compile(rf"LINESTRING Z ({_RUN})", re.ASCII)),
-    "POLYGON ": (s.POLYGON, re.compile(rf"POLYGON Z ({_FACE})", re.ASCII)),
-    "POLYHEDR": (s.SURFACE, re.compile(rf"POLYHEDRALSURFACE Z \(({_FACE}(?:, {_FACE})*+)\)", re.ASCII)),
+#: The kinds of text that a batch reads: what stands before the first bracket, and the form of the rest.
+FORMS = {
+    s.POINT: ("POINT Z ", rf"\({_N} {_N} {_N}\)"),
+    s.LINE: ("LINESTRING Z ", _RUN),
+    s.POLYGON: ("POLYGON Z ", _FACE),
+    s.SURFACE: ("POLYHEDRALSURFACE Z ", rf"\({_FACE}(?:, {_FACE})*+\)"),
 }
-_NO_MARKS = str.maketrans("(),", "   ")
+_PLAIN = {head[:8]: (kind, re.compile(head + form, re.ASCII)) for kind, (head, form) in FORMS.items()}
 
 
 def plain_texts(words: list[str | None]) -> list[Shape | None]:
     """Values of WKT as this library writes it, whose rings have no equal neighbours and whose faces can be tiled; None for the others."""
     out: list[Shape | None] = [None] * len(words)
-    which, kinds, bodies, points, rings = [], [], [], [], []
+    which, kinds = [], []
     for i, w in enumerate(words):
         kind, form = _PLAIN.get(w[:8], (None, None)) if w is not None else (None, None)
-        m = form.fullmatch(w) if form is not None else None
-        if m is None:
-            continue
-        runs = m[1].split(")")
-        which.append(i)
-        kinds.append(kind)
-        bodies.append(m[1].translate(_NO_MARKS))
-        if kind in s.AREAL:  # a face's first ring opens with one bracket more
-            rings.append([r.count("((") for r in runs if "(" in r])
-            points.append([r[r.rindex("(") :].count(",") + 1 for r in runs if "(" in r])
-        else:
-            rings.append([1])
-            points.append([runs[0].count(",") + 1])
-    if not which:
-        return out
-    p = np.fromstring(" ".join(bodies), sep=" ").reshape(-1, 3)
-    size = np.array([n for x in points for n in x], dtype=np.int64)
-    n_rings = np.array([len(x) for x in points])
-    row = np.repeat(np.arange(len(which)), n_rings)
-    areal = np.isin(np.array(kinds), s.AREAL)
+        if form is not None and form.fullmatch(w):
+            which.append(i)
+            kinds.append(kind)
+    data = np.frombuffer("".join(words[i] for i in which).encode("ascii"), dtype=np.uint8)
+    found, good = flat_texts(data, flat.starts_of(np.array([len(words[i]) for i in which], dtype=np.int64)), np.array(kinds, dtype=np.int64))
+    for k, x in zip(np.flatnonzero(good).tolist(), found.shapes(), strict=True):
+        out[which[k]] = x
+    return out
+
+
+def flat_texts(data: np.ndarray, at: np.ndarray, kind: np.ndarray) -> tuple[flat.Flat, np.ndarray]:
+    """(values, which rows have one) of texts of ``FORMS``, laid end to end as bytes from ``at`` on."""
+    n = len(kind)
+    opened, closing = data == 40, data == 41
+    begins = np.flatnonzero(opened[:-1] & ~opened[1:])  # a ring's own bracket is the innermost
+    ends = np.flatnonzero(closing[1:] & ~closing[:-1]) + 1
+    commas = np.cumsum(data == 44)
+    size = (commas[ends] - commas[begins] + 1).astype(np.int64)
+    row = np.searchsorted(at, begins, side="right") - 1
+    areal = np.isin(kind, s.AREAL)
+    opens = (data[begins - 1] == 40) & areal[row]  # a face's first ring opens with one bracket more
+    words = data.copy()
+    words[opened | closing | (data == 44)] = 32
+    head = np.zeros(max(FORMS) + 1, dtype=np.int64)
+    for k, (text, _) in FORMS.items():
+        head[k] = len(text)
+    words[flat.ranges(at[:-1], head[kind])] = 32
+    p = np.fromstring(words.tobytes().decode("ascii"), sep=" ").reshape(-1, 3) if n else np.zeros((0, 3))
     start = np.cumsum(size) - size
     ring = np.repeat(np.arange(len(size)), size)
     same = np.zeros(len(p), dtype=bool)  # as the next one of its ring
     same[:-1] = (p[1:] == p[:-1]).all(axis=1) & (ring[1:] == ring[:-1])
-    odd = np.zeros(len(which), dtype=bool)
-    np.logical_or.at(odd, row[ring], ~np.isfinite(p).all(axis=1) | (same & areal[row[ring]]))
+    odd = np.zeros(n, dtype=bool)
+    odd[row[ring[~np.isfinite(p).all(axis=1) | (same & areal[row[ring]])]]] = True
     closed = (p[start] == p[start + size - 1]).all(axis=1) & areal[row]
-    np.logical_or.at(odd, row, areal[row] & (size - closed < 3))
-    keep = np.ones(len(p), dtype=bool)
+    odd[row[areal[row] & (size - closed < 3)]] = True
+    keep = ~odd[row[ring]]
     keep[(start + size - 1)[closed]] = False
-    v, size = p[keep], size - closed
-    opens = np.array([n for x in rings for n in x]) > 0
-    cut, first = np.concatenate([[0], np.cumsum(size)]), np.concatenate([[0], np.cumsum(n_rings)])
-    made = []
-    for j, i in enumerate(which):
-        a, b = int(first[j]), int(first[j + 1])
-        shape = Shape(kinds[j], v[cut[a] : cut[b]], face_tri=offsets(()))
-        if areal[j]:
-            begins = np.flatnonzero(opens[a:b])
-            shape.face_ring = np.append(begins, b - a).astype(np.int32)
-            shape.ring_vertex = (cut[a : b + 1] - cut[a]).astype(np.int32)
-            shape.ring_idx = np.arange(len(shape.v), dtype=np.int32)
-        if not odd[j]:
-            out[i] = shape
-            if areal[j]:
-                made.append(i)
-    for i, tiled in zip(made, _tiled([out[i] for i in made]), strict=True):
-        if not tiled and triangulate(out[i]).count(UNTILEABLE):
-            out[i] = None
-    return out
-
-
-def _tiled(shapes: list[Shape]) -> list[bool]:
-    """Fills the triangles of the shapes whose faces are all triangles and convex quadrilaterals of some area; which they are."""
-    plain = [x.n_faces == len(x.ring_vertex) - 1 and int(np.diff(x.ring_vertex).max()) <= 4 for x in shapes]
-    done = [x for x, ok in zip(shapes, plain, strict=True) if ok]
-    if not done:
-        return plain
-    p = np.concatenate([x.v for x in done])
-    size = np.concatenate([np.diff(x.ring_vertex) for x in done]).astype(np.int64)
-    start = np.cumsum(size) - size
-    corner = [p[start + np.minimum(k, size - 1)] for k in range(4)]
-    local = [c - corner[0] for c in corner]
-    with np.errstate(over="ignore", invalid="ignore"):
-        normal = cross(local[1], local[2]) + np.where((size == 4)[:, None], cross(local[2], local[3]), 0.0)
-        length = np.sqrt(np.einsum("ij,ij->i", normal, normal))
-        ahead = [corner[(k + 1) % 4] - corner[k] for k in range(4)]
-        turns = np.stack([np.einsum("ij,ij->i", normal, cross(ahead[k - 1], ahead[k])) for k in range(4)])
-        good = np.isfinite(length) & (length > 2 * s.EPS_AREA) & ((size == 3) | (turns > 1e-14 * length * length).all(axis=0))
-    fan = np.array([0, 1, 2, 0, 2, 3], dtype=np.int32)
-    at, results = 0, []
-    for x in done:
-        n = x.n_faces
-        ok = bool(good[at : at + n].all())
-        if ok:
-            low, sizes = x.ring_vertex[:-1], size[at : at + n]
-            every = low[:, None] + fan
-            x.tri = every[np.repeat((sizes == 4)[:, None], 6, axis=1) | (np.arange(6) < 3)].astype(np.int32)
-            x.face_tri = offsets(sizes - 2)
-        results.append(ok)
-        at += n
-    each = iter(results)
-    return [ok and next(each) for ok in plain]
+    held = ~odd[row]
+    v, size, row, opens = p[keep], (size - closed)[held], row[held], opens[held]
+    inside = areal[row]
+    face_row = row[opens]
+    rings = np.diff(np.append(np.flatnonzero(opens[inside]), int(inside.sum())))
+    corners = np.repeat(inside, size)
+    counts, tri, outcome = tile(v[corners], size[inside], rings)
+    tri = np.flatnonzero(corners)[tri]
+    if (outcome == UNTILEABLE).any():
+        odd[face_row[outcome == UNTILEABLE]] = True
+        point_row = np.repeat(row, size)
+        stays = ~odd[point_row]
+        place = np.cumsum(stays) - 1
+        tri = place[tri[~odd[np.repeat(face_row, counts)]]]
+        left, kept = ~odd[face_row], ~odd[row]
+        v, counts, rings, face_row = v[stays], counts[left], rings[left], face_row[left]
+        size, row, inside = size[kept], row[kept], inside[kept]
+    good = ~odd
+    vertices = np.bincount(row, weights=size, minlength=n).astype(np.int64)[good]
+    return flat.with_faces(kind[good], v, size[inside], rings, np.bincount(face_row, minlength=n)[good], vertices, counts, tri), good
 
 
 def _plain_faces(x: Shape) -> list[np.ndarray] | None:
