@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +11,9 @@ import pyarrow.compute as pc
 
 from voluma.functions import codec
 from voluma.functions.codec import Lists
-from voluma.kernel import bulk, pairs, signs
-from voluma.kernel.flat import ranges
+from voluma.functions.schema import G3D
+from voluma.kernel import bulk, pairs, sidecar, signs, wkb
+from voluma.kernel.flat import ranges, starts_of
 from voluma.kernel.shape import AREAL, EPS_ABSOLUTE, EPS_RELATIVE, MULTIPOLYGON, POINT, POLYGON, SOLID, SURFACE, GeometryError
 from voluma.kernel.triangulate import along, cross, lengths
 
@@ -214,6 +216,53 @@ def texts(words: pa.Array) -> tuple[pa.StructArray, np.ndarray]:
     return codec.encode_flat(found), some
 
 
+def solids(data: pa.Array, properties: pa.Array) -> tuple[pa.StructArray, np.ndarray]:
+    """(values, which rows have one) of WKB that ``bulk.flat_wkb`` reads, with its cavities."""
+    known: dict = {}
+
+    def shells(given) -> tuple[int, ...] | None:
+        try:
+            found = None if given is None else sidecar.from_json(given) if isinstance(given, str) else sidecar.from_struct(given)
+        except GeometryError:
+            return None
+        return () if found is None else tuple(found[0]) if len(found) == 1 and found[0] else None
+
+    each: list = [None] * len(data)
+    for i, (ok, given) in enumerate(zip(data.is_valid().to_pylist(), properties.to_pylist(), strict=True)):
+        if ok and isinstance(given, (str, type(None))):
+            if given not in known:
+                known[given] = shells(given)
+            each[i] = known[given]
+        elif ok:
+            each[i] = shells(given)
+    whole = data.cast(pa.large_binary())
+    at = np.frombuffer(whole.buffers()[1], dtype=np.int64, count=len(whole) + 1, offset=8 * whole.offset)
+    found, rows = bulk.flat_wkb(np.frombuffer(whole.buffers()[2] or b"", dtype=np.uint8), at, each)
+    some = np.zeros(len(data), dtype=bool)
+    some[rows] = True
+    if found is None:
+        return pa.nulls(0, codec.arrow_type(G3D)), some
+    out = codec.encode_flat(found)
+    return (out if (np.diff(rows) > 0).all() else out.take(pa.array(np.argsort(rows)))), some
+
+
+def binaries(array: pa.StructArray) -> tuple[pa.Array, np.ndarray]:
+    """(WKB, which rows have it) of polygons, surfaces and single solids; the others are left to the row function."""
+    kind = np.asarray(array.field("kind").fill_null(-1))
+    faces = np.maximum(np.diff(Lists(array.field("face_ring")).offsets) - 1, 0)
+    solid = np.diff(Lists(array.field("solid_shell")).offsets) == 2
+    some = np.asarray(array.is_valid()) & (faces > 0) & (np.isin(kind, (SURFACE, MULTIPOLYGON)) | ((kind == POLYGON) & (faces == 1)) | ((kind == SOLID) & solid))
+    rings = _Rings(array, (*AREAL, SOLID))
+    some[rings.row[rings.size == 0]] = False
+    row, low, high = _blocks(array, "face_ring")
+    held = some[rings.row]
+    code = np.where(kind == SOLID, 1000 + SURFACE, 1000 + kind)
+    data, at = wkb.write_many(code[some], faces[some], (high - low)[some[row]], rings.size[held], rings.p[np.repeat(held, rings.size)])
+    if at[-1] > 2**31 - 1:
+        return pa.nulls(0, pa.binary()), np.zeros(len(array), dtype=bool)
+    return pa.Array.from_buffers(pa.binary(), int(some.sum()), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)]), some
+
+
 class _Side:
     """One column of a batch of pairs."""
 
@@ -227,25 +276,69 @@ class _Side:
         self.sound = np.asarray(array.is_valid()) & (kind == SOLID) & (np.asarray(valid) != 0) & (np.diff(to) > 0)
         self.crs = array.field("crs").fill_null("")
 
-    def _stretch(self, r: int, first: int, last: int) -> np.ndarray:
-        """The triangles of the faces from ``first`` to ``last`` of a row."""
-        s, ends = self.solids, self.triangles[r]
-        return s.v[s.t[s.to[r] + ends[first] : s.to[r] + ends[last]]]
+    def _first_triangle(self, row: np.ndarray, shell: np.ndarray) -> np.ndarray:
+        """Where the triangles of the rows' shells begin; of the one behind a row's last shell, where the row's end."""
+        face = self.faces.flat[self.faces.offsets[row] + shell]
+        return self.solids.to[row] + self.triangles.flat[self.triangles.offsets[row] + face]
+
+    def solid_triangles(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each sound row's solids begin, and the first and last triangle of every solid."""
+        counts = np.where(self.sound, np.diff(self.shells.offsets) - 1, 0)
+        row = np.repeat(np.arange(len(counts)), counts)
+        at = ranges(self.shells.offsets[:-1], counts)
+        return starts_of(counts), self._first_triangle(row, self.shells.flat[at]), self._first_triangle(row, self.shells.flat[at + 1])
+
+    def part_points(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where each sound row's shells begin, and a vertex of every shell."""
+        counts = np.where(self.sound, np.diff(self.faces.offsets) - 1, 0)
+        row = np.repeat(np.arange(len(counts)), counts)
+        first = self._first_triangle(row, ranges(np.zeros(len(counts), dtype=np.int64), counts))
+        return starts_of(counts), self.solids.v[self.solids.t[first, 0]]
+
+
+def _buffers(array: pa.Array) -> tuple:
+    """What tells whether two columns are the same memory, as long as one of them is held."""
+    return (len(array), array.offset, *(None if b is None else (b.address, b.size) for b in array.buffers()))
+
+
+def _held(keep: int):
+    """The last results of a function of columns: the functions of one batch ask for the same columns in turn."""
+
+    def wrap(make: Callable) -> Callable:
+        last: list[tuple] = []
 
-    def solid_triangles(self, r: int) -> list[np.ndarray]:
-        shells, faces = self.shells[r], self.faces[r]
-        return [self._stretch(r, faces[shells[k]], faces[shells[k + 1]]) for k in range(len(shells) - 1)]
+        def found(*columns: pa.Array):
+            key = tuple(map(_buffers, columns))
+            for k, (known, _, result) in enumerate(last):
+                if known == key:
+                    last.append(last.pop(k))
+                    return result
+            result = make(*columns)
+            last.append((key, columns, result))
+            del last[:-keep]
+            return result
 
-    def part_points(self, r: int) -> np.ndarray:
-        faces = self.faces[r]
-        return np.stack([self._stretch(r, f, f + 1)[0, 0] for f in faces[:-1]])
+        return found
+
+    return wrap
+
+
+@_held(4)
+def _side(array: pa.StructArray) -> _Side:
+    return _Side(array)
+
+
+@_held(1)
+def _pairs(a: pa.StructArray, b: pa.StructArray) -> Pairs:
+    return Pairs(a, b)
 
 
 class Pairs:
     """What batches of pairs of valid solids in one reference system give; other rows are left to the row functions."""
 
     def __init__(self, a: pa.StructArray, b: pa.StructArray) -> None:
-        self.a, self.b = _Side(a), _Side(b)
+        self.a, self.b = _side(a), _side(b)
+        self._met: np.ndarray | None = None
         self.n = len(a)
         same = np.array([x == y for x, y in zip(self.a.crs.to_pylist(), self.b.crs.to_pylist(), strict=True)], dtype=bool)
         self.rows = np.flatnonzero(self.a.sound & self.b.sound & same)
@@ -259,14 +352,15 @@ class Pairs:
         out = pairs.surfaces_meet(self.a.solids, self.b.solids, some, some)
         for one, two in ((self.a, self.b), (self.b, self.a)):
             apart = np.flatnonzero(~out)
-            out[apart] = pairs.parts_inside(one.solids, some[apart], one.solid_triangles, two.solids, some[apart], two.part_points)
+            out[apart] = pairs.parts_inside(one.solids, some[apart], one.solid_triangles(), two.solids, some[apart], two.part_points())
         return out
 
     def intersects(self) -> np.ndarray:
-        out = np.zeros(len(self.rows), dtype=bool)
-        touching = np.flatnonzero(self.gap == 0)
-        out[touching] = self.meet(self.rows[touching])
-        return out
+        if self._met is None:
+            self._met = np.zeros(len(self.rows), dtype=bool)
+            touching = np.flatnonzero(self.gap == 0)
+            self._met[touching] = self.meet(self.rows[touching])
+        return self._met
 
     def distances(self, limits: np.ndarray | None = None) -> np.ndarray:
         """Of each row the distance; with limits only which side of its limit it lies on."""
@@ -310,12 +404,12 @@ def _points_in(a: pa.StructArray, b: pa.StructArray, out: list) -> list:
 
 
 def pair_distances(a: pa.Array, b: pa.Array) -> list:
-    both = Pairs(a, b)
+    both = _pairs(a, b)
     return both.as_list(both.distances())
 
 
 def pair_intersects(a: pa.Array, b: pa.Array) -> list:
-    both = Pairs(a, b)
+    both = _pairs(a, b)
     return _points_in(a, b, both.as_list(both.intersects()))
 
 

@@ -173,10 +173,6 @@ def call(name: str, *columns, strict: bool = True, **named) -> Column:
 # --- import and construction -------------------------------------------------------------------------
 
 
-def _plain_solids(data: list, properties: list) -> list[Shape | None]:
-    return bulk.sound_solids([bulk.plain_rings(d) if d is not None and p is None else None for d, p in zip(data, properties, strict=True)])
-
-
 def _plain_prisms(polygons: list, heights: list) -> list[Shape | None]:
     ready = [p is not None and h is not None and p.kind == s.POLYGON and p.n_faces == 1 and h > 0 and 3 <= len(p.face(0)[0]) <= 4 for p, h in zip(polygons, heights, strict=True)]
     out = bulk.sound_solids([[r.ravel() for r in build.prism_rings(p.v[p.face(0)[0]], h)] if ok else None for p, h, ok in zip(polygons, heights, ready, strict=True)])
@@ -186,7 +182,7 @@ def _plain_prisms(polygons: list, heights: list) -> list[Shape | None]:
     return out
 
 
-@heavy("st_3dfromwkb", "wkb geometry_properties", G3D, optional=(1,), many=_plain_solids)
+@heavy("st_3dfromwkb", "wkb geometry_properties", G3D, optional=(1,), flat=batch.solids)
 def _from_wkb(data: bytes, properties) -> Shape:
     """A solid from WKB of a PolyhedralSurface Z or a collection of them, with an optional shell sidecar."""
     return build.solid_with_sidecar(bytes(data), properties)
@@ -319,13 +315,13 @@ def from_geometry(column: Column, solid: bool = False, strict: bool = True) -> C
 # --- export ------------------------------------------------------------------------------------------
 
 
-@heavy("st_3daswkb", "solid", "binary")
+@heavy("st_3daswkb", "solid", "binary", flat=batch.binaries)
 def _as_wkb(solid: Shape) -> bytes:
     """A solid as WKB."""
     return wkb.write(solid)
 
 
-@heavy("st_3dasbinary", "geom", "binary")
+@heavy("st_3dasbinary", "geom", "binary", flat=batch.binaries)
 def _as_binary(geometry: Shape) -> bytes:
     """A geometry as ISO WKB."""
     return wkb.write(geometry)

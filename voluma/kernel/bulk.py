@@ -2,7 +2,7 @@
 
 All rings of a batch are laid end to end and handled by a few numpy passes: ring cleaning, vertex numbering,
 triangles and convex quadrilaterals, edge counts, connectivity and one-sidedness of faces. A row leaves this
-path, and is built by itself, as soon as anything about it is unusual: several solids or shells, holes, faces of
+path, and is built by itself, as soon as anything about it is unusual: several solids, cavities that come near another shell, holes, faces of
 more than four corners or that are not convex, edges that are not used exactly twice in opposite directions,
 an Euler number other than two, a face that does not have the whole solid on one side, or degenerate faces. So both paths give the
 same values, and the slow one decides every doubtful case.
@@ -22,8 +22,9 @@ from voluma.kernel.tiles import tile
 from voluma.kernel.triangulate import UNTILEABLE, cross
 from voluma.kernel.validate import COUNTS
 
+#: How far cavities keep from other faces, in tolerances of the whole solid; ``validate`` sees no crossing beyond seven.
+_CLEAR = 16
 _SOUND = dict.fromkeys(COUNTS, 0) | {"is_valid": True, "is_closed": True, "is_manifold": True, "is_oriented": True}
-_HEAD = np.dtype([("order", "u1"), ("code", "<u4"), ("n", "<u4")])
 
 
 def plain_rings(data: bytes) -> list[np.ndarray] | None:
@@ -55,20 +56,33 @@ def sound_solids(rows: list[list[np.ndarray] | None]) -> list[Shape | None]:
     if not which:
         return out
     rings = [ring for i in which for ring in rows[i]]
-    p = np.concatenate(rings).reshape(-1, 3) + 0.0
     size = np.fromiter((len(r) // 3 for r in rings), dtype=np.int64, count=len(rings))
     faces = np.fromiter((len(rows[i]) for i in which), dtype=np.int64, count=len(which))
-    n = len(which)
+    found, good = flat_solids(np.concatenate(rings).reshape(-1, 3), size, faces, np.ones(len(which), dtype=np.int64))
+    for k, solid in zip(np.flatnonzero(good).tolist(), found.shapes(), strict=True):
+        out[which[k]] = solid
+    return out
+
+
+def flat_solids(p: np.ndarray, size: np.ndarray, faces: np.ndarray, shells: np.ndarray) -> tuple[flat.Flat, np.ndarray]:
+    """(valid solids, which rows have one) of rows of ``shells`` shells of ``faces`` faces, each a ring of ``size`` corners; all laid end to end.
+
+    Every shell is convex; the first is turned outwards, the others are cavities, turned inwards and well inside it and apart from each other.
+    """
+    p = p + 0.0
+    n, n_rings = len(faces), len(size)
+    row_of_shell, exterior = np.repeat(np.arange(len(shells)), shells), np.repeat(flat.starts_of(shells)[:-1], shells)
+    inward = np.arange(n) != exterior
     row_of_face = np.repeat(np.arange(n), faces)
     start = np.cumsum(size) - size
-    face_of = np.repeat(np.arange(len(rings)), size)
+    face_of = np.repeat(np.arange(n_rings), size)
     row_of = row_of_face[face_of]
     following = np.arange(len(p)) + 1
     following[start + size - 1] = start
     good = np.isfinite(p).all(axis=1)
     bad = np.zeros(n, dtype=bool)
-    np.logical_or.at(bad, row_of, ~good | (p == p[following]).all(axis=1))
-    # vertices, numbered by first use within their row
+    bad[row_of[~good | (p == p[following]).all(axis=1)]] = True
+    # vertices, numbered by first use within their shell
     order = np.lexsort((p[:, 2], p[:, 1], p[:, 0], row_of))
     new = np.ones(len(p), dtype=bool)
     new[1:] = (p[order][1:] != p[order][:-1]).any(axis=1) | (row_of[order][1:] != row_of[order][:-1])
@@ -87,20 +101,20 @@ def sound_solids(rows: list[list[np.ndarray] | None]) -> list[Shape | None]:
     a, b = vertex, vertex[following]
     key = a * len(places) + b
     back = b * len(places) + a
-    sorted_key = np.sort(key)
+    owner = np.argsort(key, kind="stable")
+    sorted_key = key[owner]
     at = np.searchsorted(sorted_key, back)
     paired = (at < len(key)) & (sorted_key[np.minimum(at, len(key) - 1)] == back)
     doubled = np.zeros(len(key), dtype=bool)
     repeated = sorted_key[1:][sorted_key[1:] == sorted_key[:-1]]
     if len(repeated):
         doubled = np.isin(key, repeated)
-    np.logical_or.at(bad, row_of, ~paired | doubled)
+    bad[row_of[~paired | doubled]] = True
     edges = np.bincount(row_of, minlength=n) // 2
     bad |= vertices - edges + faces != 2
     # one part: the least face number spreads over edges
-    owner = np.argsort(key, kind="stable")
     other = face_of[owner[np.minimum(at, len(key) - 1)]]
-    label = np.arange(len(rings))
+    label = np.arange(n_rings)
     for _ in range(64):
         spread = label.copy()
         np.minimum.at(spread, face_of, label[other])
@@ -108,7 +122,7 @@ def sound_solids(rows: list[list[np.ndarray] | None]) -> list[Shape | None]:
         if (spread == label).all():
             break
         label = spread
-    np.logical_or.at(bad, row_of_face, label != (np.cumsum(faces) - faces)[row_of_face])
+    bad[row_of_face[label != (np.cumsum(faces) - faces)[row_of_face]]] = True
     # planes, convexity, degeneracy
     local = p - p[start][face_of]
     terms = cross(local, local[following])
@@ -120,49 +134,142 @@ def sound_solids(rows: list[list[np.ndarray] | None]) -> list[Shape | None]:
     unit = normal / np.where(length > 0, length, 1)[:, None]
     ahead = p[following] - p
     turn = np.einsum("ij,ij->i", cross(ahead, ahead[following]), unit[face_of])
-    np.logical_or.at(bad, row_of, turn <= 1e-12 * length[face_of])
-    np.logical_or.at(bad, row_of_face, thin)
-    # every face has the whole solid on its inner side, and no two lie in one plane
+    bad[row_of[turn <= 1e-12 * length[face_of]]] = True
+    bad[row_of_face[thin]] = True
+    # every face has the whole shell on its inner side, and no two lie in one plane
     face_start = np.cumsum(faces) - faces
     centre = np.add.reduceat(p, start, axis=0) / size[:, None]
     row_low, row_high = np.minimum.reduceat(low, face_start), np.maximum.reduceat(high, face_start)
     floor = 1e-5 * np.linalg.norm(row_high - row_low, axis=1)
+    around = floor[exterior]  # of the whole solid, whose cavities lie in its exterior
+    everywhere = p[places]
+    corner = vertex[start[:, None] + np.minimum(np.arange(int(size.max())), size[:, None] - 1)] - base[row_of_face][:, None]
     by_shape: dict[tuple[int, int], list[int]] = {}
     for i in np.flatnonzero(~bad).tolist():
-        by_shape.setdefault((int(faces[i]), int(vertices[i])), []).append(i)
-    everywhere = p[places]
-    for (f, v), members in by_shape.items():
+        by_shape.setdefault((int(faces[i]), int(vertices[i]), bool(inward[i])), []).append(i)
+    for (f, v, inner), members in by_shape.items():
         m = np.array(members)
-        u = unit[face_start[m][:, None] + np.arange(f)]
-        c = centre[face_start[m][:, None] + np.arange(f)]
+        its = face_start[m][:, None] + np.arange(f)
+        u, c = unit[its], centre[its]
         w = everywhere[base[m][:, None] + np.arange(v)]
         side = np.einsum("mfk,mvk->mfv", u, w) - np.einsum("mfk,mfk->mf", u, c)[:, :, None]
         apart = np.abs(np.einsum("mfk,mgk->mfg", u, u)) >= 1 - 1e-6
         same_way = np.einsum("mfk,mgk->mfg", u, u) > 0
-        beside = np.abs(np.einsum("mfk,mgk->mfg", u, c) - np.einsum("mfk,mfk->mf", u, c)[:, :, None]) <= 4 * floor[m][:, None, None]
+        beside = np.abs(np.einsum("mfk,mgk->mfg", u, c) - np.einsum("mfk,mfk->mf", u, c)[:, :, None]) <= 4 * around[m][:, None, None]
         apart &= same_way | beside
+        if inner:  # thin beside the whole solid: its faces might pass for one plane
+            reach = np.abs(np.take_along_axis(side[:, :, None], corner[its][:, None], axis=3)).max(axis=3)
+            apart |= reach <= _CLEAR * around[m][:, None, None]
         apart[:, np.arange(f), np.arange(f)] = False
-        bad[m] |= (side.max(axis=2) > 0.5 * floor[m][:, None]).any(axis=1) | apart.any(axis=(1, 2))
-    index = (vertex - base[row_of]).astype(np.int32)
-    point_start = np.cumsum(np.bincount(row_of, minlength=n)) - np.bincount(row_of, minlength=n)
-    for k in np.flatnonzero(~bad).tolist():
-        f0, f1 = int(face_start[k]), int(face_start[k] + faces[k])
-        sizes = size[f0:f1]
-        cut = offsets(sizes)
-        idx = index[point_start[k] : point_start[k] + cut[-1]]
-        quad = sizes == 4
-        at_tri = offsets(sizes - 2)
-        tri = np.empty((int(at_tri[-1]), 3), dtype=np.int32)
-        s0, t0 = cut[:-1], at_tri[:-1]
-        tri[t0, 0], tri[t0, 1], tri[t0, 2] = idx[s0], idx[s0 + 1], idx[s0 + 2]
-        s4, t4 = s0[quad], t0[quad] + 1
-        tri[t4, 0], tri[t4, 1], tri[t4, 2] = idx[s4], idx[s4 + 2], idx[s4 + 3]
-        nf = f1 - f0
-        whole = np.array([0, 1], dtype=np.int32)
-        out[which[k]] = Shape(
-            s.SOLID, everywhere[base[k] : base[k] + vertices[k]], None, whole, np.array([0, nf], dtype=np.int32), np.arange(nf + 1, dtype=np.int32), cut, idx, face_tri=at_tri, tri=tri.ravel(), validation=dict(_SOUND)
-        )
-    return out
+        bad[m] |= ((-side if inner else side).max(axis=2) > 0.5 * floor[m][:, None]).any(axis=1) | apart.any(axis=(1, 2))
+    # cavities: all their vertices behind every face of the exterior, and their boxes apart
+    cavity = np.flatnonzero(inward & ~bad & ~bad[exterior])
+    for f, v in {(int(faces[exterior[i]]), int(vertices[i])) for i in cavity.tolist()}:
+        m = cavity[(faces[exterior[cavity]] == f) & (vertices[cavity] == v)]
+        its = face_start[exterior[m]][:, None] + np.arange(f)
+        u, c = unit[its], centre[its]
+        side = np.einsum("mfk,mvk->mfv", u, everywhere[base[m][:, None] + np.arange(v)]) - np.einsum("mfk,mfk->mf", u, c)[:, :, None]
+        bad[m] |= (side > -_CLEAR * around[m][:, None, None]).any(axis=(1, 2))
+    for k in range(1, int(shells.max()) - 1):  # the k-th next shell of the same row
+        one = np.flatnonzero(inward[:-k] & (row_of_shell[:-k] == row_of_shell[k:]))
+        two = one + k
+        clear = _CLEAR * around[one][:, None]
+        bad[one] |= ~((row_low[one] > row_high[two] + clear) | (row_low[two] > row_high[one] + clear)).any(axis=1)
+    sound = np.ones(len(shells), dtype=bool)
+    sound[row_of_shell[bad]] = False
+    held = sound[row_of_shell]
+    of_face, of_vertex = held[row_of_face], held[row_of[places]]
+    index = (vertex - base[exterior][row_of])[held[row_of]]
+    shells, faces, size, vertices = shells[sound], faces[held], size[of_face], vertices[held]
+    per_row = lambda values: np.add.reduceat(values, flat.starts_of(shells)[:-1]) if len(shells) else values
+    row_faces, row_vertices = per_row(faces), per_row(vertices)
+    start = np.cumsum(size) - size
+    fan = np.array([0, 1, 2, 0, 2, 3])
+    tri = index[np.minimum(start[:, None] + fan, max(0, len(index) - 1))].reshape(-1, 2, 3)[np.stack([size > 2, size == 4], axis=1)] if len(size) else np.zeros((0, 3), dtype=np.int64)
+    none = np.zeros(0, dtype=np.int64), np.zeros(len(shells) + 1, dtype=np.int64)
+    corners = np.bincount(np.repeat(np.arange(len(shells)), row_faces), weights=size, minlength=len(shells)).astype(np.int64)
+    lists = {
+        "solid_shell": flat.cuts(shells, np.ones(len(shells), dtype=np.int64)),
+        "shell_face": flat.cuts(faces, shells),
+        "face_ring": flat.cuts(np.ones(len(size), dtype=np.int64), row_faces),
+        "ring_vertex": flat.cuts(size, row_faces),
+        "ring_idx": (index, flat.starts_of(corners)),
+        "parts": none,
+        "face_tri": flat.cuts(size - 2, row_faces),
+        "tri": (tri.ravel(), flat.starts_of(3 * (corners - 2 * row_faces))),
+    }
+    return flat.Flat(np.full(len(shells), s.SOLID), everywhere[of_vertex], flat.starts_of(row_vertices), lists, _SOUND), sound
+
+
+def laid_out(data: bytes) -> tuple[list[int], np.ndarray] | None:
+    """(corners of each face, where its coordinates begin) of a little-endian ISO surface whose faces have one ring of three or four corners; None for anything else."""
+    if len(data) < 9 or data[:5] != b"\x01\xf7\x03\x00\x00":
+        return None
+    n, at, sizes, begins = int.from_bytes(data[5:9], "little"), 9, [], []
+    if n > 64 or n < 4:
+        return None
+    for _ in range(n):
+        if data[at : at + 9] != b"\x01\xeb\x03\x00\x00\x01\x00\x00\x00":
+            return None
+        k = int.from_bytes(data[at + 9 : at + 13], "little")
+        if k not in (4, 5) or at + 13 + 24 * k > len(data):
+            return None
+        sizes.append(k - 1)
+        begins.append(at + 13)
+        at += 13 + 24 * k
+    return sizes, np.array(begins)
+
+
+def flat_wkb(data: np.ndarray, at: np.ndarray, shells: list[tuple[int, ...] | None]) -> tuple[flat.Flat | None, np.ndarray]:
+    """(solids, their rows) of WKB that lies end to end from ``at`` on; ``shells`` has each row's face counts (empty: one shell; None: leave the row)."""
+    size_of = np.diff(at)
+    left = np.array([x is not None for x in shells], dtype=bool)
+    points, sizes, faces, counts, rows = [], [], [], [], []
+    for width in np.unique(size_of[left]).tolist():
+        group = np.flatnonzero(left & (size_of == width))
+        tries = 0
+        while len(group):
+            tries += 1
+            if tries > 8:  # too many layouts of one length to take them together
+                for i in group.tolist():
+                    rings = plain_rings(data[at[i] : at[i + 1]].tobytes())
+                    split = shells[i] or (len(rings or ()),)
+                    if rings is not None and sum(split) == len(rings) and min(split) > 3:
+                        points.append(np.concatenate(rings).reshape(-1, 3))
+                        sizes.append(np.array([len(r) // 3 for r in rings]))
+                        faces += split
+                        counts.append(len(split))
+                        rows.append(np.array([i]))
+                break
+            found = laid_out(data[at[group[0]] : at[group[0] + 1]].tobytes())
+            if found is None:
+                group = group[1:]
+                continue
+            corners, begins = found
+            each = data[at[group][:, None] + np.arange(width)]
+            k = np.array(corners)
+            coordinates = flat.ranges(begins, 24 * k)
+            fixed = np.ones(width, dtype=bool)
+            fixed[coordinates] = False
+            ends = flat.ranges(begins + 24 * k, np.full(len(k), 24))
+            fixed[ends] = False
+            alike = (each[:, fixed] == each[0, fixed]).all(axis=1)
+            alike_rows = np.flatnonzero(alike)
+            closed = (each[alike][:, ends] == each[alike][:, flat.ranges(begins, np.full(len(k), 24))]).all(axis=1)
+            split = [shells[i] or (len(k),) for i in group[alike_rows].tolist()]
+            fits = closed & np.array([sum(x) == len(k) and min(x) > 3 for x in split], dtype=bool)
+            if fits.any():
+                points.append(np.ascontiguousarray(each[alike_rows[fits]][:, coordinates]).view("<f8").reshape(-1, 3))
+                sizes.append(np.tile(k, int(fits.sum())))
+                split = [x for x, ok in zip(split, fits.tolist(), strict=True) if ok]
+                faces += [f for x in split for f in x]
+                counts += map(len, split)
+                rows.append(group[alike_rows[fits]])
+            group = group[~alike]
+    if not rows:
+        return None, np.zeros(0, dtype=np.int64)
+    solids, good = flat_solids(np.concatenate(points), np.concatenate(sizes), np.array(faces), np.array(counts))
+    return solids, np.concatenate(rows)[good]
 
 
 _N = r"[-+]?(?:\d++(?:\.\d*+)?+|\.\d++)(?:[eE][-+]?\d++)?+"

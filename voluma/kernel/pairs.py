@@ -13,8 +13,9 @@ from functools import reduce
 
 import numpy as np
 
-from voluma.kernel import predicates as exact
+from voluma.kernel import signs
 from voluma.kernel.distance import _closest_on_triangles, _closest_segments, inside_exactly
+from voluma.kernel.flat import ranges as _ranges
 
 #: Combinations that are laid out at a time; a pair with more of them alone is left to the caller.
 BLOCK = 1 << 20
@@ -54,12 +55,6 @@ class Solids:
         return low, high
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The numbers of all ranges, one after the other."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
-
-
 def _members(offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(pair, element) for the elements of each pair's row."""
     sizes = offsets[rows + 1] - offsets[rows]
@@ -216,25 +211,75 @@ def surfaces_meet(a: Solids, b: Solids, ra: np.ndarray, rb: np.ndarray) -> np.nd
                 ends = one[m]
                 found = _segments_meet_triangles(ends[:, side], ends[:, (side + 1) % 3], two[k])
                 out[p[x[found > 0]]] = True
-                doubt += [(p[u], one is ta, m[w], k[w], side) for w, u in zip(np.flatnonzero(found == 0), x[found == 0], strict=True)]
-    for pair, first, m, k, side in doubt:
-        if not out[pair]:
-            one, two = (ta[m], tb[k]) if first else (tb[m], ta[k])
-            out[pair] = exact.segment_meets_triangle(one[side].tolist(), one[(side + 1) % 3].tolist(), *two.tolist())
+                unsure = np.flatnonzero(found == 0)
+                doubt.append((p[x[unsure]], ends[unsure, side], ends[unsure, (side + 1) % 3], two[k[unsure]]))
+    if doubt:
+        _settled(out, *(np.concatenate(c) for c in zip(*doubt, strict=True)))
+    return out
+
+
+def _settled(out: np.ndarray, pair: np.ndarray, start: np.ndarray, end: np.ndarray, triangle: np.ndarray) -> None:
+    """Sets ``out`` for pairs of which a segment exactly meets its triangle; a few of each pair at a time, until one does."""
+    order = np.argsort(pair, kind="stable")
+    turn = np.arange(len(pair)) - np.searchsorted(pair[order], pair[order])
+    low, some = 0, 4
+    while low <= (turn.max() if len(turn) else -1):
+        at = order[(turn >= low) & (turn < low + some)]
+        at = at[~out[pair[at]]]
+        out[pair[at[signs.segment_meets_triangle(start[at], end[at], triangle[at])]]] = True
+        low, some = low + some, 2 * some
+
+
+def inside(t: np.ndarray, low: np.ndarray, high: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Whether each point, off the closed surface of the triangles t[low:high], lies inside it, exactly, as ``distance.inside_exactly``."""
+    out = np.zeros(len(points), dtype=bool)
+    chance = np.random.default_rng(1)
+    left = np.flatnonzero(high > low)
+    for _ in range(8):
+        if not len(left):
+            return out
+        turn, again = chance.normal(size=3), []
+        for some in np.array_split(left, min(len(left), 1 + int((high[left] - low[left]).sum()) // BLOCK)):
+            size = high[some] - low[some]
+            at, job = _ranges(low[some], size), np.repeat(np.arange(len(some)), size)
+            start, corners = points[some], t[at]
+            span = _span(corners)
+            first = np.cumsum(size) - size
+            box = np.minimum.reduceat(span[0], first), np.maximum.reduceat(span[1], first)
+            reach = 4 * (np.maximum(box[1], start) - np.minimum(box[0], start)).max(axis=1) + 1
+            end = start + turn / np.abs(turn).max() * reach[:, None]
+            near = ((span[0] <= np.maximum(start, end)[job]) & (span[1] >= np.minimum(start, end)[job])).all(axis=1)
+            job, (a, b, c) = job[near], (corners[near, k] for k in range(3))
+            s, e = signs.orient3d(a, b, c, start[job]), signs.orient3d(a, b, c, end[job])
+            over = np.flatnonzero(s * e <= 0)
+            job, s, e, a, b, c = (x[over] for x in (job, s, e, a, b, c))
+            sides = np.stack([signs.orient3d(start[job], end[job], x, y) for x, y in ((a, b), (b, c), (c, a))])
+            hit = ~((sides.max(axis=0) > 0) & (sides.min(axis=0) < 0))
+            touched = hit & ((s == 0) | (e == 0) | (sides == 0).any(axis=0))
+            doubt = np.zeros(len(some), dtype=bool)
+            doubt[job[touched]] = True
+            out[some] = np.bincount(job[hit], minlength=len(some)) % 2 == 1
+            again.append(some[doubt])
+        left = np.concatenate(again)
+    for k in left.tolist():
+        out[k] = inside_exactly(t[low[k] : high[k]], points[k])
     return out
 
 
-def parts_inside(a: Solids, ra: np.ndarray, solids, b: Solids, rb: np.ndarray, parts) -> np.ndarray:
+def parts_inside(a: Solids, ra: np.ndarray, solids: tuple[np.ndarray, np.ndarray, np.ndarray], b: Solids, rb: np.ndarray, parts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Whether a part of b's rows lies inside a's, whose surfaces do not meet.
 
-    ``solids(r)`` gives the triangles of each solid of a's row, ``parts(r)`` a vertex of each part of b's.
+    ``solids`` gives where the rows' solids begin, and the first and last triangle of each; ``parts`` where the rows' parts begin, and a vertex of each.
     """
     low, high = a.boxes()
     other_low, other_high = b.boxes()
     out = np.zeros(len(ra), dtype=bool)
-    for k in np.flatnonzero(((low[ra] <= other_high[rb]) & (other_low[rb] <= high[ra])).all(axis=1)):
-        points = parts(rb[k])
-        within = points[((points >= low[ra[k]]) & (points <= high[ra[k]])).all(axis=1)]
-        if len(within):
-            out[k] = any(inside_exactly(t, point) for t in solids(ra[k]) if len(t) for point in within)
+    pair = np.flatnonzero(((low[ra] <= other_high[rb]) & (other_low[rb] <= high[ra])).all(axis=1))
+    owner, part = _members(parts[0], rb[pair])
+    pair, point = pair[owner], parts[1][part]
+    within = ((point >= low[ra[pair]]) & (point <= high[ra[pair]])).all(axis=1)
+    pair, point = pair[within], point[within]
+    owner, solid = _members(solids[0], ra[pair])
+    found = inside(a.v[a.t], solids[1][solid], solids[2][solid], point[owner])
+    out[pair[owner[found]]] = True
     return out
