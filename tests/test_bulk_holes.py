@@ -101,3 +101,14 @@ def test_signs_of_many():
     assert signs.orient2d(p[:, :2], q[:, :2], t[:, 0, :2]).tolist() == [predicates.orient2d(r[0][:2], r[1][:2], r[2][:2]) for r in rows]
     assert signs.in_triangle(p, t).tolist() == [predicates.in_triangle(r[0], *r[2:]) for r in rows]
     assert signs.segment_meets_triangle(p, q, t).tolist() == [predicates.segment_meets_triangle(*r) for r in rows]
+
+
+def test_a_text_under_several_functions_is_read_once(monkeypatch):
+    from voluma.kernel import bulk
+
+    read, calls = bulk.flat_texts, []
+    monkeypatch.setattr(bulk, "flat_texts", lambda *given: calls.append(1) or read(*given))
+    words = pa.array(columns()[0])
+    first, again = (lib._run(lib.HEAVY["st_3dgeomfromtext"], True, (words,)) for _ in range(2))
+    other = lib._run(lib.HEAVY["st_3dgeomfromtext"], True, (words.slice(1),))
+    assert first.equals(again) and other.equals(first.slice(1)) and len(calls) == 2

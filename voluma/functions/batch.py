@@ -197,10 +197,38 @@ def envelopes(array: pa.StructArray, strict: bool = True) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
+def _buffers(array: pa.Array) -> tuple:
+    """What tells whether two columns are the same memory, as long as one of them is held."""
+    return (len(array), array.offset, *(None if b is None else (b.address, b.size) for b in array.buffers()))
+
+
+def _held(keep: int):
+    """The last results of a function of columns: the functions of one batch ask for the same columns in turn, and a text under several of them is read once."""
+
+    def wrap(make: Callable) -> Callable:
+        last: list[tuple] = []
+
+        def found(*columns: pa.Array):
+            key = tuple(map(_buffers, columns))
+            for k, (known, _, result) in enumerate(last):
+                if known == key:
+                    last.append(last.pop(k))
+                    return result
+            result = make(*columns)
+            last.append((key, columns, result))
+            del last[:-keep]
+            return result
+
+        return found
+
+    return wrap
+
+
 #: The forms of text that a batch reads, as Arrow matches them: it has no possessive repeats and needs none.
 _FORMS = {kind: rf"^{head}{form}\z".replace("++", "+").replace("*+", "*").replace("?+", "?") for kind, (head, form) in bulk.FORMS.items()}
 
 
+@_held(1)
 def texts(words: pa.Array) -> tuple[pa.StructArray, np.ndarray]:
     """(values, which rows have one) of the texts that ``bulk.flat_texts`` reads."""
     kind = np.full(len(words), -1)
@@ -296,33 +324,6 @@ class _Side:
         return starts_of(counts), self.solids.v[self.solids.t[first, 0]]
 
 
-def _buffers(array: pa.Array) -> tuple:
-    """What tells whether two columns are the same memory, as long as one of them is held."""
-    return (len(array), array.offset, *(None if b is None else (b.address, b.size) for b in array.buffers()))
-
-
-def _held(keep: int):
-    """The last results of a function of columns: the functions of one batch ask for the same columns in turn."""
-
-    def wrap(make: Callable) -> Callable:
-        last: list[tuple] = []
-
-        def found(*columns: pa.Array):
-            key = tuple(map(_buffers, columns))
-            for k, (known, _, result) in enumerate(last):
-                if known == key:
-                    last.append(last.pop(k))
-                    return result
-            result = make(*columns)
-            last.append((key, columns, result))
-            del last[:-keep]
-            return result
-
-        return found
-
-    return wrap
-
-
 @_held(4)
 def _side(array: pa.StructArray) -> _Side:
     return _Side(array)

@@ -24,6 +24,8 @@ from voluma.kernel.validate import COUNTS
 
 #: How far cavities keep from other faces, in tolerances of the whole solid; ``validate`` sees no crossing beyond seven.
 _CLEAR = 16
+#: Numbers that are laid out at a time.
+_BLOCK = 1 << 20
 _SOUND = dict.fromkeys(COUNTS, 0) | {"is_valid": True, "is_closed": True, "is_manifold": True, "is_oriented": True}
 
 
@@ -144,11 +146,10 @@ def flat_solids(p: np.ndarray, size: np.ndarray, faces: np.ndarray, shells: np.n
     around = floor[exterior]  # of the whole solid, whose cavities lie in its exterior
     everywhere = p[places]
     corner = vertex[start[:, None] + np.minimum(np.arange(int(size.max())), size[:, None] - 1)] - base[row_of_face][:, None]
-    by_shape: dict[tuple[int, int], list[int]] = {}
+    by_shape: dict[tuple[int, int, bool], list[int]] = {}
     for i in np.flatnonzero(~bad).tolist():
         by_shape.setdefault((int(faces[i]), int(vertices[i]), bool(inward[i])), []).append(i)
-    for (f, v, inner), members in by_shape.items():
-        m = np.array(members)
+    for f, v, inner, m in ((*k, part) for k, x in by_shape.items() for part in np.array_split(np.array(x), 1 + len(x) * k[0] * max(k[1], 4 * k[0]) // _BLOCK)):
         its = face_start[m][:, None] + np.arange(f)
         u, c = unit[its], centre[its]
         w = everywhere[base[m][:, None] + np.arange(v)]
@@ -165,11 +166,12 @@ def flat_solids(p: np.ndarray, size: np.ndarray, faces: np.ndarray, shells: np.n
     # cavities: all their vertices behind every face of the exterior, and their boxes apart
     cavity = np.flatnonzero(inward & ~bad & ~bad[exterior])
     for f, v in {(int(faces[exterior[i]]), int(vertices[i])) for i in cavity.tolist()}:
-        m = cavity[(faces[exterior[cavity]] == f) & (vertices[cavity] == v)]
-        its = face_start[exterior[m]][:, None] + np.arange(f)
-        u, c = unit[its], centre[its]
-        side = np.einsum("mfk,mvk->mfv", u, everywhere[base[m][:, None] + np.arange(v)]) - np.einsum("mfk,mfk->mf", u, c)[:, :, None]
-        bad[m] |= (side > -_CLEAR * around[m][:, None, None]).any(axis=(1, 2))
+        alike = cavity[(faces[exterior[cavity]] == f) & (vertices[cavity] == v)]
+        for m in np.array_split(alike, 1 + len(alike) * f * v // _BLOCK):
+            its = face_start[exterior[m]][:, None] + np.arange(f)
+            u, c = unit[its], centre[its]
+            side = np.einsum("mfk,mvk->mfv", u, everywhere[base[m][:, None] + np.arange(v)]) - np.einsum("mfk,mfk->mf", u, c)[:, :, None]
+            bad[m] |= (side > -_CLEAR * around[m][:, None, None]).any(axis=(1, 2))
     for k in range(1, int(shells.max()) - 1):  # the k-th next shell of the same row
         one = np.flatnonzero(inward[:-k] & (row_of_shell[:-k] == row_of_shell[k:]))
         two = one + k
@@ -246,7 +248,8 @@ def flat_wkb(data: np.ndarray, at: np.ndarray, shells: list[tuple[int, ...] | No
                 group = group[1:]
                 continue
             corners, begins = found
-            each = data[at[group][:, None] + np.arange(width)]
+            parts = np.array_split(group, 1 + len(group) * width // _BLOCK)
+            each = np.concatenate([data[at[part][:, None] + np.arange(width)] for part in parts])
             k = np.array(corners)
             coordinates = flat.ranges(begins, 24 * k)
             fixed = np.ones(width, dtype=bool)

@@ -239,7 +239,7 @@ def inside(t: np.ndarray, low: np.ndarray, high: np.ndarray, points: np.ndarray)
         if not len(left):
             return out
         turn, again = chance.normal(size=3), []
-        for some in np.array_split(left, min(len(left), 1 + int((high[left] - low[left]).sum()) // BLOCK)):
+        for some in np.array_split(left, min(len(left), 1 + int((high[left] - low[left]).sum()) * 8 // BLOCK)):
             size = high[some] - low[some]
             at, job = _ranges(low[some], size), np.repeat(np.arange(len(some)), size)
             start, corners = points[some], t[at]
