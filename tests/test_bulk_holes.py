@@ -6,6 +6,7 @@ from dataclasses import replace
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 
 from voluma.functions import codec
 from voluma.functions import library as lib
@@ -112,3 +113,5 @@ def test_a_text_under_several_functions_is_read_once(monkeypatch):
     first, again = (lib._run(lib.HEAVY["st_3dgeomfromtext"], True, (words,)) for _ in range(2))
     other = lib._run(lib.HEAVY["st_3dgeomfromtext"], True, (words.slice(1),))
     assert first.equals(again) and other.equals(first.slice(1)) and len(calls) == 2
+    kept = lib.HEAVY["st_3dgeomfromtext"].flat
+    assert cloudpickle.loads(cloudpickle.dumps(kept)) is kept  # workers get it by name, not a copy for each function

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -208,6 +209,7 @@ def _held(keep: int):
     def wrap(make: Callable) -> Callable:
         last: list[tuple] = []
 
+        @wraps(make)  # so that workers import it by name, and share what it holds, instead of a copy in each function
         def found(*columns: pa.Array):
             key = tuple(map(_buffers, columns))
             for k, (known, _, result) in enumerate(last):
