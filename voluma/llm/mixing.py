@@ -2,8 +2,8 @@
 
 The contingency table of tokens by source, language and topic is an aggregate with map-side combine. Each
 sweep rakes it to the three target marginals in turn by an aggregate and a join that stay small or are
-split by AQE; a table in the shared folder ends every sweep. A document's probability is its cell's factor times a common
-scale, with the scale solved so that the expected sample holds the asked share of all tokens. Where that passes 1,
+split by AQE; a table in the shared folder follows each of the three, so that no plan holds more than these two. A document's
+probability is its cell's factor times a common scale, with the scale solved so that the expected sample holds the asked share of all tokens. Where that passes 1,
 the cells are raked again with the bound inside, so that the expected sample meets the marginals; ``weight``
 stays the factor without the bound. A category with fewer tokens than its target is taken whole, and
 the others share the rest in proportion to their targets. A document is in the sample if a hash of its id lies below its probability, so a retry draws the same sample.
@@ -24,8 +24,6 @@ that share a ``doc_id`` share the draw; an empty table gives an empty sample.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,78 +80,82 @@ def with_topic(tagged: DataFrame, out: str, means: DataFrame, topics: int) -> Da
     return joined.select(*[F.col(f"`{c}`") for c in tagged.columns if c != out], cell.alias(out))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], most_sweeps: int = 25, close: float = 1e-4, bounded: float | None = None) -> DataFrame:
-    """``cells`` (dimensions, tokens, w) with ``w`` fitted to the targets (category, share); w starts as tokens.
+def by_category(cells: DataFrame, *aggregates: Column) -> DataFrame:
+    """(dimension, category, aggregates): all marginals of ``cells`` by one aggregate; a category's target share is ``goal`` if ``cells`` has them."""
+    goal = lambda d: [F.col(f"goal_{d}").alias("goal")] if f"goal_{d}" in cells.columns else []
+    each = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("category"), *goal(d)) for d in DIMENSIONS])
+    return cells.select("tokens", "w", F.explode(each).alias("of")).select("tokens", "w", "of.*").groupBy("dimension", "category").agg(*aggregates)
+
+
+def aimed(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """``cells`` with the target shares (category, share) of their categories in ``goal_`` columns, 0 where there is none."""
+    for d, target in targets.items():
+        cells = cells.drop(f"goal_{d}").join(target.select(d, F.col("share").cast("double").alias(f"goal_{d}")), d, "left").withColumn(f"goal_{d}", F.coalesce(f"goal_{d}", F.lit(0.0)))
+    return cells
+
+
+def rake(cells: DataFrame, whole: float, most_sweeps: int = 25, close: float = 1e-4, bounded: bool = False) -> tuple[DataFrame, float, float]:
+    """``cells`` (dimensions, tokens, w, target shares) with ``w`` fitted to shares of ``whole``; the sum of w, and of the tokens of cells with any.
 
-    ``bounded``: the shares are of so many tokens, and min(tokens, w) is what is fitted. A factor is then a Newton step
-    for the cells below their bound, so each sweep refits what the clipped ones leave.
+    ``bounded``: min(tokens, w) is what is fitted. A factor is then a Newton step for the cells below their bound, so each
+    sweep refits what the clipped ones leave.
     """
-    total = float((cells.agg(F.sum("tokens")).first()[0] or 0) if bounded is None else bounded)
-    free = F.lit(True) if bounded is None else F.col("w") < F.col("tokens")
+    free = F.col("w") < F.col("tokens") if bounded else F.lit(True)
     for _ in range(most_sweeps):
-        before, gap = cells, None
-        for name in targets:
-            now = cells.groupBy(name).agg(F.sum(F.when(free, F.col("w")).otherwise(0.0)).alias("free"), F.sum(F.when(free, 0.0).otherwise(F.col("tokens"))).alias("full"))
-            goal, reached = F.coalesce("share", F.lit(0.0)) * F.lit(total), F.col("free") + F.col("full")
-            if bounded is None:
-                step = F.when(F.col("free") > 0, goal / F.col("free")).otherwise(0.0)
-            else:
+        most = 0.0
+        for d in DIMENSIONS:  # a table after each: plans of one aggregate and one join spare the driver
+            now = cells.groupBy(d).agg(
+                F.sum(F.when(free, F.col("w")).otherwise(0.0)).alias("free"), F.sum(F.when(free, 0.0).otherwise(F.col("tokens"))).alias("full"), (F.max(f"goal_{d}") * F.lit(whole)).alias("goal")
+            )
+            goal, reached = F.col("goal"), F.col("free") + F.col("full")
+            if bounded:
                 step = F.when(goal <= 0, 0.0).when(reached >= goal, goal / reached).when(F.col("free") > 0, (goal - F.col("full")) / F.col("free")).otherwise(1.0)
-            factor = now.join(targets[name], name, "left").select(name, step.alias("factor"))
-            cells = cells.join(factor, name).withColumn("w", F.coalesce(F.col("w") * F.col("factor"), F.lit(0.0)))
-            if bounded is not None:
-                cells = cells.withColumn("w", F.least("w", F.col("tokens") * 1e9))
+            else:
+                step = F.when(F.col("free") > 0, goal / F.col("free")).otherwise(0.0)
+            fitted = F.coalesce(F.col("w") * F.col("factor"), F.lit(0.0))
             moved = F.when(F.col("w") > 0, F.abs(F.col("factor") - 1)).otherwise(0.0)  # how far each marginal was from its target
-            gap = moved if gap is None else F.greatest("gap", moved)
-            cells = cells.withColumn("gap", gap)
-            cells = cells.drop("factor")
-            if bounded is not None:  # its sums are longer: short plans spare the driver
-                cells, (worst,) = cut_with(cells, [F.max("gap")], instead_of=before)
-                before = cells
-        if bounded is None:
-            cells, (worst,) = cut_with(cells, [F.max("gap")], instead_of=before)
-        if worst is None or worst < close:
+            after = cells.join(now.select(d, step.alias("factor")), d).withColumn("w", F.least(fitted, F.col("tokens") * 1e9) if bounded else fitted).withColumn("gap", moved).drop("factor")
+            cells, (worst, fit, there) = cut_with(after, [F.max("gap"), F.sum("w"), F.sum(F.when(F.col("w") > 0, F.col("tokens")))], instead_of=cells)
+            most = max(most, worst or 0.0)
+        if most < close:
             break
-    return cells
+    return cells, float(fit or 0), float(there or 0)
 
 
-def residual(cells: DataFrame, targets: dict[str, DataFrame]) -> float:
-    """The largest miss of a target share by the weights ``w`` of ``cells``, over all categories of all marginals."""
-    total = cells.agg(F.sum("w")).first()[0]
-    misses = [
-        cells.groupBy(name).agg(F.sum("w").alias("w")).join(goal, name, "left").select(F.abs(F.col("w") / F.lit(total or 1.0) - F.coalesce("share", F.lit(0.0))).alias("miss"))
-        for name, goal in targets.items()
-    ]
-    return reduce(DataFrame.union, misses).agg(F.max("miss")).first()[0] or 0.0 if total else 0.0
+def residual(cells: DataFrame, fit: float) -> float:
+    """The largest miss of a target share by the weights ``w`` of ``cells``, whose sum is ``fit``, over all categories of all marginals."""
+    miss = F.abs(F.sum("w") / F.lit(fit) - F.max("goal"))
+    return by_category(cells, miss.alias("miss")).agg(F.max("miss")).first()[0] or 0.0 if fit else 0.0
 
 
-def reachable(cells: DataFrame, name: str, target: DataFrame, whole: float) -> DataFrame:
-    """``target`` with no category over the tokens it has; what it cannot take goes to the others in proportion."""
-    there = cells.where("w > 0").groupBy(name).agg(F.sum("tokens").cast("double").alias("there"))
-    asked = cut(there.join(target, name).select(name, "there", (F.col("share") * F.lit(whole)).alias("asked")))
-    lift = 1.0
+def reachable(cells: DataFrame, whole: float) -> dict[str, DataFrame]:
+    """The targets with no category over the tokens it has; what it cannot take goes to the others in proportion."""
+    asked = cut(by_category(cells.where("w > 0"), F.sum("tokens").cast("double").alias("there"), (F.max("goal") * F.lit(whole)).alias("asked")))
+    lifts = dict.fromkeys(DIMENSIONS, 1.0)
     for _ in range(60):
-        full = F.col("asked") * F.lit(lift) >= F.col("there")
-        taken, left = asked.agg(F.sum(F.when(full, F.col("there")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("asked")))).first()
-        now = (whole - taken) / left if left else lift
-        if now <= lift * (1 + 1e-12):
+        full = {d: F.col("asked") * F.lit(lift) >= F.col("there") for d, lift in lifts.items()}
+        of = {d: F.col("dimension") == d for d in DIMENSIONS}
+        sums = asked.agg(*[F.sum(F.when(of[d], F.when(full[d], x).otherwise(y))) for d in DIMENSIONS for x, y in ((F.col("there"), 0.0), (0.0, F.col("asked")))]).first()
+        now = {d: (whole - (taken or 0.0)) / left if left else lifts[d] for d, taken, left in zip(DIMENSIONS, sums[::2], sums[1::2], strict=True)}
+        more = {d: lift for d, lift in now.items() if lift > lifts[d] * (1 + 1e-12)}
+        if not more:
             break
-        lift = now
-    return cut(asked.select(name, (F.least(F.col("there"), F.col("asked") * F.lit(lift)) / F.lit(whole)).alias("share")), instead_of=asked)
+        lifts |= more
+    share = lambda lift: F.least(F.col("there"), F.col("asked") * F.lit(lift)) / F.lit(whole)
+    return {d: asked.where(F.col("dimension") == d).select(F.col("category").alias(d), share(lift).alias("share")) for d, lift in lifts.items()}
 
 
-def tempered(cells: DataFrame, name: str, temper: float) -> DataFrame:
-    raised = cells.groupBy(name).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("raised"))
-    whole = raised.agg(F.sum("raised")).first()[0] or 1.0
-    return raised.select(name, (F.col("raised") / F.lit(whole)).alias("share"))
+def tempered(cells: DataFrame, temper: float) -> dict[str, DataFrame]:
+    """Targets: each category's share of the tokens to the power ``temper``, normalised."""
+    raised = by_category(cells, F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("raised"))
+    raised, wholes = cut_with(raised, [F.sum(F.when(F.col("dimension") == d, F.col("raised"))) for d in DIMENSIONS])
+    return {d: raised.where(F.col("dimension") == d).select(F.col("category").alias(d), (F.col("raised") / F.lit(whole or 1.0)).alias("share")) for d, whole in zip(DIMENSIONS, wholes, strict=True)}
 
 
-def scale_for(cells: DataFrame, share: float) -> float:
-    """The scale at which sum(min(tokens, scale * w)) is ``share`` of all tokens, by passes over ever finer grids."""
-    total, fitted, there = cells.agg(F.sum("tokens"), F.sum("w"), F.sum(F.when(F.col("w") > 0, F.col("tokens")))).first()
-    if not total or not fitted:
+def scale_for(cells: DataFrame, goal: float) -> float:
+    """The scale at which sum(min(tokens, scale * w)) is ``goal``, by passes over ever finer grids."""
+    if not goal:
         return 0.0
-    goal = min(share * total, there)
     grid = [2.0 ** (i / 6 - 8) for i in range(240)]
     for _ in range(2):
         tried = cells.select("tokens", "w", F.explode(F.lit(grid)).alias("scale"))
@@ -165,15 +167,14 @@ def scale_for(cells: DataFrame, share: float) -> float:
     return (low + high) / 2
 
 
-def bounded_fit(fitted: DataFrame, goals: dict[str, DataFrame], share: float) -> DataFrame:
-    """``fitted`` with ``w`` scaled to the share; where that passes a cell's tokens, raked again under that bound."""
-    scaled = fitted.withColumn("w", F.col("w") * F.lit(scale_for(fitted, share)))
+def bounded_fit(fitted: DataFrame, asked: float, fit: float, there: float) -> DataFrame:
+    """``fitted`` with ``w`` scaled to ``asked`` tokens; where that passes a cell's tokens, raked again under that bound."""
+    scaled = fitted.withColumn("w", F.col("w") * F.lit(scale_for(fitted, min(asked, there) if fit else 0.0)))
     whole, over = scaled.agg(F.sum(F.least(F.col("tokens").cast("double"), F.col("w"))), F.sum(F.greatest(F.col("w") - F.col("tokens"), F.lit(0.0)))).first()
     if not whole or over <= 1e-9 * whole:
         return scaled
-    near = {d: reachable(scaled, d, goals[d], whole) for d in goals}
-    again = rake(cut(scaled), near, close=1e-3, bounded=whole)
-    return again.withColumn("w", F.col("w") * F.lit(scale_for(again, share)))
+    again, fit, there = rake(cut(aimed(scaled, reachable(scaled, whole))), whole, close=1e-3, bounded=True)
+    return again.withColumn("w", F.col("w") * F.lit(scale_for(again, min(asked, there) if fit else 0.0)))
 
 
 def mixture(docs: DataFrame, share: float = 0.6, temper: float = 0.7, topics: int = 8, topic: str | None = None, targets: dict[str, DataFrame] | None = None, seed: int = 9) -> DataFrame:
@@ -187,11 +188,13 @@ def mixture(docs: DataFrame, share: float = 0.6, temper: float = 0.7, topics: in
         means = cut(language_means(narrow.select("cell.*")))
         tagged, narrow = (with_topic(x, name, means, topics) for x, name in ((tagged, out), (narrow, "cell")))
     cells = narrow.groupBy(*[F.col("cell")[d].alias(d) for d in DIMENSIONS]).agg(F.sum(F.col("cell")["tokens"]).alias("tokens"))
-    cells = cut(cells.withColumn("w", F.col("tokens").cast("double")))
-    goals = {d: cut(tempered(cells, d, temper)) if d not in (targets or {}) else targets[d] for d in DIMENSIONS}
-    fitted = rake(cells, goals)
-    missed = residual(fitted, goals)
-    drawn = bounded_fit(fitted.withColumn("fitted", F.col("w")), goals, share)
+    cells, (total,) = cut_with(cells.withColumn("w", F.col("tokens").cast("double")), [F.sum("tokens")])
+    targets = targets or {}
+    own = tempered(cells, temper) if any(d not in targets for d in DIMENSIONS) else {}
+    goals = {d: targets.get(d, own.get(d)) for d in DIMENSIONS}
+    fitted, fit, there = rake(cut(aimed(cells, goals), instead_of=cells), float(total or 0))
+    missed = residual(fitted, fit)
+    drawn = bounded_fit(fitted.withColumn("fitted", F.col("w")), share * (total or 0), fit, there)
     weights = drawn.select(F.struct(*DIMENSIONS).alias(key), (F.col("fitted") / F.col("tokens")).alias(f"{key}_weight"), (F.col("w") / F.col("tokens")).alias(f"{key}_odds"))
     joined = tagged.withColumn(key, F.struct(*[F.col(out)[d].alias(d) for d in DIMENSIONS])).join(weights, key, "left")
     weight = F.coalesce(F.col(f"{key}_weight"), F.lit(0.0))
